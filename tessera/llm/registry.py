@@ -1,8 +1,10 @@
 """The queries of the training-data operators, and the SQL that expresses those which SQL can express."""
 
 from .language import op8_language_id
+from .quality import op1_quality
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op8_language_id": op8_language_id,
 }
 
