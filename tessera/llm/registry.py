@@ -1,11 +1,17 @@
 """The queries of the training-data operators, and the SQL that expresses those which SQL can express."""
 
+from .bpe import op4_bpe
+from .fingerprint import op5_fingerprint
+from .html_text import op10_html_text
 from .language import op8_language_id
 from .quality import op1_quality
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op4_bpe": op4_bpe,
+    "op5_fingerprint": op5_fingerprint,
     "op8_language_id": op8_language_id,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
