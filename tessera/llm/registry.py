@@ -5,13 +5,18 @@ from .fingerprint import op5_fingerprint
 from .html_text import op10_html_text
 from .language import op8_language_id
 from .quality import op1_quality
+from .vectors import ORACLE as VECTORS_SQL
+from .vectors import op2_vectors
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_vectors": op2_vectors,
     "op4_bpe": op4_bpe,
     "op5_fingerprint": op5_fingerprint,
     "op8_language_id": op8_language_id,
     "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_vectors": VECTORS_SQL,
+}
