@@ -161,17 +161,17 @@ def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
 ), fine AS (
   SELECT * FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(e) > 0
-    AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b
     ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.98
-), reach(node, at) AS (
-  SELECT vec_id, vec_id FROM v UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.at = l.a
-), comp AS (SELECT node, min(at) AS component_id FROM reach GROUP BY node),
+), reach(node, seen) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a
+), comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
 n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN comp c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
