@@ -4,6 +4,7 @@ from .bpe import op4_bpe
 from .fingerprint import op5_fingerprint
 from .html_text import op10_html_text
 from .language import op8_language_id
+from .minhash import op6_minhash
 from .quality import op1_quality
 from .vectors import ORACLE as VECTORS_SQL
 from .vectors import op2_vectors
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_vectors": op2_vectors,
     "op4_bpe": op4_bpe,
     "op5_fingerprint": op5_fingerprint,
+    "op6_minhash": op6_minhash,
     "op8_language_id": op8_language_id,
     "op10_html_text": op10_html_text,
 }
