@@ -6,8 +6,8 @@ band. Texts that share a band are candidates, and their weighted Jaccard similar
 
 Document frequencies are counted over all documents in a sketch of fixed width, whose load per bucket is a share of
 the corpus that doesn't depend on its size; so weights, and what counts as similar, are alike at every size. The
-weight is (1 + ln tf) * (1 + idf / idf_max) / 2: halved at most for the commonest passage, so that a large
-group of near copies doesn't lose its own links by being common.
+weight is (1 + ln tf) * (3 + idf / idf_max) / 4: damped, so that a large group of near copies doesn't lose its own
+links by being common, and that what is at 0.8 by plain Jaccard similarity is there by the weighted one too.
 
 In a band's bucket every text is first compared with the bucket's head. Only where this leaves a bucket in several
 components are its other pairs looked at: in blocks inside tasks, by the share of equal samples, and those that may
@@ -106,9 +106,9 @@ def weights(tf: np.ndarray, h: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def inverse_frequencies(counts: np.ndarray, n_docs: int) -> np.ndarray:
-    """(1 + idf / idf_max) / 2 of each bucket of the sketch."""
+    """(3 + idf / idf_max) / 4 of each bucket of the sketch."""
     most = np.log(n_docs + 1.0) or 1.0
-    return (1 + np.maximum(np.log((n_docs + 1.0) / (np.minimum(counts, n_docs) + 1.0)), 0) / most) / 2
+    return (3 + np.log((n_docs + 1.0) / (np.minimum(counts, n_docs) + 1.0)) / most) / 4
 
 
 def frequency_sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
