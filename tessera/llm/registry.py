@@ -2,23 +2,31 @@
 
 from .bpe import op4_bpe
 from .fingerprint import op5_fingerprint
+from .fixity import ORACLE as FIXITY_SQL
+from .fixity import op3_fixity
 from .html_text import op10_html_text
 from .language import op8_language_id
 from .minhash import op6_minhash
+from .mixing import op7_mixing
 from .quality import op1_quality
+from .toxicity import op9_toxicity
 from .vectors import ORACLE as VECTORS_SQL
 from .vectors import op2_vectors
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_vectors": op2_vectors,
+    "op3_fixity": op3_fixity,
     "op4_bpe": op4_bpe,
     "op5_fingerprint": op5_fingerprint,
     "op6_minhash": op6_minhash,
+    "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
+    "op9_toxicity": op9_toxicity,
     "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_vectors": VECTORS_SQL,
+    "op3_fixity": FIXITY_SQL,
 }
