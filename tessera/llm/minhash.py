@@ -9,9 +9,10 @@ the corpus that doesn't depend on its size; so weights, and what counts as simil
 weight is (1 + ln tf) * (3 + idf / idf_max) / 4: damped, so that a large group of near copies doesn't lose its own
 links by being common, and that what is at 0.8 by plain Jaccard similarity is there by the weighted one too.
 
-In a band's bucket every text is first compared with the bucket's head. Only where this leaves a bucket in several
-components are its other pairs looked at: in blocks inside tasks, by the share of equal samples, and those that may
-be similar are verified as well. No list of a bucket's pairs is ever made.
+In a band's bucket every text is first compared with the bucket's heads, of which there are up to three. Only where
+this leaves a bucket in several components are its other pairs looked at: in cells of bounded size inside tasks, by the share of
+equal samples, and those that may be similar are verified there, once in their first common band. What leaves a task are links
+that join components; no list of a bucket's pairs is ever made.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ WORDS = 5
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 18
-GROUP = 1024
+HEADS = 3
+GROUP = 512
 BROADCAST_ROWS = 100_000
 #: Of SAMPLES samples, so many equal ones make a pair worth verifying: three deviations under what 0.8 gives.
 LEAST_EQUAL = 21
@@ -167,6 +169,12 @@ def _signature_udf(idf: np.ndarray):
     return run
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some ids; the ids are broadcast only if they're few."""
+    ids = checkpointed(ids)
+    return checkpointed(docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi").select("id", "text"))
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """Those pairs (a, b) of ids whose texts are similar enough. Only texts in some pair are moved, each head's last."""
 
@@ -180,33 +188,51 @@ def _verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray, threshold: flo
             out.append(_similarity(_weighed(s, idf), known))
         return pa.array(out, pa.float64())
 
-    ids = checkpointed(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi").select("id", "text")
-    texts = checkpointed(texts)
+    texts = _texts(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     return both.withColumn("s", similarity("x", "y")).filter(F.col("s") >= threshold).select("a", "b")
 
 
-def _open_pairs(t: pa.Table) -> pa.Table:
-    """Of a bucket's cell: pairs of different components with enough equal samples, each once."""
-    ids, comp = t.column("id").to_numpy(), t.column("component").to_numpy()
-    head = t.column("head").to_numpy()
-    line, column = (t.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("in_line", "in_column"))
-    names = np.array(t.column("samples").to_pylist(), np.int32).reshape(len(ids), -1)
-    a_all, b_all = [], []
-    rows, cols = np.flatnonzero(line), np.flatnonzero(column)
-    for k in range(0, len(rows), 64):
-        r = rows[k : k + 64]
-        apart = (comp[r][:, None] != comp[cols][None]) & (ids[r][:, None] < ids[cols][None]) & (ids[r] != head[r])[:, None]
-        x, y = np.nonzero(apart)
-        x, y = r[x], cols[y]
-        for s in range(0, len(x), 1 << 16):
-            i, j = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
-            good = (names[i] == names[j]).sum(1) >= LEAST_EQUAL
-            a_all.append(ids[i[good]])
-            b_all.append(ids[j[good]])
-    return pa.table({"a": np.concatenate(a_all) if a_all else np.zeros(0, np.int64), "b": np.concatenate(b_all) if b_all else np.zeros(0, np.int64)})
+def _shares(rows: list[tuple[np.ndarray, np.ndarray]], i: int, others: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of the i-th weighted set with each of the others."""
+    h, w = rows[i]
+    sizes = np.array([len(rows[j][0]) for j in others])
+    flat, weight = np.concatenate([rows[j][0] for j in others]), np.concatenate([rows[j][1] for j in others])
+    at = np.minimum(np.searchsorted(h, flat), len(h) - 1)
+    both = np.bincount(np.repeat(np.arange(len(others)), sizes), np.where(h[at] == flat, np.minimum(w[at], weight), 0), len(others))
+    return both / (w.sum() + np.array([rows[j][1].sum() for j in others]) - both)
+
+
+def _cell_links(idf: np.ndarray, threshold: float):
+    """Of a bucket's cell: links enough to join those components that similar pairs of the cell join."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, comp = t.column("id").to_numpy(), t.column("component").to_numpy()
+        line, column = (t.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("in_line", "in_column"))
+        names = np.array(t.column("samples").to_pylist(), np.int32).reshape(len(ids), -1)
+        keys = np.array(t.column("bands").to_pylist(), np.int64).reshape(len(ids), -1)
+        own = int(np.flatnonzero(keys[0] == t.column("band")[0].as_py())[0])
+        comp, out = comp.copy(), []
+        rows = [None] * len(ids)
+        texts = t.column("text")
+        for i in np.flatnonzero(line):
+            # a pair is looked at in its first common band only
+            maybe = column & (comp != comp[i]) & (ids > ids[i]) & ~(keys[:, :own] == keys[i, :own]).any(1)
+            maybe = np.flatnonzero(maybe)
+            maybe = maybe[(names[maybe] == names[i]).sum(1) >= LEAST_EQUAL]
+            if not len(maybe):
+                continue
+            for j in (i, *maybe):
+                if rows[j] is None:
+                    rows[j] = _weighed(texts[int(j)].as_py(), idf)
+            for j in maybe[_shares(rows, i, maybe) >= threshold]:
+                if comp[j] != comp[i]:
+                    out.append((ids[i], ids[j]))
+                    comp[comp == comp[j]] = comp[i]
+        return pa.table({"a": np.array([x for x, _ in out], np.int64), "b": np.array([y for _, y in out], np.int64)})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
@@ -223,27 +249,30 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     reps = checkpointed(marked.groupBy("sha").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("samples").alias("samples")))
 
     members = reps.select("id", F.explode("bands").alias("band"))
-    heads = members.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    drawn = [F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(1, HEADS)]
+    heads = members.groupBy("band").agg(F.array_distinct(F.array(F.min("id"), *drawn)).alias("heads"), F.count("*").alias("n")).filter("n > 1")
     held = checkpointed(members.join(heads, "band"))
-    first = checkpointed(held.filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
+    first = held.select(F.col("id").alias("x"), F.explode("heads").alias("y")).filter("x <> y")
+    first = checkpointed(first.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     links = checkpointed(_verified(rows, first, idf, threshold))
     comps = components(links).withColumnRenamed("node", "id")
 
     # buckets that the heads' links leave in several components
-    placed = held.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = held.filter(F.col("n") > 2).join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     still_open = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
-    still_open = still_open.filter("low <> high and m > 2").withColumn("cells", F.ceil(F.col("m") / group).cast("int")).select("band", "cells")
-    cells = placed.join(still_open, "band").join(reps.select("id", "samples"), "id")
-    own = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")
-    every = F.sequence(F.lit(0), F.col("cells") - 1)
-    grid = F.concat(
-        F.transform(every, lambda c: F.struct(own.alias("line"), c.alias("col"), F.lit(True).alias("in_line"), (c == own).alias("in_column"))),
-        F.filter(F.transform(every, lambda c: F.struct(c.alias("line"), own.alias("col"), F.lit(False).alias("in_line"), F.lit(True).alias("in_column"))), lambda s: s["line"] != own),
-    )
-    cells = cells.withColumn("cell", F.explode(grid)).select("band", "cell.*", "id", "head", "component", "samples")
-    more = checkpointed(cells.groupBy("band", "line", "col").applyInArrow(_open_pairs, "a long, b long").distinct())
-    if not more.isEmpty():
-        more = checkpointed(_verified(rows, more, idf, threshold))
+    still_open = still_open.filter("low <> high").withColumn("cells", F.ceil(F.col("m") / group).cast("int")).select("band", "cells")
+    waiting = checkpointed(placed.join(still_open, "band").select("band", "cells", "id", "component"))
+    if not waiting.isEmpty():
+        texts = _texts(rows, waiting.select("id").distinct())
+        own = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")
+        every = F.sequence(F.lit(0), F.col("cells") - 1)
+        grid = F.concat(
+            F.transform(every, lambda c: F.struct(own.alias("line"), c.alias("col"), F.lit(True).alias("in_line"), (c == own).alias("in_column"))),
+            F.filter(F.transform(every, lambda c: F.struct(c.alias("line"), own.alias("col"), F.lit(False).alias("in_line"), F.lit(True).alias("in_column"))), lambda s: s["line"] != own),
+        )
+        cells = waiting.join(reps.select("id", "samples", "bands"), "id").join(texts, "id").withColumn("cell", F.explode(grid))
+        cells = cells.select("band", "cell.*", "id", "component", "samples", "bands", "text")
+        more = checkpointed(cells.groupBy("band", "line", "col").applyInArrow(_cell_links(idf, threshold), "a long, b long").distinct())
         if not more.isEmpty():
             comps = components(links.unionByName(more)).withColumnRenamed("node", "id")
 
