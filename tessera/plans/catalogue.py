@@ -1,6 +1,369 @@
-"""Every registered query of the core library, by name, and the SQL that it must agree with."""
+"""Every registered query of the core library, by name."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import labels, readings as r
+from ..operators import evidence, export, geometry, ingest, naming, planner, report, review, safety
+from ..sources import bridges
+from ..sources.readings import readings, table
+from .oracle import ORACLE_SQL  # noqa: F401
+
 QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def tag_decision(spark: SparkSession, d: str) -> DataFrame:
+    """Which number does each item carry, and can the reading be trusted?"""
+    out = bridges.decisions(spark, d)
+    return out.select("item_id", "tag_number", "confidence", "raw_text", "status", "branch", "evidence_count", "strong_evidence_count", "best_ocr_confidence", "score_margin", "best_source_rotation", "best_source_crop")
+
+
+@query
+def digit_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return readings(spark, d).select("item_id", "pos", r.normalise_digits(F.col("text")).alias("digits"))
+
+
+@query
+def prominence(spark: SparkSession, d: str) -> DataFrame:
+    return readings(spark, d).select("item_id", "pos", r.prominence(F.col("bbox")).alias("prominence"))
+
+
+@query
+def candidate_extract(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.candidates(readings(spark, d)).select("item_id", "pos", F.col("match_no").cast("long").alias("match_no"), "value", "score")
+
+
+@query
+def source_evidence(spark: SparkSession, d: str) -> DataFrame:
+    x = evidence.candidates(readings(spark, d)).withColumn("crop", r.canonical_crop(F.col("source_crop")))
+    return x.groupBy("item_id", "value", "crop", F.col("source_rotation").alias("rotation")).agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_readings"))
+
+
+@query
+def consensus_rank(spark: SparkSession, d: str) -> DataFrame:
+    x = evidence.ranked(evidence.consensus(evidence.candidates(readings(spark, d))))
+    return x.select("item_id", "value", "score", F.col("source_count").cast("long").alias("source_count"), F.col("strong_source_count").cast("long").alias("strong_source_count"), F.col("place").cast("long").alias("place"))
+
+
+@query
+def reverse_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    values = evidence.consensus(evidence.candidates(readings(spark, d)))
+    return evidence.reverse_matches(values, evidence.ranked(values, most=1))
+
+
+@query
+def raw_text_join(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.raw_texts(readings(spark, d))
+
+
+@query
+def status_summary(spark: SparkSession, d: str) -> DataFrame:
+    return report.summary(bridges.decisions(spark, d).withColumn("batch", F.floor(F.col("item_id") / 5000)), "batch")
+
+
+@query
+def live_counters(spark: SparkSession, d: str) -> DataFrame:
+    x = report.live_counters(bridges.photos(spark, d))
+    return x.select("batch", "item", "n_ok", "n_duplicates", "n_errors", "n_review")
+
+
+@query
+def friendly_status(spark: SparkSession, d: str) -> DataFrame:
+    return report.display(bridges.report(spark, d)).select("item_id", "status_label", "badge")
+
+
+@query
+def review_queue(spark: SparkSession, d: str) -> DataFrame:
+    return report.review_queue(bridges.report(spark, d)).select("item_id", "status", "output_folder")
+
+
+@query
+def legacy_queue(spark: SparkSession, d: str) -> DataFrame:
+    return report.legacy_queue(bridges.report(spark, d)).select("item_id", "status")
+
+
+@query
+def report_search(spark: SparkSession, d: str) -> DataFrame:
+    return report.search(bridges.report(spark, d), "IMG_1[0-9]+|1004", status="OK").select("item_id", "original_filename", "detected_tag_number")
+
+
+@query
+def report_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return report.normalise(bridges.report(spark, d), reading=True).select("item_id", "original_filename", "detected_tag_number", "status", "output_folder", "notes", "confidence_score")
+
+
+@query
+def row_selector(spark: SparkSession, d: str) -> DataFrame:
+    return report.matches(bridges.report(spark, d), bridges.edits(spark, d))
+
+
+@query
+def report_update(spark: SparkSession, d: str) -> DataFrame:
+    return report.update(bridges.report(spark, d), bridges.edits(spark, d)).select("item_id", "original_filename", "detected_tag_number", "status", "output_folder")
+
+
+@query
+def qa_compare(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    cases = table(spark, d, "orders").filter(key % 3 == 0).groupBy(F.concat(F.lit("IMG_"), F.col("o_custkey").cast("string"), F.lit(".jpg")).alias("original_filename")).agg(
+        F.max(F.when(key % 4 == 0, "-").otherwise((100000 + key % 9973).cast("string"))).alias("expected")
+    )
+    rows = bridges.report(spark, d).filter(F.col("item_id").cast("long") % 5 != 0)
+    return report.qa_compare(cases, rows)
+
+
+@query
+def item_ids(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages").select(F.coalesce(F.regexp_extract("url", "//([^/]+)/", 1), F.lit("")).alias("batch"), F.coalesce("url", F.lit("")).alias("path"), "page_id")
+    return naming.item_ids(p)
+
+
+@query
+def safe_stems(spark: SparkSession, d: str) -> DataFrame:
+    u = F.coalesce(F.col("url"), F.lit(""))
+    return table(spark, d, "pages").select("page_id", labels.safe_stem(u).alias("stem"), labels.safe_stem(F.concat(F.lit("REVIEW_"), labels.safe_stem(labels.base_name(u)))).alias("review_stem"))
+
+
+@query
+def format_filter(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    end = F.element_at(F.array(*map(F.lit, (".jpg", ".JPEG", ".webp", ".heic", ".zip", ".txt", "", ".tar.png"))), (key % 8 + 1).cast("int"))
+    files = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("in/"), F.col("o_custkey").cast("string"), end).alias("path"))
+    return ingest.sort_formats(files).select("o_orderkey", "format", "verdict")
+
+
+@query
+def content_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    return ingest.first_of_equal(files, "doc_id").select("doc_id", "first_key", "duplicate")
+
+
+@query
+def output_names(spark: SparkSession, d: str) -> DataFrame:
+    return naming.output_names(bridges.photos(spark, d)).select("item", "status", "output_folder", "final_filename", "transparent_filename")
+
+
+@query
+def transparent_names(spark: SparkSession, d: str) -> DataFrame:
+    return naming.output_names(bridges.photos(spark, d), "transparent_only").select("item", "status", "output_folder", "final_filename", "transparent_filename")
+
+
+@query
+def archive_totals(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.archive_totals(bridges.members(spark, d))
+
+
+@query
+def archive_cascade(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.archive_cascade(bridges.members(spark, d)).select("pos", "archive", "verdict", "target")
+
+
+@query
+def archive_renames(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.archive_targets(bridges.members(spark, d)).select("pos", "archive", "final", "renamed")
+
+
+@query
+def manifest_verify(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.manifest_verify(bridges.manifest(spark, d), bridges.on_disk(spark, d))
+
+
+@query
+def manifest_totals(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.manifest_totals(bridges.manifest(spark, d))
+
+
+@query
+def output_diff(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.name_difference(bridges.manifest(spark, d).select(F.col("path").alias("name")), bridges.on_disk(spark, d).select(F.col("path").alias("name")))
+
+
+@query
+def latest_run(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    reports = e.filter("event_type = 'purchase'").select((F.col("user_id") % 10).alias("root"), F.col("user_id").alias("run"), F.col("ts").alias("modified"))
+    marks = e.filter("event_type = 'error' and value < 20").select(F.col("user_id").alias("run"))
+    return ingest.latest_run(reports, marks)
+
+
+@query
+def stale_archives(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "click", "zip").when(F.col("event_type") == "view", "source").when((F.col("event_type") == "error") & (F.col("value") < 10), "marker").otherwise("other")
+    return ingest.stale_archives(e.select(F.col("user_id").alias("run"), kind.alias("kind"), F.col("ts").alias("modified"), F.floor("value").alias("size")))
+
+
+def _job_events(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("event_type")
+    state = F.when(t == "signup", "QUEUED").when(t.isin("view", "click"), "RUNNING").when(t == "purchase", "COMPLETED").otherwise("FAILED")
+    return table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), state.alias("state"), F.floor("value").cast("long").alias("done"), F.col("props").alias("message"))
+
+
+@query
+def latest_job_state(spark: SparkSession, d: str) -> DataFrame:
+    return review.job_states(_job_events(spark, d))
+
+
+@query
+def latest_running_job(spark: SparkSession, d: str) -> DataFrame:
+    return review.latest_running(review.job_states(_job_events(spark, d))).select("job_id", "state")
+
+
+@query
+def crop_score(spark: SparkSession, d: str) -> DataFrame:
+    x = bridges.crops(spark, d)
+    fits = geometry.crop_verdict(F.col("w"), F.col("h"), F.col("area"), F.lit(1600.0 * 1200.0))
+    return x.select("item_id", "pos", fits.alias("fits"), F.round(bridges.crop_score(x), 9).alias("score"))
+
+
+@query
+def crop_nms(spark: SparkSession, d: str) -> DataFrame:
+    x = bridges.crops(spark, d)
+    kept = geometry.distinct_crops(x.withColumn("score", F.round(bridges.crop_score(x), 9)), most=None)
+    return kept.select("item_id", F.posexplode("kept").alias("nth", "c")).select("item_id", F.col("nth").cast("long").alias("nth"), "c.pos")
+
+
+@query
+def crop_shapes(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.distinct_shapes(bridges.crops(spark, d)).select("item_id", "pos", F.col("place").cast("long").alias("place"))
+
+
+@query
+def crop_priority(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.crop_priority(bridges.crops(spark, d)).select("item_id", "pos", F.col("place").cast("long").alias("place"))
+
+
+@query
+def rotation_plan(spark: SparkSession, d: str) -> DataFrame:
+    turns = geometry.rotations(F.col("label"), F.col("w"), F.col("h"))
+    return bridges.crops(spark, d).select("item_id", "pos", F.array_join(turns, ",").alias("turns"))
+
+
+@query
+def rotate_points(spark: SparkSession, d: str) -> DataFrame:
+    x = bridges.crops(spark, d).withColumn("rotation", F.element_at(F.array(*map(F.lit, ("original", "cw90", "ccw90", "rot180"))), (F.col("pos") % 4 + 1).cast("int")))
+    p = geometry.turn_back(F.col("x"), F.col("y"), F.col("rotation"), F.lit(380), F.lit(290))
+    return x.select("item_id", "pos", p["x"].cast("long").alias("px"), p["y"].cast("long").alias("py"))
+
+
+@query
+def anchor_in_crop(spark: SparkSession, d: str) -> DataFrame:
+    x = bridges.crops(spark, d)
+    anchors = x.filter("pos = 1").select("item_id", (F.col("x") + 30).alias("ax"), (F.col("y") + 20).alias("ay"))
+    return geometry.crop_at(anchors, x.select("item_id", "pos", "label", "x", "y", "w", "h"))
+
+
+@query
+def crop_padding(spark: SparkSession, d: str) -> DataFrame:
+    b = geometry.padded(*map(F.col, "xywh"), F.lit(420), F.lit(320))
+    return bridges.crops(spark, d).select("item_id", "pos", *(b[c].cast("long").alias(f"p{c}") for c in "xywh"))
+
+
+@query
+def catalogue_geometry(spark: SparkSession, d: str) -> DataFrame:
+    x = bridges.crops(spark, d)
+    place = geometry.catalogue_layout(F.col("w"), F.col("h"))
+    return x.select("item_id", "pos", *(place[c].cast("long").alias(f"c{c}") for c in "whxy"))
+
+
+@query
+def attempt_budget(spark: SparkSession, d: str) -> DataFrame:
+    x = readings(spark, d)
+    planned = F.when(F.col("source_rotation") == "auto_best", 4).when(F.col("source_crop").startswith("fallback"), 2).otherwise(3)
+    used = planner.within_budget(x.select("item_id", F.col("pos").alias("attempt_no"), planned.alias("planned")))
+    return used.select("item_id", "attempt_no", F.col("used").cast("long").alias("used"))
+
+
+@query
+def ocr_checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    return planner.replay(readings(spark, d).withColumn("checkpoint", F.floor((F.col("pos") + 1) / 2)))
+
+
+@query
+def safety_reasons(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda c: F.array_join(c, ",")
+    return bridges.masks(spark, d).select("mask_id", one(safety.safety_reasons()).alias("reasons"), one(safety.catastrophic_reasons()).alias("catastrophic"))
+
+
+@query
+def alpha_validate(spark: SparkSession, d: str) -> DataFrame:
+    return bridges.masks(spark, d).select("mask_id", safety.alpha_verdict(*map(F.col, ("foreground", "solid", "soft", "parts"))).alias("verdict"))
+
+
+@query
+def smart_route(spark: SparkSession, d: str) -> DataFrame:
+    x = bridges.masks(spark, d)
+    why = safety.route_reasons(F.col("status_ok"), safety.catastrophic_reasons(), *map(F.col, ("coverage", "gradient_median", "gradient_p90")))
+    refine = safety.needs_refinement(F.col("status_ok"), safety.catastrophic_reasons())
+    return x.select("mask_id", F.array_join(why, ",").alias("reasons"), refine.alias("needs_refinement"))
+
+
+@query
+def hybrid_route(spark: SparkSession, d: str) -> DataFrame:
+    x, m = bridges.masks(spark, d), F.col("mask_id")
+    clean = F.when(m % 5 == 0, None).otherwise(F.size(safety.safety_reasons()) == 0)
+    keep = F.when(m % 7 == 0, None).otherwise(F.col("status_ok"))
+    route = safety.merged_route(clean, safety.safety_reasons(), keep, safety.catastrophic_reasons(), F.col("parts") < 120)
+    return x.select("mask_id", route.alias("route"))
+
+
+@query
+def mask_stats(spark: SparkSession, d: str) -> DataFrame:
+    p = bridges.rasters(spark, d).select("image_id", F.explode("pixels").alias("p"))
+    return p.groupBy("image_id").agg(
+        F.round(F.avg((F.col("p") > 0).cast("double")), 9).alias("foreground"), F.round(F.percentile("p", 0.5), 9).alias("p50"), F.round(F.percentile("p", 0.9), 9).alias("p90"),
+    )
+
+
+@query
+def size_labels(spark: SparkSession, d: str) -> DataFrame:
+    n = F.floor(F.pow(F.lit(7.0), F.col("p_size") / 5.0)).cast("long")
+    return table(spark, d, "part").select("p_partkey", labels.size_label(n).alias("size_label"), labels.elapsed_label((F.col("p_size") - 1) / 8.0 + 0.0312).alias("elapsed_label"))
+
+
+@query
+def ladder_pick(spark: SparkSession, d: str) -> DataFrame:
+    return export.pick(bridges.encodings(spark, d)).na.fill(0)
+
+
+@query
+def export_state(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    x = table(spark, d, "orders").select(
+        key.alias("name"), F.when(key % 17 == 0, None).otherwise(key % 100).alias("source_modified"), F.when(key % 13 == 0, None).otherwise(key % 103).alias("target_modified"),
+        F.floor("o_totalprice").cast("long").alias("bytes"), (key % 11 != 0).alias("is_jpeg"),
+    )
+    return export.current(x, budget=200_000).select("name", "state")
+
+
+@query
+def correction_transition(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("item_id").cast("long")
+    x = bridges.report(spark, d).select(
+        "item_id", "status", "output_folder", "original_filename", F.lit("0.5").alias("confidence_score"), F.when(key % 6 == 0, "12a45").otherwise((100000 + key).cast("string")).alias("tag"),
+        (1 + (key % 29 == 0).cast("int") - (key % 31 == 0).cast("int")).alias("matches"), (key % 37 != 0).alias("has_file"),
+        F.element_at(F.array(*map(F.lit, ("white_and_transparent", "white_only", "transparent_only", "none", "", "odd"))), (key % 6 + 1).cast("int")).alias("background_mode"),
+        F.when(key % 4 == 0, "READY").when(key % 4 == 1, "REVIEW_REQUIRED").when(key % 4 == 2, "FAILED").otherwise("").alias("correction_cache_status"),
+        F.when(key % 3 != 0, "w.png").otherwise("").alias("correction_cache_white_filename"), F.when(key % 5 != 0, "t.png").otherwise("").alias("correction_cache_transparent_filename"),
+        (key % 7 != 0).alias("rerun_ok"), (key % 2).alias("taken"),
+    )
+    return review.correct(x).select("item_id", "step", "new_status", "new_folder", "new_confidence", "stale")
+
+
+@query
+def background_transition(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("item_id").cast("long")
+    x = bridges.report(spark, d).withColumn("output_folder", F.when(key % 3 == 0, "processed_images").otherwise("background_review")).select(
+        "item_id", "status", "output_folder", "detected_tag_number", F.when(key % 10 == 0, "other").when(key % 2 == 0, "accept_preview").otherwise("keep_original").alias("action"),
+        (1 + (key % 29 == 0).cast("int") - (key % 31 == 0).cast("int")).alias("matches"), (key % 7 != 0).alias("has_original"), (key % 11 != 0).alias("has_white"), (key % 13 != 0).alias("has_transparent"),
+        F.element_at(F.array(*map(F.lit, ("white_and_transparent", "white_only", "transparent_only"))), (key % 5 % 3 + 1).cast("int")).alias("background_mode"), (F.floor(key / 2) % 2).alias("taken"),
+    )
+    return review.decide_background(x).select("item_id", "step", "new_status", "new_folder", "new_background", "clear_copy")
