@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder; for loops of joins.
+
+    A checkpoint keeps the size that its plan was estimated to have, and joins multiply estimates, so after some rounds of a
+    loop the estimate alone would be megabytes of digits. A table that is read again has the size of its files.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    path = f"{shared}/tessera-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes, start offsets and end) of an Arrow string array; nulls are empty."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts

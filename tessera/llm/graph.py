@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import stored
 
 
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -38,14 +38,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     its lineage. Self-links, repeated links and nulls are ignored.
     """
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = checkpointed(e.distinct())
+    e = stored(e.distinct())
     seen = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _min_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = _min_neighbour(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        e = checkpointed(small.filter("u <> v").distinct())
+        e = stored(small.filter("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
