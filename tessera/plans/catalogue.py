@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, readings as r
+from ..images.kernels import mask_parts
 from ..operators import evidence, export, geometry, ingest, naming, planner, report, review, safety
 from ..sources import bridges
 from ..sources.readings import readings, table
@@ -367,3 +368,9 @@ def background_transition(spark: SparkSession, d: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, ("white_and_transparent", "white_only", "transparent_only"))), (key % 5 % 3 + 1).cast("int")).alias("background_mode"), (F.floor(key / 2) % 2).alias("taken"),
     )
     return review.decide_background(x).select("item_id", "step", "new_status", "new_folder", "new_background", "clear_copy")
+
+
+@query
+def mask_components(spark: SparkSession, d: str) -> DataFrame:
+    """Parts, largest part and holes of every raster; no SQL can label parts, tests compare with a plain search."""
+    return mask_parts(bridges.rasters(spark, d), 0.02)
