@@ -2,9 +2,10 @@
 
 The blocks of a page are grouped by their root-to-leaf path of block elements. For each path the text length and the
 punctuation per node are aggregated, smoothed over the paths' order in the page, fused to one score and compared
-with a threshold; blocks on the chosen paths are the main text. Elements that HTML itself marks as something else
-(nav, footer, form, ...; class names such as ad or comments) never take part, and where the page marks its article,
-paths inside the article are chosen as a whole.
+with a threshold; blocks on the chosen paths are the main text. What the page marks itself changes the score only: each
+element such as nav or footer, or with a class name such as ad or comments, lowers the paths below it, and an article
+or main element raises them by a share of the best score. The path that is best after this is always kept, whatever its
+marks. Head, forms and hidden elements are cleaned away.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ BLOCK = frozenset(
     " address hr header footer nav aside form fieldset details summary center dialog menu hgroup search head legend".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OUTSIDE = frozenset("head nav footer aside form button dialog menu search fieldset datalist label input legend".split())
+CLEANED = frozenset("head form button fieldset datalist label input legend".split())
+BESIDE = frozenset("nav header footer dialog menu search".split())
 CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 BAD_NAMES = frozenset(
@@ -48,57 +50,52 @@ GOOD_NAMES = frozenset("content article post entry story articlebody maincontent
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 SCOPES = frozenset("ul ol dl table".split())
+#: What a path's score is multiplied by for each - of its marks, and the share of the best score that a mark for it adds.
+LOWERED, RAISED = 0.25, 0.5
 
 
-def _kind(tag: str, attrs: str, inside: bool) -> int:
-    """-1: not main text; 1: marked as the main text; 0: neither."""
-    if tag in OUTSIDE:
-        return -1
-    if tag == "header":
-        return 0 if inside else -1
+def _mark(tag: str, attrs: str) -> str | None:
+    """None: cleaned away; '--', or '-' where only a name tells: something beside the main text; '+': main text; '': neither."""
+    if tag in CLEANED:
+        return None
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attrs)} if attrs.strip() else {}
     if found and tag not in ("html", "body"):
         if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-            return -1
-        if found.get("role") in BAD_ROLES:
-            return -1
+            return None
+        if tag in BESIDE:
+            return "--"
         names = set(_WORD.findall(found.get("class", "") + " " + found.get("id", "")))
-        if tag not in CONTENT and tag not in HEADINGS and names & BAD_NAMES:
-            return -1
+        if found.get("role") in BAD_ROLES or (tag not in CONTENT and tag not in HEADINGS and names & BAD_NAMES):
+            return "-"
         if found.get("role") == "main" or found.get("itemprop") == "articlebody" or (tag in ("div", "section") and names & GOOD_NAMES):
-            return 1
-    return 1 if tag in CONTENT else 0
+            return "+"
+    return "--" if tag in BESIDE else "-" if tag == "aside" else "+" if tag in CONTENT else ""
 
 
-def blocks(page: str) -> list[tuple[str, str, int, bool]]:
-    """(path, text, characters inside links, whether inside marked main text) of each block of text, in page order."""
-    out: list[tuple[str, str, int, bool]] = []
-    # of each open block element: tag, path, kind of the nearest marked ancestor or itself
-    stack: list[tuple[str, str, int]] = [("", "", 0)]
+def blocks(page: str) -> list[tuple[str, str, int]]:
+    """(path, text, characters inside links) of each block of text, in page order; marked elements of a path end in + or -."""
+    out: list[tuple[str, str, int]] = []
+    # of each open block element: tag, path, whether it is cleaned away
+    stack: list[tuple[str, str, bool]] = [("", "", False)]
     parts: list[str] = []
-    link, linked, header = 0, 0, 0
+    link, linked = 0, 0
 
     def flush():
         nonlocal linked
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             parts.clear()
-            if text and stack[-1][2] >= 0:
-                out.append((stack[-1][1], text, min(linked, len(text)), stack[-1][2] > 0))
+            if text and not stack[-1][2]:
+                out.append((stack[-1][1], text, min(linked, len(text))))
         linked = 0
 
     def add(raw: str):
         nonlocal linked
-        if raw and stack[-1][2] >= 0 and (not header or stack[-1][0] in HEADINGS):
+        if raw and not stack[-1][2]:
             parts.append(html.unescape(raw))
             if link:
                 linked += len(raw)
 
-    def pop_to(k: int):
-        nonlocal header
-        header -= sum(s[0] == "header" for s in stack[k:])
-        del stack[k:]
-
     at = 0
     for m in _TOKEN.finditer(page):
         add(page[at : m.start()])
@@ -112,7 +109,7 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
                 flush()
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
-                        pop_to(k)
+                        del stack[k:]
                         break
             elif tag == "a":
                 link = 0
@@ -125,33 +122,34 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
             link = 1
         elif tag in VOID and tag != "hr":
             continue
-        elif tag in BLOCK or tag in OUTSIDE:
+        elif tag in BLOCK or tag in CLEANED:
             flush()
             if tag in BLOCK:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p" or stack[k][0] in CLOSES.get(tag, "").split():
-                        pop_to(k)
+                        del stack[k:]
                     elif stack[k][0] in SCOPES or stack[k][0] not in HEADINGS:
                         break
             if tag == "hr":
                 continue
-            above = stack[-1]
-            kind = -1 if above[2] < 0 else _kind(tag, m[4], above[2] > 0)
-            header += tag == "header"
-            stack.append((tag, f"{above[1]}>{tag}", kind if kind else above[2]))
+            _, above, cleaned = stack[-1]
+            mark = _mark(tag, m[4])
+            if tag in HEADINGS and "+" in above:
+                above = above.replace(">header--", "")  # an article's own headings belong to it
+            stack.append((tag, f"{above}>{tag}{mark or ''}", cleaned or mark is None))
     add(page[at:])
     flush()
     return out
 
 
-def path_scores(found: list[tuple[str, str, int, bool]]) -> dict[str, float]:
-    """Score of each path: text and punctuation per node, smoothed along the page, damped by links."""
+def path_scores(found: list[tuple[str, str, int]]) -> dict[str, float]:
+    """Score of each path: text and punctuation per node, smoothed along the page, damped by links, then changed by marks."""
     order: dict[str, int] = {}
-    for path, *_ in found:
+    for path, _, _ in found:
         order.setdefault(path, len(order))
     n = len(order)
     length, punct, nodes, linked = (np.zeros(n) for _ in range(4))
-    for path, text, link, _ in found:
+    for path, text, link in found:
         i = order[path]
         length[i] += len(text)
         punct[i] += len(_PUNCT.findall(text))
@@ -168,6 +166,10 @@ def path_scores(found: list[tuple[str, str, int, bool]]) -> dict[str, float]:
     fused = text_ratio * (1 + punct_ratio) * (1 - linked / np.maximum(length, 1)) ** 2
     # a path of many nodes is the trunk of the page, one of few a twig
     fused = np.sqrt(fused * np.log1p(length))
+    lower = np.array([LOWERED ** path.count("-") for path in order])
+    fused = fused * lower
+    # raised by what is best after lowering, or a short article would always push out a long text under a bad name
+    fused += RAISED * fused.max() * lower * np.array(["+" in path for path in order])
     return dict(zip(order, fused.tolist(), strict=True))
 
 
@@ -176,10 +178,6 @@ def main_text(page: str | None, threshold: float = 0.35) -> str:
     if not page:
         return ""
     found = blocks(page)
-    marked = sum(len(t) for _, t, _, good in found if good)
-    if marked and marked >= 0.2 * sum(len(t) for _, t, link, _ in found if link < 0.5 * len(t)):
-        found = [b for b in found if b[3]]
-        return "\n".join(b[1] for b in found)
     if not found:
         return ""
     score = path_scores(found)

@@ -290,6 +290,19 @@ def test_main_text():
     assert html_text.main_text("<p>unclosed <b>text").startswith("unclosed text")
 
 
+def test_ratios_decide_and_marks_only_weigh():
+    story = [f"The {prose(i, 30)}. It was so, they said, {prose(i + 50, 20)}." for i in range(4)]
+    body = "".join(f"<p>{p}</p>" for p in story)
+    teaser = "<article><h2>Next</h2><p>A short one, to read later.</p></article>"
+    footer = "<footer><p>Imprint, and terms of use.</p></footer>"
+    for wrapper in ('<div class="story-share">', '<div id="page-banner">', "<aside>", '<section role="search">'):
+        got = html_text.main_text(f"{teaser}{wrapper}{body}</{wrapper[1:].split()[0].strip('>')}>{footer}").split("\n")
+        assert [t for t in got if t in story] == story and "Imprint, and terms of use." not in got
+    links = "<ul>" + "".join(f'<li><a href="/{w}">{w} and more</a></li>' for w in WORDS) + "</ul>"
+    assert html_text.main_text(f"<article><h1>Head</h1>{body}{links}</article>{footer}").split("\n") == ["Head", *story]
+    assert html_text.main_text(f"<article><header><h1>Head</h1></header>{body}<ul><li>One thing.</li><li>Other, too.</li></ul></article>").split("\n") == ["Head", *story, "One thing.", "Other, too."]
+
+
 def test_pages_keep_their_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, None), (3, "u", "<p>" + LONG, "")], "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in html_text.extract(df).collect()}
