@@ -2,7 +2,7 @@
 
 A word that may be disguised (leetspeak, letters set apart, letters repeated) is a lattice of the characters that
 each of its marks may stand for. Viterbi search finds the likeliest restored word: the cost of each substitution plus
-the cost of the letters under a character trigram model of the training texts. Words, as written and as restored,
+the cost of the letters under a character trigram model of all texts, labelled or not. Words, as written and as restored,
 are scored by their prefixes' evidence for the label, learned with confidence bounds; a logistic model over the worst
 words makes the text's score.
 """
@@ -161,8 +161,12 @@ class Model:
 
 
 def _document_words(text: str) -> Counter:
+    return _words(Counter(text.lower().split()))
+
+
+def _words(tokens: Counter) -> Counter:
     out: Counter = Counter()
-    for t, n in Counter(text.lower().split()).items():
+    for t, n in tokens.items():
         if (w := t.strip(EDGE)) and _LETTER.search(w):
             out[w] += n
     return out
@@ -195,13 +199,22 @@ def _text_features(text: str) -> dict[str, float]:
     return {f: n / m for f, n in out.items()}
 
 
-def _trigrams(text: str) -> Counter:
-    out: Counter = Counter()
-    for w in _document_words(text):
-        if w.isalpha():
-            s = "^^" + w + "$"
-            out.update(s[i : i + 3] for i in range(len(s) - 2))
-    return out
+def _trigrams(rows: DataFrame) -> DataFrame:
+    """How often (total) each trigram (name) comes up in the words of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens, total = Counter(), Counter()
+            for t in b.column(0):
+                tokens.update(t.as_py().lower().split())
+            for w, n in _words(tokens).items():
+                if w.isalpha():
+                    s = "^^" + w + "$"
+                    for i in range(len(s) - 2):
+                        total[s[i : i + 3]] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["name", "total"])
+
+    return rows.select("text").filter(F.col("text").isNotNull()).mapInArrow(run, "name string, total long").groupBy("name").agg(F.sum("total").alias("total"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 40) -> np.ndarray:
@@ -215,10 +228,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int
     return coef
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", key: str = "doc_id", most_rows: int = 24_000, most_trigrams: int = 60_000, most_features: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", key: str = "doc_id", most_rows: int = 24_000, most_features: int = 20_000) -> Model:
     """Learn from about `most_rows` labelled rows that `train` marks; a third of them calibrates the final score.
 
-    Without a toxic row among them, every text scores 0.
+    The trigrams that restore disguised words need no label and are counted over all rows of docs. Without a toxic row among them, every text scores 0.
     """
     known = labels.filter(train & F.col("toxic").isNotNull() & F.col(key).isNotNull())
     n = known.count()
@@ -244,8 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", k
         if low > 1:
             weights[f] = low
     weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:most_features])
-    grams = _counts(learn, _trigrams).orderBy(F.desc("total"), "name").limit(most_trigrams).collect()
-    chars = CharModel({r["name"]: r["total"] for r in grams})
+    chars = CharModel({r["name"]: float(r["total"]) for r in _trigrams(docs.select(F.col(text).alias("text"))).orderBy("name").collect()})
     for g, c in chars.trigrams.items():
         chars.bigrams[g[:2]] = chars.bigrams.get(g[:2], 0.0) + c
     chars.letters = len({g[2] for g in chars.trigrams}) or 30

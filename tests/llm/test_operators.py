@@ -275,6 +275,22 @@ def test_toxicity_scores_whole_texts(spark):
     assert toxicity.score(df, none).filter("score < 0.01").count() == 243
 
 
+def test_letters_are_counted_over_all_texts(spark):
+    labelled = [f"{prose(i, 20)} {'you idiot' if i % 3 == 0 else ''} {prose(i + 1, 20)}" for i in range(90)]
+    others = [f"Вечером на реке, {w}! été «garçon» 1d10t" for w in ("тихо", "холодно", "туман")] * 5
+    texts = [*labelled, *others, None, ""]
+    model = toxicity.fit(docs(spark, texts), spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int"), F.lit(True))
+    want, two = Counter(), Counter()
+    for t in texts:
+        for w in (t or "").lower().split():
+            if (w := w.strip(toxicity.EDGE)).isalpha():
+                s = "^^" + w + "$"
+                want.update(s[i : i + 3] for i in range(len(s) - 2))
+                two.update(s[i : i + 2] for i in range(len(s) - 2))
+    assert model.chars.trigrams == want and model.chars.bigrams == two
+    assert toxicity.restore("х0л0дн0".replace("0", "о" * 3), model.chars) == "холодно"
+
+
 # --- 10 HTML
 
 PAGE = """<html><head><title>T</title><style>x</style></head><body><nav><a href="/">Home</a></nav><div class="sidebar"><p>Related, links.</p></div>
