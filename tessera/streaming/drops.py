@@ -12,10 +12,11 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 def arrivals(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """New files below a folder as a stream: path, modified, sha, format, verdict."""
-    raw = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).load(folder)
+    # the source would leave out files a week older than the newest
+    raw = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("maxFileAge", "36500d").load(folder)
     return sort_formats(raw.select("path", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha")))
 
 
-def once(files: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Images of a stream, each content once within the delay, which bounds what the stream remembers."""
-    return files.filter("verdict = 'image'").withWatermark("modified", delay).dropDuplicatesWithinWatermark(["sha"])
+def once(files: DataFrame) -> DataFrame:
+    """Images of a stream, each content once, however old its file is; the stream remembers the hash of every content taken."""
+    return files.filter("verdict = 'image'").dropDuplicates(["sha"])

@@ -1,5 +1,7 @@
 """Sources, sinks, the stream of arrivals, and array operations."""
 
+import os
+import time
 import zipfile
 
 import numpy as np
@@ -58,6 +60,23 @@ def test_arrivals_come_once(spark, tmp_path):
     assert spark.table("arrived").select(F.countDistinct("sha"), F.count("*")).first() == (2, 2)
 
 
+def test_old_files_that_arrive_late_are_taken(spark, tmp_path):
+    folder, day = tmp_path / "in", 86_400
+    folder.mkdir()
+
+    def arrive(files):
+        for name, (content, age) in files.items():
+            (folder / name).write_bytes(content)
+            os.utime(folder / name, (time.time() - age * day,) * 2)
+        run = once(arrivals(spark, str(folder))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        run.awaitTermination(120)
+        return sorted(r.path.rsplit("/", 1)[1] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert arrive({"1.jpg": (b"1", 0)}) == ["1.jpg"]
+    assert arrive({"2.jpg": (b"2", 8), "3.jpg": (b"3", 400), "again.jpg": (b"1", 30)}) == ["1.jpg", "2.jpg", "3.jpg"]
+    assert arrive({"4.jpg": (b"4", 4000), "5.jpg": (b"3", 0)}) == ["1.jpg", "2.jpg", "3.jpg", "4.jpg"]
+
+
 def test_parts_and_holes():
     rng = np.random.default_rng(3)
     for _ in range(20):
