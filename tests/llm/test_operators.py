@@ -225,6 +225,23 @@ def test_raking_on_frames_equals_raking_on_the_driver(spark, monkeypatch):
     assert one.keys() == two.keys() and all(two[k] == pytest.approx(one[k], abs=1e-5) for k in one)
 
 
+def test_slow_raking_on_frames_goes_on_to_the_tolerance(spark):
+    cells = {("a", "x"): 900, ("a", "y"): 90, ("b", "x"): 1, ("b", "y"): 700}
+    shares = {"source": {"a": 0.4, "b": 0.6}, "lang": {"x": 0.5, "y": 0.5}}
+    df = spark.createDataFrame([(*k, w) for k, w in cells.items()], "source string, lang string, weight long")
+    targets = {m: spark.createDataFrame(list(t.items()), f"{m} string, share double") for m, t in shares.items()}
+    got = mixing.rake_frame(df, targets).collect()
+    whole = sum(r.weight * r.factor for r in got)
+    for m, t in shares.items():
+        for value, share in t.items():
+            assert sum(r.weight * r.factor for r in got if r[m] == value) / whole == pytest.approx(share, abs=1e-8)
+    codes = [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])]
+    one = mixing.rake(np.array(list(cells.values()), float), codes, [np.array(list(t.values())) for t in shares.values()])
+    assert {(r.source, r.lang): r.factor for r in got} == pytest.approx(dict(zip(cells, one)), abs=1e-7)
+    with pytest.warns(UserWarning, match="after 2 rounds"):
+        mixing.rake_frame(df, targets, rounds=2)
+
+
 # --- 8 language
 
 def test_language_codes_and_predictions(spark):
