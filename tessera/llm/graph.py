@@ -26,8 +26,13 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _min_neighbour(pairs: DataFrame) -> DataFrame:
-    """(u, v) with the least of u and its neighbours as m; partial minima come before the shuffle, so no star is gathered."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    """(u, v) with the least of u and its neighbours as m.
+
+    Partial minima come before the shuffle. They are stored before the join, which then meets one row per node as they are: Spark
+    broadcasts them if they are small, and else splits the rows of a star's hub over tasks (adaptive skew join), as it
+    couldn't if the same stage still had to sum them up.
+    """
+    least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     return pairs.join(least, "u")
 
 

@@ -71,15 +71,27 @@ def brute_vectors(rows, t=0.98):
     return {i: (len(near[i]), root[i]) for i in near}
 
 
-@pytest.mark.parametrize("group", [2048, 7])
-def test_vectors_equal_brute_force(spark, group):
+ODD_VECTORS = [(202, [0.0] * 16), (203, [1.0, None] * 8), (204, [float("nan")] * 16), (205, [float("inf")] * 16), (210, [1e200] * 16), (211, [2e200] * 16), (212, [1e-200] * 16), (213, [5e-324] * 16)]
+
+
+@pytest.mark.parametrize("group, large", [(8192, 1 << 20), (20, 1 << 20), (20, 60)])
+def test_vectors_equal_brute_force(spark, group, large):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(8, 16))
     rows = [(i, [float(x) for x in centres[i % 8] + rng.normal(size=16) * (0.02 + 0.03 * (i % 5))], "a" if i % 3 else "b") for i in range(150)]
-    rows += [(200, None, "a"), (201, [], "a"), (202, [0.0] * 16, "a"), (203, [1.0, None] * 8, "a"), (204, [float("nan")] * 16, "a"), (205, [float("inf")] * 16, "a"), (206, rows[0][1], None), (207, rows[0][1], rows[0][2]), (208, [2 * x for x in rows[0][1]], rows[0][2])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df, group=group).collect()}
-    assert got == brute_vectors(rows)
+    rows += [(200, None, "a"), (201, [], "a"), *((i, v, "a") for i, v in ODD_VECTORS), (206, rows[0][1], None), (207, rows[0][1], rows[0][2]), (208, [2 * x for x in rows[0][1]], rows[0][2])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label string, id string, n long")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df, group=group, large=large).collect()}
+    assert got == brute_vectors([(i, v if i < 210 else [1.0] * 16, lab) for i, v, lab in rows])
+
+
+def test_grid_meets_all_that_are_near_and_few_others():
+    rng = np.random.default_rng(1)
+    p, q, r = rng.normal(size=(300, 8)) / 8, rng.normal(size=(200, 8)) / 8, 0.07
+    q[:50] = p[:50] + rng.normal(size=(50, 8)) * r / 4
+    met = [pair for a, b in vectors.grid_pairs(p, q, r) for pair in zip(a.tolist(), b.tolist(), strict=True)]
+    near = {(i, k) for i, k in itertools.product(range(300), range(200)) if ((p[i] - q[k]) ** 2).sum() <= r * r}
+    assert near and near <= set(met) and len(met) == len(set(met)) < 0.05 * 300 * 200
 
 
 def test_no_vectors(spark):
