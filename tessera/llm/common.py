@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have, beginning with `name`; names that differ in case alone count as equal."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id's text modulo n; a null id counts as the text ''."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

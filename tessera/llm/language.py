@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, checkpointed, flat_bytes, fold, keep_share, table
+from .common import LETTERS, checkpointed, flat_bytes, fold, keep_share, table, unused
 
 ORDERS = (2, 3, 4)
 BITS = 15
 SLICE = 1 << 20
+#: Languages with fewer rows lend none to weighing the bits.
+FEW_ROWS = 40
 
 SCHEMA = "lang_pred string, score double, ambiguous boolean"
 
@@ -94,6 +96,14 @@ class Model:
     weights: np.ndarray
     bit_weight: np.ndarray
 
+    @classmethod
+    def of(cls, langs: list[str], counts: np.ndarray) -> Model:
+        """From counts[i, f], how often language i has n-gram bucket f: each bit weighs a bucket by the log ratio of its frequency on both sides."""
+        p = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+        code = codewords(len(langs))
+        side = lambda rows: np.log((rows.mean(0) if len(rows) else 0 * p[0]) + 1e-6)
+        return cls(langs, code, np.stack([side(p[bit > 0]) - side(p[bit < 0]) for bit in code.T], axis=1).astype(np.float32), np.ones(code.shape[1]))
+
     def decode(self, sums: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the language, its share of the likelihood, whether the two nearest codewords are close)."""
         f = sums / np.maximum(count, 1)[:, None]
@@ -120,22 +130,22 @@ def _udf(model: Model):
     return identify
 
 
-def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 1500) -> Model:
+def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 1500, most_langs: int = 200) -> Model:
     """Learn from the rows that `train` marks; about `per_lang` rows of each language bound the sample.
 
-    Rows with a null or empty text or a null language teach nothing. With no teaching row the model knows only 'und'.
+    Rows with a null language, or whose text is null or has no letter, teach nothing, and a language without a row that teaches is no class.
+    Of more than `most_langs` languages those with the most rows are learned (of equal ones the first by name), as the rest of a column with
+    so many values is dirt. A quarter of a language's rows weigh the bits, but of languages with few rows all are learned from. With no
+    teaching row the model knows only 'und'. Repeated rows count as often as they are there; null ids are one id to the sampling.
     """
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key")).filter(
-        train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
-    )
-    n = {r["lang"]: r["n"] for r in docs.filter(train & F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    rows = docs.filter(train & F.col(lang).isNotNull() & F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key"))
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not n:
         return Model(["und"], np.ones((1, 1)), np.zeros((len(ORDERS) << BITS, 1), np.float32), np.ones(1))
     langs = sorted(n)
-    share = F.lit(0.0)
-    for name in langs:
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, per_lang / n[name]))).otherwise(share)
-    sample = checkpointed(rows.filter(keep_share(share, F.col("key"))).withColumn("check", keep_share(0.25, F.col("key"), seed=18)).drop("key"))
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, per_lang / v), v >= FEW_ROWS) for k, v in n.items()], "lang string, share double, many boolean")
+    drawn = rows.join(F.broadcast(shares), "lang").filter(keep_share(F.col("share"), F.col("key")))  # at most most_langs rows are broadcast
+    sample = checkpointed(drawn.select("text", "lang", (F.col("many") & keep_share(0.25, F.col("key"), seed=18)).alias("check")))
 
     size = len(ORDERS) << BITS
 
@@ -155,17 +165,20 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "f", "n"])
 
     got = sample.filter(~F.col("check")).select("text", "lang").mapInArrow(count, "lang string, f int, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(set(got["lang"]))
     counts = np.zeros((len(langs), size))
-    counts[[langs.index(x) for x in got["lang"]], got["f"].to_numpy()] = got["n"].to_numpy()
-    p = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-    code = codewords(len(langs))
-    w = np.stack([np.log(p[bit > 0].mean(0) + 1e-6) - np.log((p[bit < 0].mean(0) if (bit < 0).any() else 0 * p[0]) + 1e-6) for bit in code.T], axis=1)
-    model = Model(langs, code, w.astype(np.float32), np.ones(code.shape[1]))
+    at = {name: i for i, name in enumerate(langs)}
+    counts[[at[x] for x in got["lang"]], got["f"].to_numpy()] = got["n"].to_numpy()
+    if not langs:
+        return Model(["und"], np.ones((1, 1)), np.zeros((size, 1), np.float32), np.ones(1))
+    model = Model.of(langs, counts)
 
     def held_back(batches):
         for b in batches:
+            at = {name: i for i, name in enumerate(model.langs)}
+            known = [i for i, x in enumerate(b.column(1).to_pylist()) if x in at]
             sums, _ = bit_sums(*flat_bytes(b.column(0)), model.weights)
-            right = (sums > 0) == (model.code[[model.langs.index(x) for x in b.column(1).to_pylist()]] > 0)
+            right = (sums[known] > 0) == (model.code[[at[b.column(1)[i].as_py()] for i in known]] > 0)
             yield pa.RecordBatch.from_arrays([pa.array([len(right)], pa.int64()), pa.array([right.sum(0).tolist()], pa.list_(pa.int64()))], names=["n", "right"])
 
     seen = sample.filter("check").select("text", "lang").mapInArrow(held_back, "n long, right array<long>").collect()
@@ -199,9 +212,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Pipeline stage: drops documents without a recognisable language, and corrects `lang` of the rest.
 
     The model is learned from the rows that the stage gets and that carry a language. A document goes if its text is
-    null or has no letter; a near tie between languages alone is no reason to drop a clean document.
+    null or has no letter; a near tie between languages alone is no reason to drop a clean document. Repeated rows stay or go
+    together; an empty table stays empty.
     """
-    cols = docs.columns
-    model = fit(docs, F.lit(True))
-    got = identify(docs, model, into="__language")
-    return got.filter(F.col("__language.lang_pred") != "und").withColumn("lang", F.col("__language.lang_pred")).select(*cols)
+    model, told = fit(docs, F.lit(True)), unused(docs, "language")
+    got = identify(docs, model, into=told)
+    return got.filter(F.col(told)["lang_pred"] != "und").withColumn("lang", F.col(told)["lang_pred"]).drop(told)
