@@ -1,22 +1,26 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
-A text is its shingles of five words, weighted by TF-IDF. Ioffe's consistent weighted sampling (2010) draws from each
-text samples that two texts share with the probability of their weighted Jaccard similarity; three samples make a
-band. Texts that share a band are candidates, and their weighted Jaccard similarity is then computed from the texts.
-
-Document frequencies are counted over all documents in a sketch of fixed width, whose load per bucket is a share of
-the corpus that doesn't depend on its size; so weights, and what counts as similar, are alike at every size. The
-weight is (1 + ln tf) * (3 + idf / idf_max) / 4: damped, so that a large group of near copies doesn't lose its own
-links by being common, and that what is at 0.8 by plain Jaccard similarity is there by the weighted one too.
+A text is its shingles of five words, weighted by TF-IDF; every sign of a script that is written without blanks is a word.
+Ioffe's consistent weighted sampling (2010) draws from each text samples that two texts share with the probability of their
+weighted Jaccard similarity; three samples make a band. Texts that share a band are candidates, and their weighted Jaccard
+similarity is then computed from the texts.
+
+Document frequencies are counted over all documents in a sketch of fixed width, whose load per bucket is a share of the corpus.
+A shingle's idf is the log of the share of documents that have it, on the scale from 0 (in all) to 1 (as rare as the sketch can
+tell); both ends are shares, so from about a thousand documents on, weights don't change with the size of the corpus. The weight is
+(1 + ln tf) * (damp + (1 - damp) * idf). With damp = 0 it is plain TF-IDF, under which a group of near copies that makes up much of a
+corpus loses its own links: what its members share is then common and weighs little, and what differs is rare and weighs much.
+The README has the figures.
 
 In a band's bucket every text is first compared with the bucket's heads, of which there are up to three. Only where
-this leaves a bucket in several components are its other pairs looked at: in cells of bounded size inside tasks, by the share of
-equal samples, and those that may be similar are verified there, once in their first common band. What leaves a task are links
-that join components; no list of a bucket's pairs is ever made.
+this leaves a bucket in several components are its other pairs looked at: in cells of bounded size inside tasks, once in their first
+common band. Weights summed by hash into LANES lanes bound a pair's similarity from above; pairs that the bound doesn't exclude are
+verified there. What leaves a task are links that join components; no list of a bucket's pairs is ever made.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, mix64, sha256_hex, table
+from .common import checkpointed, mix64, sha256_hex, stored, table
 from .graph import components
 
 WORDS = 5
@@ -36,8 +40,11 @@ SKETCH_BITS = 18
 HEADS = 3
 GROUP = 512
 BROADCAST_ROWS = 100_000
-#: Of SAMPLES samples, so many equal ones make a pair worth verifying: four deviations under what 0.8 gives.
-LEAST_EQUAL = 19
+LANES = 512
+#: Part of a shingle's weight that doesn't depend on how common it is.
+DAMP = 0.75
+#: Signs of scripts written without blanks (Thai, Lao, Burmese, Khmer, kana, Han): fixed values, Unicode blocks.
+_SIGN = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64) * _STEP)
@@ -59,6 +66,8 @@ _GAMMA2 = _gamma2_quantiles()
 
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(distinct 64-bit hashes of the text's shingles, how often each occurs); a text of under five words is one shingle."""
+    if not text.isascii() and _SIGN.search(text):
+        text = _SIGN.sub(r" \g<0> ", text)
     words = text.lower().encode().split()
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -107,13 +116,18 @@ def weights(tf: np.ndarray, h: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (1 + np.log(tf)) * idf[bucket_of(h)]
 
 
-def inverse_frequencies(counts: np.ndarray, n_docs: int) -> np.ndarray:
-    """(3 + idf / idf_max) / 4 of each bucket of the sketch."""
-    most = np.log(n_docs + 1.0) or 1.0
-    return (3 + np.log((n_docs + 1.0) / (np.minimum(counts, n_docs) + 1.0)) / most) / 4
+def inverse_frequencies(counts: np.ndarray, n_docs: int, damp: float = DAMP) -> np.ndarray:
+    """damp + (1 - damp) * idf of each bucket of the sketch.
+
+    The rarest share that a bucket can show is its load of other shingles, and never under one document.
+    """
+    share = np.clip(counts, 1, n_docs) / max(n_docs, 1)
+    rarest = min(max(counts.sum() / len(counts), 1.0) / max(n_docs, 1), 1.0)
+    idf = np.log(share) / np.log(rarest) if rarest < 1 else np.ones(len(counts))
+    return damp + (1 - damp) * np.minimum(idf, 1.0)
 
 
-def frequency_sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
+def frequency_sketch(docs: DataFrame, text: str = "text", damp: float = DAMP) -> np.ndarray:
     """Inverse document frequencies by bucket, counted over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +149,7 @@ def frequency_sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
             n_docs = int(n)
         else:
             counts[b] = n
-    return inverse_frequencies(counts, n_docs).astype(np.float32)
+    return inverse_frequencies(counts, n_docs, damp).astype(np.float32)
 
 
 def weighted_jaccard(a: str, b: str, idf: np.ndarray) -> float:
@@ -155,16 +169,12 @@ def _similarity(a, b) -> float:
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-def _signature_udf(idf: np.ndarray):
-    @F.arrow_udf("bands array<long>, samples array<int>")
+def _bands_udf(idf: np.ndarray):
+    @F.arrow_udf("array<long>")
     def run(texts: pa.Array) -> pa.Array:
-        keys, names = [], []
-        for t in texts:
-            h, w = _weighed(t.as_py() or "", idf)
-            s = sample(h, w) if len(h) else None
-            keys.append([] if s is None else bands(s))
-            names.append([] if s is None else (s & np.uint64(0x7FFFFFFF)).astype(np.int32))
-        return pa.StructArray.from_arrays([pa.array(keys, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.int32()))], names=["bands", "samples"])
+        """The keys of each text's bands; none of a text without a word."""
+        weighed = (_weighed(t.as_py() or "", idf) for t in texts)
+        return pa.array([bands(sample(h, w)) if len(h) else [] for h, w in weighed], pa.list_(pa.int64()))
 
     return run
 
@@ -204,28 +214,42 @@ def _shares(rows: list[tuple[np.ndarray, np.ndarray]], i: int, others: np.ndarra
     return both / (w.sum() + np.array([rows[j][1].sum() for j in others]) - both)
 
 
+def lanes(row: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A weighted set's weights summed by hash; of two such sums the lesser bounds what their sets share in a lane."""
+    return np.bincount((row[0] & np.uint64(LANES - 1)).astype(np.int64), row[1], LANES)
+
+
 def _cell_links(idf: np.ndarray, threshold: float):
     """Of a bucket's cell: links enough to join those components that similar pairs of the cell join."""
 
     def run(t: pa.Table) -> pa.Table:
         ids, comp = t.column("id").to_numpy(), t.column("component").to_numpy()
         line, column = (t.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("in_line", "in_column"))
-        names = np.array(t.column("samples").to_pylist(), np.int32).reshape(len(ids), -1)
         keys = np.array(t.column("bands").to_pylist(), np.int64).reshape(len(ids), -1)
         own = int(np.flatnonzero(keys[0] == t.column("band")[0].as_py())[0])
         comp, out = comp.copy(), []
-        rows = [None] * len(ids)
+        rows: list = [None] * len(ids)
+        sums = np.zeros((len(ids), LANES))
         texts = t.column("text")
+
+        def known(i: int):
+            if rows[i] is None:
+                rows[i] = _weighed(texts[int(i)].as_py(), idf)
+                sums[i] = lanes(rows[i])
+            return rows[i]
+
         for i in np.flatnonzero(line):
             # a pair is looked at in its first common band only
             maybe = column & (comp != comp[i]) & (ids > ids[i]) & ~(keys[:, :own] == keys[i, :own]).any(1)
             maybe = np.flatnonzero(maybe)
-            maybe = maybe[(names[maybe] == names[i]).sum(1) >= LEAST_EQUAL]
             if not len(maybe):
                 continue
             for j in (i, *maybe):
-                if rows[j] is None:
-                    rows[j] = _weighed(texts[int(j)].as_py(), idf)
+                known(j)
+            most = np.minimum(sums[maybe], sums[i]).sum(1)
+            maybe = maybe[most >= (threshold - 1e-6) * (sums[maybe].sum(1) + sums[i].sum() - most)]
+            if not len(maybe):
+                continue
             for j in maybe[_shares(rows, i, maybe) >= threshold]:
                 if comp[j] != comp[i]:
                     out.append((ids[i], ids[j]))
@@ -235,22 +259,24 @@ def _cell_links(idf: np.ndarray, threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", group: int = GROUP, damp: float = DAMP) -> DataFrame:
     """One row per input row: key, copy_of (least id of the same text), class_id (least id of the near-duplicate class), kept.
 
     A class is connected by links of similarity >= threshold; equal texts are collapsed first and belong to one class, null
     texts count as ''. Texts without a word link only with equal texts. Ids are taken to be unique; rows of one id count as one
-    document and share its class. Rows with a null id are kept and have null classes. An empty table gives an empty result.
+    document and share its class. Rows with a null id are kept and have null classes. An empty table gives an empty result. Other
+    columns, whatever their names, play no part.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    idf = frequency_sketch(rows)
-    marked = rows.filter(F.col("id").isNotNull()).select("id", sha256_hex(F.col("text")).alias("sha"), _signature_udf(idf)("text").alias("s"))
-    marked = checkpointed(marked.select("id", "sha", "s.*"))
-    reps = checkpointed(marked.groupBy("sha").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("samples").alias("samples")))
+    idf = frequency_sketch(rows, damp=damp)
+    marked = rows.filter(F.col("id").isNotNull()).select("id", sha256_hex(F.col("text")).alias("sha"), _bands_udf(idf)("text").alias("bands"))
+    marked = checkpointed(marked)
+    reps = checkpointed(marked.groupBy("sha").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
 
     members = reps.select("id", F.explode("bands").alias("band"))
     drawn = [F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(1, HEADS)]
-    heads = members.groupBy("band").agg(F.array_distinct(F.array(F.min("id"), *drawn)).alias("heads"), F.count("*").alias("n")).filter("n > 1")
+    # heads are stored before they are met, so that Spark can split the rows of a large bucket over tasks
+    heads = stored(members.groupBy("band").agg(F.array_distinct(F.array(F.min("id"), *drawn)).alias("heads"), F.count("*").alias("n")).filter("n > 1"))
     held = checkpointed(members.join(heads, "band"))
     first = held.select(F.col("id").alias("x"), F.explode("heads").alias("y")).filter("x <> y")
     first = checkpointed(first.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
@@ -270,8 +296,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
             F.transform(every, lambda c: F.struct(own.alias("line"), c.alias("col"), F.lit(True).alias("in_line"), (c == own).alias("in_column"))),
             F.filter(F.transform(every, lambda c: F.struct(c.alias("line"), own.alias("col"), F.lit(False).alias("in_line"), F.lit(True).alias("in_column"))), lambda s: s["line"] != own),
         )
-        cells = waiting.join(reps.select("id", "samples", "bands"), "id").join(texts, "id").withColumn("cell", F.explode(grid))
-        cells = cells.select("band", "cell.*", "id", "component", "samples", "bands", "text")
+        cells = waiting.join(reps.select("id", "bands"), "id").join(texts, "id").withColumn("cell", F.explode(grid))
+        cells = cells.select("band", "cell.*", "id", "component", "bands", "text")
         more = checkpointed(cells.groupBy("band", "line", "col").applyInArrow(_cell_links(idf, threshold), "a long, b long").distinct())
         if not more.isEmpty():
             comps = components(links.unionByName(more)).withColumnRenamed("node", "id")
