@@ -12,8 +12,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import groupby
 
 import numpy as np
@@ -35,6 +36,7 @@ _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _LETTER = re.compile(r"[^\W\d_]")
 PREFIX = range(3, 8)
 CACHE = 400_000
+SMOOTH = 0.05
 #: The share that one word has of a text, counted for a feature beside what clean texts show.
 ONE_WORD = 1 / 200
 
@@ -47,9 +49,29 @@ class CharModel:
     bigrams: dict[str, float] = field(default_factory=dict)
     letters: int = 30
 
+    known: dict[str, float] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, trigrams: dict[str, float]) -> CharModel:
+        bigrams: dict[str, float] = {}
+        for g, n in trigrams.items():
+            bigrams[g[:2]] = bigrams.get(g[:2], 0.0) + n
+        return cls(trigrams, bigrams, len({g[2] for g in trigrams}) or 30)
+
     def cost(self, a: str, b: str, c: str) -> float:
-        n, whole = self.trigrams.get(a + b + c, 0.0), self.bigrams.get(a + b, 0.0)
-        return -math.log((n + 0.05) / (whole + 0.05 * self.letters))
+        """Minus the log of the probability of c after a and b."""
+        key = a + b + c
+        if (got := self.known.get(key)) is None:
+            if len(self.known) > CACHE:
+                self.known.clear()
+            got = math.log((self.bigrams.get(a + b, 0.0) + SMOOTH * self.letters) / (self.trigrams.get(key, 0.0) + SMOOTH))
+            self.known[key] = got
+        return got
+
+    @cached_property
+    def lead(self) -> float:
+        """No state of a lattice that is dearer than another by more than this can win: two letters on, both go on at the same costs."""
+        return 2 * math.log((max(self.bigrams.values(), default=0.0) + SMOOTH * self.letters) / SMOOTH)
 
 
 def _options(c: str, n: int) -> list[tuple[str, float]]:
@@ -71,22 +93,39 @@ def _options(c: str, n: int) -> list[tuple[str, float]]:
     return out
 
 
-def restore(word: str, chars: CharModel, beam: int = 48) -> str:
-    """The likeliest word behind the marks, in lower case."""
-    best: dict[tuple[str, str], tuple[float, str]] = {("^", "^"): (0.0, "")}
+def restore(word: str, chars: CharModel) -> str:
+    """The likeliest word behind the marks, in lower case: the exact best path of the lattice, whose states are the last two letters."""
+    best: dict[tuple[str, str], tuple[float, tuple | None]] = {("^", "^"): (0.0, None)}
     for c, run in groupby(word.lower()):
         n = sum(1 for _ in run)
-        after: dict[tuple[str, str], tuple[float, str]] = {}
-        for (a, b), (cost, text) in best.items():
-            for emit, price in _options(c, n):
+        options = _options(c, n)
+        most = min(cost for cost, _ in best.values()) + chars.lead
+        after: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, path) in best.items():
+            if cost > most:
+                continue
+            for emit, price in options:
                 x, y, total = a, b, cost + price
                 for e in emit:
                     total += chars.cost(x, y, e)
                     x, y = y, e
                 if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, text + emit)
-        best = dict(sorted(after.items(), key=lambda s: s[1][0])[:beam])
-    return min(((cost + chars.cost(a, b, "$"), text) for (a, b), (cost, text) in best.items()), default=(0, ""))[1]
+                    after[x, y] = (total, (path, emit) if emit else path)
+        best = after
+    path = min(((cost + chars.cost(a, b, "$"), a, b) for (a, b), (cost, _) in best.items()))
+    path, out = best[path[1:]][1], []
+    while path:
+        path, emit = path
+        out.append(emit)
+    return "".join(reversed(out))
+
+
+def plain(word: str, chars: CharModel) -> str:
+    """A lower-case word without its edges, restored if it may be disguised."""
+    core = word.strip(EDGE)
+    if not disguised(word):
+        return core
+    return restore(word[0] + core if word[0] in "$@€" else core, chars)
 
 
 def disguised(word: str) -> bool:
@@ -117,20 +156,17 @@ def features(word: str) -> list[str]:
 
 
 class Words(dict):
-    """Weight of each word as written or restored, worked out at its first look-up."""
+    """What `of` makes of each word, worked out at its first look-up."""
 
-    def __init__(self, model: Model):
+    def __init__(self, of: Callable):
         super().__init__()
-        self.model = model
+        self.of = of
 
-    def __missing__(self, word: str) -> float:
-        weights = self.model.weights
-        score = max((weights.get(f, 0.0) for f in features(word.strip(EDGE))), default=0.0)
-        if disguised(word):
-            lead = word[:1] if word[:1] in "$@€" else ""
-            score = max(score, max(weights.get(f, 0.0) for f in features(restore(lead + word.strip(EDGE), self.model.chars))))
-        self[word] = score
-        return score
+    def __missing__(self, word: str):
+        if len(self) > CACHE:
+            self.clear()
+        self[word] = got = self.of(word)
+        return got
 
 
 @dataclass
@@ -139,17 +175,26 @@ class Model:
     chars: CharModel
     coef: np.ndarray
 
+    def weight(self, word: str) -> float:
+        """Weight of a word as restored."""
+        return max((self.weights.get(f, 0.0) for f in features(plain(word, self.chars))), default=0.0)
+
+    def weight_inside(self, letters: str) -> float:
+        """Greatest weight of a word that begins somewhere in these letters, which were written apart."""
+        word, longest = restore(letters, self.chars), self.longest
+        ends = (self.weights.get("=" + word[i:], 0.0) for i in range(max(0, len(word) - longest), len(word)))
+        starts = (self.weights.get("^" + word[i : i + k], 0.0) for i in range(len(word)) for k in PREFIX if i + k <= len(word))
+        return max((*ends, *starts), default=0.0)
+
+    @cached_property
+    def longest(self) -> int:
+        return max((len(f) - 1 for f in self.weights if f[0] == "="), default=0)
+
     def evidence(self, text: str, words: Words) -> tuple[float, float, float]:
         """(weight of the worst word, log of the weights' sum, log of their sum per thousand words) of a text."""
-        if len(words) > CACHE:
-            words.clear()
         tokens = text.lower().split()
         w = np.fromiter(map(words.__getitem__, tokens), float, len(tokens))
-        apart = []
-        for run in spelled_apart(tokens):
-            word = restore(run, self.chars)
-            apart.append(max((self.weights.get(f, 0.0) for i in range(len(word)) for f in features(word[i:])), default=0.0))
-        w = np.append(w, apart)
+        w = np.append(w, [self.weight_inside(run) for run in spelled_apart(tokens)])
         heavy = w[w > 0]
         if not len(heavy):
             return 0.0, 0.0, 0.0
@@ -160,10 +205,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _document_words(text: str) -> Counter:
-    return _words(Counter(text.lower().split()))
-
-
 def _words(tokens: Counter) -> Counter:
     out: Counter = Counter()
     for t, n in tokens.items():
@@ -189,18 +230,28 @@ def _counts(rows: DataFrame, what) -> DataFrame:
     return rows.select("text").mapInArrow(run, "name string, n long, total double").groupBy("name").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
-def _text_features(text: str) -> dict[str, float]:
-    """Share of a text's words that have each feature."""
-    words, out = _document_words(text), Counter()
-    for w, n in words.items():
-        for f in features(w):
-            out[f] += n
-    m = words.total()
-    return {f: n / m for f, n in out.items()}
+def _text_features(chars: CharModel) -> Callable:
+    restored = Words(lambda w: plain(w, chars))
+
+    def of(text: str) -> dict[str, float]:
+        """Share of a text's words that have each feature, as restored."""
+        out: Counter = Counter()
+        m = 0
+        for t, n in Counter(text.lower().split()).items():
+            if _LETTER.search(w := restored[t]):
+                m += n
+                for f in features(w):
+                    out[f] += n
+        return {f: n / m for f, n in out.items()}
+
+    return of
 
 
 def _trigrams(rows: DataFrame) -> DataFrame:
-    """How often (total) each trigram (name) comes up in the words of all texts."""
+    """How often (total) each trigram (name) comes up in the words of all texts.
+
+    Words of scripts from U+0590 on are left out: what marks stand for is Latin, and trigrams of scripts of thousands of signs have no bound.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -208,7 +259,7 @@ def _trigrams(rows: DataFrame) -> DataFrame:
             for t in b.column(0):
                 tokens.update(t.as_py().lower().split())
             for w, n in _words(tokens).items():
-                if w.isalpha():
+                if w.isalpha() and max(w) < "\u0590":
                     s = "^^" + w + "$"
                     for i in range(len(s) - 2):
                         total[s[i : i + 3]] += n
@@ -228,10 +279,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int
     return coef
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", key: str = "doc_id", most_rows: int = 24_000, most_features: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", key: str = "doc_id", most_rows: int = 24_000) -> Model:
     """Learn from about `most_rows` labelled rows that `train` marks; a third of them calibrates the final score.
 
-    The trigrams that restore disguised words need no label and are counted over all rows of docs. Without a toxic row among them, every text scores 0.
+    The trigrams that restore disguised words need no label and are counted over all rows of docs. Every feature that enough toxic rows have
+    is weighed; only most_rows bounds how many there are. Labels without an id teach nothing, of repeated labels the greatest counts, and
+    documents that share an id share its label. Without a toxic row among them, every text scores 0.
     """
     known = labels.filter(train & F.col("toxic").isNotNull() & F.col(key).isNotNull())
     n = known.count()
@@ -244,23 +297,18 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", k
     if not pos:
         return Model({}, CharModel(), np.array([-20.0, 0, 0, 0]))
 
-    least = max(3, min(8, pos // 40))
-    top = _counts(learn.filter("toxic = 1"), _text_features).filter(F.col("n") >= least).orderBy(F.desc("n"), "name").limit(most_features * 3)
-    p = {r["name"]: (r["n"], r["total"]) for r in top.collect()}
-    seen = _counts(learn.filter("toxic = 0"), lambda t: {f: x for f, x in _text_features(t).items() if f in p})
+    chars = CharModel.of({r["name"]: float(r["total"]) for r in _trigrams(docs.select(F.col(text).alias("text"))).orderBy("name").collect()})
+    found, least = _text_features(chars), max(3, min(8, pos // 40))
+    p = {r["name"]: (r["n"], r["total"]) for r in _counts(learn.filter("toxic = 1"), found).filter(F.col("n") >= least).collect()}
+    seen = _counts(learn.filter("toxic = 0"), lambda t: {f: x for f, x in found(t).items() if f in p})
     q = {r["name"]: (r["n"], r["total"]) for r in seen.collect()}
     weights = {}
-    for f, (a, in_pos) in p.items():
+    for f, (a, in_pos) in sorted(p.items()):
         # mean shares of words, so that a long clean text that has a word by chance says little; bounded by the numbers of texts
         b, in_neg = q.get(f, (0, 0.0))
         low = math.log(in_pos / pos) - 1.5 / math.sqrt(a + 0.5) - math.log((in_neg * (1 + 1.5 / math.sqrt(b + 0.25)) + ONE_WORD) / (neg + 1))
         if low > 1:
             weights[f] = low
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:most_features])
-    chars = CharModel({r["name"]: float(r["total"]) for r in _trigrams(docs.select(F.col(text).alias("text"))).orderBy("name").collect()})
-    for g, c in chars.trigrams.items():
-        chars.bigrams[g[:2]] = chars.bigrams.get(g[:2], 0.0) + c
-    chars.letters = len({g[2] for g in chars.trigrams}) or 30
     model = Model(weights, chars, np.zeros(4))
     got = rows.filter("check").select("toxic", _evidence_udf(model)(F.col("text")).alias("x")).toPandas()
     y = got["toxic"].to_numpy(float)
@@ -271,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", k
 def _evidence_udf(model: Model):
     @F.arrow_udf("array<double>")
     def run(texts: pa.Array) -> pa.Array:
-        words = Words(model)
+        words = Words(model.weight)
         return pa.array([model.evidence(t.as_py() or "", words) for t in texts], pa.list_(pa.float64()))
 
     return run
@@ -284,7 +332,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
     """
     @F.arrow_udf("double")
     def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = Words(model)
+        words = Words(model.weight)
         for texts in batches:
             x = np.array([model.evidence(t.as_py() or "", words) for t in texts]).reshape(-1, 3)
             yield pa.array(model.score(x))

@@ -282,10 +282,7 @@ def test_disguises_are_restored():
     for w in ["idiot", "stupid", "house", "garden"] * 30:
         s = "^^" + w + "$"
         counts.update(s[i : i + 3] for i in range(len(s) - 2))
-    chars = toxicity.CharModel({k: float(v) for k, v in counts.items()})
-    for g, n in counts.items():
-        chars.bigrams[g[:2]] = chars.bigrams.get(g[:2], 0.0) + n
-    chars.letters = 20
+    chars = toxicity.CharModel.of({k: float(v) for k, v in counts.items()})
     for word in ("1d10t", "i.d.i.o.t", "iiidiooot", "$tup1d"):
         assert toxicity.restore(word, chars) in ("idiot", "stupid")
     assert toxicity.spelled_apart("you i d i o t there".split()) == ["idiot"]
