@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|object|select|title|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
-    r"|<([/!?]?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
-    r"|<[/!?]?[a-zA-Z][^<>]*>",
-    re.S | re.I,
-)
+_TAG = re.compile(r"</?([a-zA-Z][\w:-]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -37,7 +33,12 @@ BLOCK = frozenset(
     " address hr header footer nav aside form fieldset details summary center dialog menu hgroup search head legend".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CLEANED = frozenset("head form button fieldset datalist label input legend".split())
+CLEANED = frozenset("head form button fieldset datalist label input legend svg select".split())
+#: Elements whose content is no markup; without an end tag the first ones take the rest of the page, the others nothing.
+CODE = frozenset("script style".split())
+RAW = CODE | frozenset("noscript template textarea iframe title".split())
+#: Elements that end where a block begins, whether closed or not.
+INLINE = frozenset("svg select".split())
 BESIDE = frozenset("nav header footer dialog menu search".split())
 CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -72,11 +73,89 @@ def _mark(tag: str, attrs: str) -> str | None:
     return "--" if tag in BESIDE else "-" if tag == "aside" else "+" if tag in CONTENT else ""
 
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(path, text, characters inside links) of each block of text, in page order; marked elements of a path end in + or -."""
-    out: list[tuple[str, str, int]] = []
+class Tags:
+    """Tags of a page in order, found in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.quoted = True  # until a tag's quotes turn out not to close; from there on quotes mean nothing
+        self.unclosed: set[str] = set()
+
+    def _end(self, at: int) -> int:
+        """Where the tag that begins at `at` ends, or -1."""
+        k = at
+        while self.quoted:
+            m = _STOP.search(self.page, k)
+            if m and m[0] == ">":
+                return m.end()
+            k = self.page.find(m[0], m.end()) + 1 if m else 0
+            if not k:
+                self.quoted = False
+        return self.page.find(">", at) + 1 or -1
+
+    def _after(self, name: str, at: int) -> int:
+        """Where an element without markup inside ends, if it begins before `at`."""
+        if name not in self.unclosed:
+            if m := re.compile(rf"</{name}\s*>", re.I).search(self.page, at):
+                return m.end()
+            self.unclosed.add(name)
+        return len(self.page) if name in CODE else at
+
+    def __iter__(self):
+        """(text before the tag, name, '/' for an end tag, attributes); the last one has no name."""
+        page, at = self.page, 0
+        text = 0  # begin of the text before the next tag
+        while (at := page.find("<", at)) >= 0:
+            after = page[at + 1 : at + 2]
+            name = ""
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4) + 3
+                end = end if end > 2 else len(page)
+            elif after in ("!", "?") and after:
+                end = self._end(at)
+            elif m := _TAG.match(page, at):
+                name, end = m[1].lower(), self._end(m.end())
+            else:
+                at += 1
+                continue
+            if end < 0:  # no '>' any more: what is left is text
+                break
+            before = page[text:at]
+            if name in RAW and after != "/":
+                end, name = self._after(name, end), ""
+            yield before, name, "/" if after == "/" else "", page[m.end() : end - 1] if name else ""
+            at = text = end
+        yield page[text:], None, "", ""
+
+
+class Paths:
+    """Root-to-leaf paths as a tree of numbered nodes: each has a tag, the marks of its whole path and, where this differs, the path without headers."""
+
+    def __init__(self):
+        self.parent, self.tag, self.lowered, self.raised, self.bare = [0], [""], [0], [False], [0]
+        self.known: dict[tuple[int, str, str], int] = {}
+
+    def child(self, above: int, tag: str, mark: str) -> int:
+        key = (above, tag, mark)
+        if key not in self.known:
+            bare = above if self.bare[above] == above else self.bare[above]
+            header = tag == "header" and mark == "--"
+            bare = bare if header or bare == above else self.child(bare, tag, mark)
+            self.known[key] = n = len(self.tag)
+            self.parent.append(above)
+            self.tag.append(tag)
+            self.lowered.append(self.lowered[above] + mark.count("-"))
+            self.raised.append(self.raised[above] or mark == "+")
+            self.bare.append(bare if header or bare != above else n)
+        return self.known[key]
+
+
+def blocks(page: str, paths: Paths) -> list[tuple[int, str, int]]:
+    """(path, text, characters inside links) of each block of text, in page order."""
+    out: list[tuple[int, str, int]] = []
     # of each open block element: tag, path, whether it is cleaned away
-    stack: list[tuple[str, str, bool]] = [("", "", False)]
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    open_: Counter = Counter()
     parts: list[str] = []
     link, linked = 0, 0
 
@@ -89,32 +168,30 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
                 out.append((stack[-1][1], text, min(linked, len(text))))
         linked = 0
 
-    def add(raw: str):
-        nonlocal linked
-        if raw and not stack[-1][2]:
-            parts.append(html.unescape(raw))
+    def cut(k: int):
+        for tag, _, _ in stack[k:]:
+            open_[tag] -= 1
+        del stack[k:]
+
+    for text, tag, end, attrs in Tags(page):
+        if text and not stack[-1][2]:
+            parts.append(html.unescape(text))
             if link:
-                linked += len(raw)
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None or m[2] in ("!", "?"):
+                linked += len(text)
+        if not tag:
             continue
-        tag = tag.lower()
-        if m[2] == "/":
+        if end:
             if tag in BLOCK:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if open_[tag]:
+                    k = len(stack) - 1
+                    while stack[k][0] != tag:
+                        k -= 1
+                    cut(k)
             elif tag == "a":
                 link = 0
-            elif tag in ("button", "label", "datalist") and stack[-1][0] == tag:
-                stack.pop()
+            elif tag in CLEANED and stack[-1][0] == tag:
+                cut(len(stack) - 1)
             continue
         if tag == "br":
             parts.append(" ")
@@ -125,26 +202,31 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         elif tag in BLOCK or tag in CLEANED:
             flush()
             if tag in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p" or stack[k][0] in CLOSES.get(tag, "").split():
-                        del stack[k:]
+                while stack[-1][0] in INLINE:
+                    cut(len(stack) - 1)
+                closed = ("p", *CLOSES.get(tag, "").split())
+                k = len(stack) - 1 if any(open_[c] for c in closed) else 0
+                while k > 0:
+                    if stack[k][0] in closed:
+                        cut(k)
                     elif stack[k][0] in SCOPES or stack[k][0] not in HEADINGS:
                         break
+                    k -= 1
             if tag == "hr":
                 continue
             _, above, cleaned = stack[-1]
-            mark = _mark(tag, m[4])
-            if tag in HEADINGS and "+" in above:
-                above = above.replace(">header--", "")  # an article's own headings belong to it
-            stack.append((tag, f"{above}>{tag}{mark or ''}", cleaned or mark is None))
-    add(page[at:])
+            mark = _mark(tag, attrs)
+            if tag in HEADINGS and paths.raised[above]:
+                above = paths.bare[above]  # an article's own headings belong to it
+            stack.append((tag, paths.child(above, tag, mark or ""), cleaned or mark is None))
+            open_[tag] += 1
     flush()
     return out
 
 
-def path_scores(found: list[tuple[str, str, int]]) -> dict[str, float]:
+def path_scores(found: list[tuple[int, str, int]], paths: Paths) -> dict[int, float]:
     """Score of each path: text and punctuation per node, smoothed along the page, damped by links, then changed by marks."""
-    order: dict[str, int] = {}
+    order: dict[int, int] = {}
     for path, _, _ in found:
         order.setdefault(path, len(order))
     n = len(order)
@@ -166,30 +248,36 @@ def path_scores(found: list[tuple[str, str, int]]) -> dict[str, float]:
     fused = text_ratio * (1 + punct_ratio) * (1 - linked / np.maximum(length, 1)) ** 2
     # a path of many nodes is the trunk of the page, one of few a twig
     fused = np.sqrt(fused * np.log1p(length))
-    lower = np.array([LOWERED ** path.count("-") for path in order])
+    lower = np.array([LOWERED ** paths.lowered[p] for p in order])
     fused = fused * lower
     # raised by what is best after lowering, or a short article would always push out a long text under a bad name
-    fused += RAISED * fused.max() * lower * np.array(["+" in path for path in order])
+    fused += RAISED * fused.max() * lower * np.array([paths.raised[p] for p in order])
     return dict(zip(order, fused.tolist(), strict=True))
 
 
 def main_text(page: str | None, threshold: float = 0.35) -> str:
-    """The main text of one page; '' for a null or empty page or one without any."""
+    """The main text of one page; '' for a null or empty page or one without any. Takes time in proportion to the page's length.
+
+    An element that isn't closed loses no text (but what follows an unclosed script, style or comment is part of it).
+    """
     if not page:
         return ""
-    found = blocks(page)
+    paths = Paths()
+    found = blocks(page, paths)
     if not found:
         return ""
-    score = path_scores(found)
+    score = path_scores(found, paths)
     least = threshold * max(score.values())
     chosen = {p for p, s in score.items() if s >= least}
-    parents = {p.rpartition(">")[0] for p in chosen}
-    keep = [b[1] for b in found if b[0] in chosen or (b[0].rpartition(">")[2] in HEADINGS and b[0].rpartition(">")[0] in parents)]
-    return "\n".join(keep)
+    parents = {paths.parent[p] for p in chosen}
+    return "\n".join(text for p, text, _ in found if p in chosen or (paths.tag[p] in HEADINGS and paths.parent[p] in parents))
 
 
 def extract(pages: DataFrame, markup: str = "html", into: str = "text", threshold: float = 0.35) -> DataFrame:
-    """Adds the main text of every page as `into` (a column of that name is replaced). Null or empty pages give ''."""
+    """Adds the main text of every page as `into` (a column of that name is replaced). Null or empty pages give ''; very long ones are taken whole.
+
+    Rows and other columns stay, repeated rows too.
+    """
 
     @F.arrow_udf("string")
     def run(rows: pa.Array) -> pa.Array:
