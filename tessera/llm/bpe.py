@@ -3,14 +3,17 @@
 Texts are split into words by the vocabulary's pattern. The symbols of all words that a worker has not met yet lie in
 one flat array; in each round every word merges its pair of lowest rank, and ranks are found by binary search over
 the sorted pair keys (left id << 32 | right id). Encoded words are kept in a flat store, from which a batch's ids are
-gathered.
+gathered. A round takes time in proportion to a word's length, so words of over LONG bytes, which would take very many, have their
+merges drawn from a heap instead.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 #: The split pattern and the byte alphabet of public byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -26,6 +29,7 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 STORE_WORDS = 200_000
 NEVER = np.int64(1 << 40)
+LONG = 1000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -69,6 +73,31 @@ class Vocabulary:
             byte_id[b] = vocab[c]
         return cls(keys[order], order.astype(np.int64), merged[order], byte_id, np.frombuffer(b"".join(whole), np.uint8), start, added)
 
+    @cached_property
+    def rank_of(self) -> dict[int, tuple[int, int]]:
+        """(rank, merged id) of each pair key."""
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
+
+    def merge_long(self, word: bytes) -> list[int]:
+        """Ids of one long word: always the leftmost pair of the lowest rank merges, found by a heap over a linked list of symbols."""
+        sym = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
+        n = len(sym)
+        before, after, rank = list(range(-1, n - 1)), list(range(1, n + 1)), self.rank_of
+        heap = [(r[0], i, k) for i in range(n - 1) if (r := rank.get(k := sym[i] << 32 | sym[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, key = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] < 0 or j >= n or sym[i] << 32 | sym[j] != key:
+                continue  # one of the two has been merged since
+            sym[i], sym[j], after[i] = rank[key][1], -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a in (before[i], i):
+                if a >= 0 and after[a] < n and (r := rank.get(k := sym[a] << 32 | sym[after[a]])):
+                    heapq.heappush(heap, (r[0], a, k))
+        return [s for s in sym if s >= 0]
+
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of each word's ids)."""
         sizes = np.array([len(w) for w in words], np.int64)
@@ -104,6 +133,9 @@ class Vocabulary:
         return ids[order].astype(np.uint32), np.bincount(of, minlength=len(words))
 
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of some ids; ids that the vocabulary doesn't have stand for nothing."""
+        known = (ids >= 0) & (ids < len(self.token_start) - 1)
+        ids = ids if known.all() else ids[known]
         start = self.token_start[ids]
         return self.token_bytes[_ragged(start, self.token_start[ids.astype(np.int64) + 1] - start)]
 
@@ -143,13 +175,17 @@ class Encoder:
         return out
 
     def _learn(self, new: list[str]) -> None:
-        special = [w.startswith("\0added:") and w[7:] in self.vocab.added for w in new]
-        ids, size = self.vocab.merge_words([b"" if s else w.encode() for w, s in zip(new, special, strict=True)])
-        if any(special):
-            at = np.cumsum(size)
-            where = [i for i, s in enumerate(special) if s]
-            ids = np.insert(ids, at[where], [self.vocab.added[new[i][7:]] for i in where]).astype(np.uint32)
-            size[where] = 1
+        words = [w.encode() for w in new]
+        apart = {i: [self.vocab.added[w[7:]]] for i, w in enumerate(new) if w.startswith("\0added:") and w[7:] in self.vocab.added}
+        apart |= {i: self.vocab.merge_long(w) for i, w in enumerate(words) if len(w) > LONG and i not in apart}
+        ids, size = self.vocab.merge_words([b"" if i in apart else w for i, w in enumerate(words)])
+        if apart:
+            where = np.array(list(apart))
+            where.sort()
+            own = [np.array(apart[i], np.uint32) for i in where.tolist()]
+            at = np.repeat(np.cumsum(size)[where], [len(x) for x in own])
+            ids = np.insert(ids, at, np.concatenate(own)).astype(np.uint32)
+            size[where] = [len(x) for x in own]
         self.start = np.append(self.start, len(self.store) + np.cumsum(size) - size)
         self.size = np.append(self.size, size)
         self.store = np.append(self.store, ids)
@@ -202,7 +238,8 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", into: str = "ids") -> DataFrame:
-    """Adds the ids of each whole text, as array<int>, in column `into`. Null texts give an empty array."""
+    """Adds the ids of each whole text, as array<int>, in column `into` (one of that name is replaced). Null texts give an empty array. Rows,
+    repeated ones too, and all other columns stay."""
     path = path or vocabulary_path()
 
     @F.arrow_udf("array<int>")
@@ -219,13 +256,14 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", into: s
 
 
 def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """Adds the text of each array of ids; bytes that are not UTF-8 become U+FFFD. Null arrays give ''."""
+    """Adds the text of each array of ids as `into`; bytes that are not UTF-8 become U+FFFD. Null arrays give ''; nulls in an array and
+    ids that the vocabulary doesn't have stand for nothing. Rows, repeated ones too, and all other columns stay."""
     path = path or vocabulary_path()
 
     @F.arrow_udf("string")
     def run(lists: pa.Array) -> pa.Array:
         vocab = encoder(path).vocab
-        return pa.array([vocab.decode_bytes(np.array(x or [], np.int64)).tobytes().decode("utf-8", "replace") for x in lists.to_pylist()], pa.string())
+        return pa.array([vocab.decode_bytes(np.array([i for i in x or () if i is not None], np.int64)).tobytes().decode("utf-8", "replace") for x in lists.to_pylist()], pa.string())
 
     return rows.withColumn(into, run(F.col(ids)))
 
@@ -233,7 +271,8 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", into: str
 def round_trip(docs: DataFrame, path: str | None = None, text: str = "text", into: str = "bpe") -> DataFrame:
     """Adds a struct (n_tokens, ids_sha256, decoded_sha256): digests of the ids and of what they decode to.
 
-    Encodes and decodes inside one task, so that ids of long texts never cross a boundary. Null texts count as empty.
+    Encodes and decodes inside one task, so that ids of long texts never cross a boundary. Null texts count as empty. Rows, repeated ones
+    too, and all other columns stay.
     """
     path = path or vocabulary_path()
 
@@ -259,5 +298,6 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: every document that is left, with its number of tokens and the digests of its ids."""
-    return round_trip(docs, into="__bpe").select("doc_id", "lang", "source", "__bpe.*")
+    """Last pipeline stage: every document that is left, with its number of tokens and the digests of its ids. Null texts count as empty."""
+    told = unused(docs, "bpe")
+    return round_trip(docs, into=told).select("doc_id", "lang", "source", f"{told}.*")
