@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_bytes, fold, keep_share, table
+from .common import flat_bytes, fold, keep_share, table, unused
 
 CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "comma", "shout", "bar", "symbol", "high")
 _KIND = np.full(256, CLASSES.index("symbol"), np.int64)
@@ -153,7 +153,8 @@ def train(pos: np.ndarray, unl: np.ndarray, steps: int = 800, seed: int = 3) ->
 
 def fit(docs: DataFrame, labels: DataFrame, trusted: Column, text: str = "text", key: str = "doc_id", max_pos: int = 6000, max_unl: int = 9000) -> Model:
     """Fit on about `max_pos` trusted positives (rows of `labels` that are 1 in quality, in the rows that `trusted`
-    marks) and `max_unl` unlabelled documents of the same rows. Without any positive, every text counts as good."""
+    marks) and `max_unl` unlabelled documents of the same rows. Without any positive, every text counts as good. Labels without an id
+    teach nothing, of repeated labels one positive is enough, and documents that share an id share its label."""
     good = labels.filter((F.col("quality") == 1) & trusted & F.col(key).isNotNull())
     n_good, n_docs = good.count(), docs.count()
     if not n_good or not n_docs:
@@ -177,7 +178,7 @@ def _features_udf(texts: pa.Array) -> pa.Array:
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """Adds the quality, 0 to 1, of each whole text as `into` (a column of that name is replaced).
 
-    Null and empty texts score 0. Rows and all other columns stay.
+    Null and empty texts score 0, equal texts alike. Rows and all other columns stay.
     """
 
     @F.arrow_udf("double")
@@ -197,6 +198,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drops the documents that score below 0.5; all columns and the other rows stay."""
-    model = fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
-    return score(docs, model, into="__quality").filter("__quality >= 0.5").drop("__quality")
+    """Pipeline stage: drops the documents that score below 0.5; all columns and the other rows stay. Null and empty texts go; repeated rows
+    stay or go together; an empty table stays empty."""
+    model, told = fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1), unused(docs, "quality")
+    return score(docs, model, into=told).filter(F.col(told) >= 0.5).drop(told)
