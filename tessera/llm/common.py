@@ -41,16 +41,28 @@ def keep_share(share: Column | float, *cols: Column, seed: int = 17) -> Column:
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * share
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or the one that the context was given.
 
-    Only where the session names none (tests, a laptop) is a folder of this machine set.
+    Only on one machine (tests, a laptop) is a folder of its own made where neither is set; elsewhere that is an error, as executors would each
+    write to a disk that the others don't see.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return shared
+    if given := sc.getCheckpointDir():
+        return given
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the shared folder."""
+    sc, shared = df.sparkSession.sparkContext, shared_folder(df.sparkSession)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared)
     return df.checkpoint()
 
 
@@ -61,8 +73,7 @@ def stored(df: DataFrame) -> DataFrame:
     loop the estimate alone would be megabytes of digits. A table that is read again has the size of its files.
     """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{shared}/tessera-{uuid.uuid4()}"
+    path = f"{shared_folder(spark)}/tessera-{uuid.uuid4()}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -25,15 +25,15 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def _min_neighbour(pairs: DataFrame) -> DataFrame:
-    """(u, v) with the least of u and its neighbours as m.
+def _min_neighbour(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v) with the least of u and its neighbours as m, and the table of these.
 
     Partial minima come before the shuffle. They are stored before the join, which then meets one row per node as they are: Spark
     broadcasts them if they are small, and else splits the rows of a star's hub over tasks (adaptive skew join), as it
     couldn't if the same stage still had to sum them up.
     """
     least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-    return pairs.join(least, "u")
+    return pairs.join(least, "u"), least
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -47,10 +47,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     seen = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _min_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = _min_neighbour(large)
+        met, first = _min_neighbour(both)
+        large = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small, second = _min_neighbour(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        e = stored(small.filter("u <> v").distinct())
+        last, e = e, stored(small.filter("u <> v").distinct())
+        for done in (last, first, second):
+            discard(done)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
