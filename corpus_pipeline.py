@@ -6,12 +6,12 @@ Parquet and read again as the next one's docs. All but the last return the colum
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import encode_documents
+from tessera.llm.common import discard, shared_folder
 from tessera.llm.language import keep_known_languages
 from tessera.llm.minhash import keep_one_of_each
 from tessera.llm.mixing import keep_mixture
@@ -30,11 +30,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what lies between them is kept in the folder that the executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-pipeline-")
-    place = f"{shared}/pipeline-{uuid.uuid4()}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`. What lies between them is kept in the folder that the executors share, until the next stage has read it."""
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
-        docs = spark.read.parquet(f"{place}/{name}")
+        if last is not None:
+            discard(last)
+        docs = last = spark.read.parquet(f"{place}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
