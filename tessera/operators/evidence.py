@@ -24,27 +24,72 @@ def candidates(readings: DataFrame) -> DataFrame:
     return found.withColumn("score", score + r.source_adjustment(F.col("source_crop"), F.col("source_rotation")))
 
 
+def _source() -> Column:
+    return F.struct(r.canonical_crop(F.col("source_crop")).alias("crop"), F.col("source_rotation").alias("rotation"))
+
+
+def measures() -> dict[str, Column]:
+    """What the readings of one value add up to: the best one (of equal scores the one seen first), and which (strong) sources agree."""
+    return {
+        "best": F.max(F.struct("score", (-F.col("pos")).alias("p"), (-F.col("match_no")).alias("m"), "confidence", "source_rotation", "source_crop")),
+        "first_seen": F.min(F.struct("pos", "match_no")),
+        "sources": F.collect_set(_source()),
+        "strong_sources": F.collect_set(F.when(F.col("confidence") >= STRONG_CONFIDENCE, _source())),
+    }
+
+
+def _with_bonus() -> Column:
+    bonus = F.least(F.greatest(F.lit(0), F.size("strong_sources") - 1) * BONUS_PER_SOURCE, F.lit(MOST_BONUS))
+    return F.least(F.col("best.score") + bonus, F.lit(1.0))
+
+
 def consensus(found: DataFrame) -> DataFrame:
     """One row per item and value: best reading, number of (strong) sources, score with the bonus for agreement.
 
     Partial aggregates come before the shuffle, so an item with very many readings is no burden to one task. Of equal
     scores the reading seen first is the best.
     """
-    source = F.struct(r.canonical_crop(F.col("source_crop")).alias("crop"), F.col("source_rotation").alias("rotation"))
-    best = F.max(F.struct("score", (-F.col("pos")).alias("p"), (-F.col("match_no")).alias("m"), "confidence", "source_rotation", "source_crop"))
-    out = found.groupBy("item_id", "value").agg(
-        best.alias("best"),
-        F.min(F.struct("pos", "match_no")).alias("first_seen"),
-        F.size(F.collect_set(source)).alias("source_count"),
-        F.size(F.collect_set(F.when(F.col("confidence") >= STRONG_CONFIDENCE, source))).alias("strong_source_count"),
-    )
-    bonus = F.least(F.greatest(F.lit(0), F.col("strong_source_count") - 1) * BONUS_PER_SOURCE, F.lit(MOST_BONUS))
+    out = found.groupBy("item_id", "value").agg(*(c.alias(n) for n, c in measures().items()))
     return out.select(
-        "item_id", "value", F.least(F.col("best.score") + bonus, F.lit(1.0)).alias("score"), "source_count", "strong_source_count", "first_seen",
+        "item_id", "value", _with_bonus().alias("score"), F.size("sources").alias("source_count"), F.size("strong_sources").alias("strong_source_count"), "first_seen",
+        F.col("best.confidence").alias("best_confidence"), F.col("best.source_rotation").alias("best_rotation"), F.col("best.source_crop").alias("best_crop"),
+    )
+
+
+def entry() -> Column:
+    """A value of an item; entries sort from the best to the least."""
+    return F.struct(
+        (-_with_bonus()).alias("order"), "first_seen", "value", _with_bonus().alias("score"), F.size("sources").alias("source_count"), F.size("strong_sources").alias("strong"),
         F.col("best.confidence").alias("best_confidence"), F.col("best.source_rotation").alias("best_rotation"), F.col("best.source_crop").alias("best_crop"),
     )
 
 
+def with_numbers(readings: DataFrame) -> DataFrame:
+    """Each reading once as it is (value null) and once for each standalone number in it, with the number's score."""
+    none = F.struct(F.lit(None).cast("int").alias("match_no"), F.lit(None).cast("string").alias("value"))
+    found = F.transform(r.standalone_numbers(F.col("text")), lambda v, i: F.struct(i.alias("match_no"), v.alias("value")))
+    x = readings.withColumn("prominence", r.prominence(F.col("bbox"))).withColumn("n", F.explode(F.concat(F.array(none), F.coalesce(found, F.array().cast("array<struct<match_no: int, value: string>>")))))
+    score = F.col("confidence") * r.CONFIDENCE_SHARE + F.col("prominence") * r.PROMINENCE_SHARE + F.lit(r.LENGTH_BONUS) + r.source_adjustment(F.col("source_crop"), F.col("source_rotation"))
+    return x.select("*", "n.match_no", "n.value").withColumn("score", F.when(F.col("value").isNotNull(), score)).drop("n", "bbox")
+
+
+def text_of() -> Column:
+    return F.when(F.col("value").isNull() & (F.trim("text") != ""), F.struct("pos", "text"))
+
+
+def joined(texts: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(texts), lambda x: x["text"]), " | ")
+
+
+def gathered(readings: DataFrame) -> DataFrame:
+    """One row per item: raw_text, and values, what its readings of each value add up to.
+
+    The readings of a value are summed before they are moved; then an item's values, which are few, come together with its texts.
+    """
+    by_value = with_numbers(readings).groupBy("item_id", "value").agg(*(c.alias(n) for n, c in measures().items()), F.collect_list(text_of()).alias("texts"))
+    return by_value.groupBy("item_id").agg(F.collect_list(F.when(F.col("value").isNotNull(), entry())).alias("values"), joined(F.flatten(F.collect_list("texts"))).alias("raw_text"))
+
+
 def ranked(values: DataFrame, most: int | None = None) -> DataFrame:
     """Adds place: 1 for the item's best value; of equal scores the value seen first. Only the first `most` places, if given."""
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "first_seen")
@@ -80,17 +125,20 @@ def decide(readings: DataFrame, threshold: float = 0.45) -> DataFrame:
     A single reading is never accepted, however sure, unless it is the far stronger side of a tag read from both ends.
     Items without a text fail, items without a number have no tag; their other columns are null or 0.
     """
-    values = consensus(candidates(readings))
-    top = ranked(values, most=2)
-    first, second = F.col("place") == 1, F.col("place") == 2
-    pick = lambda c, at, name: F.max(F.when(at, F.col(c))).alias(name)
-    two = top.groupBy("item_id").agg(
-        pick("value", first, "value"), pick("score", first, "score"), pick("source_count", first, "source_count"),
-        pick("strong_source_count", first, "strong"), pick("best_confidence", first, "best_confidence"), pick("best_rotation", first, "best_rotation"),
-        pick("best_crop", first, "best_crop"), pick("value", second, "r_value"), pick("score", second, "r_score"), pick("source_count", second, "r_sources"),
-        pick("best_crop", second, "r_crop"), pick("best_rotation", second, "r_rotation"),
+    return settle(gathered(readings), threshold)
+
+
+def settle(items: DataFrame, threshold: float = 0.45) -> DataFrame:
+    """The decision about each item (item_id, raw_text, values) as decide() gives it; further columns stay in front."""
+    x = items.withColumn("sorted", F.array_sort("values"))
+    x = x.withColumn("a", F.try_element_at("sorted", F.lit(1))).withColumn("b", F.try_element_at("sorted", F.lit(2)))
+    met = F.filter("values", lambda v: opposite(F.col("a.value"), F.col("a.best_crop"), F.col("a.best_rotation"), v["value"], v["best_crop"], v["best_rotation"]))
+    strongest = F.transform(met, lambda v: F.struct(v["score"].alias("score"), (-v["first_seen"]["pos"]).alias("p"), (-v["first_seen"]["match_no"]).alias("m"), v["value"].alias("value")))
+    x = x.withColumn("back", F.array_max(strongest)).select(
+        *(c for c in items.columns if c not in ("values", "raw_text")), "raw_text", *(f"a.{c}" for c in ("value", "score", "source_count", "strong", "best_confidence", "best_rotation", "best_crop")),
+        F.col("b.value").alias("r_value"), F.col("b.score").alias("r_score"), F.col("b.source_count").alias("r_sources"), F.col("b.best_crop").alias("r_crop"),
+        F.col("b.best_rotation").alias("r_rotation"), F.col("back.value").alias("reverse_value"), F.col("back.score").alias("reverse_score"),
     )
-    x = raw_texts(readings).join(two, "item_id", "left").join(reverse_matches(values, two), "item_id", "left")
 
     confidence = F.round(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)), 4)
     margin = F.when(F.col("r_score").isNull(), 1.0).otherwise(F.col("score") - F.col("r_score"))
@@ -129,7 +177,7 @@ def decide(readings: DataFrame, threshold: float = 0.45) -> DataFrame:
         .otherwise(F.concat(F.format_string("%s is supported by %d independent sources.", "value", "strong"), F.coalesce(F.format_string(" Stronger than %s, its reading from the other side.", "reverse_value"), F.lit(""))))
     )
     return x.select(
-        "item_id", F.coalesce("value", F.lit("")).alias("tag_number"), F.coalesce(confidence, F.lit(0.0)).alias("confidence"), "raw_text",
+        *(c for c in items.columns if c not in ("values", "raw_text")), F.coalesce("value", F.lit("")).alias("tag_number"), F.coalesce(confidence, F.lit(0.0)).alias("confidence"), "raw_text",
         status.alias("status"), "branch", notes.alias("notes"),
         F.coalesce("source_count", F.lit(0)).alias("evidence_count"), F.coalesce("strong", F.lit(0)).alias("strong_evidence_count"),
         F.coalesce(F.round("best_confidence", 4), F.lit(0.0)).alias("best_ocr_confidence"),

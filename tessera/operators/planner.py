@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evidence import decide, safe_consensus
+from .evidence import entry, joined, measures, safe_consensus, settle, text_of, with_numbers
 
 #: fixed values: attempts that an item may take
 BUDGET = {"fast": 16, "deep": 28}
@@ -24,15 +24,26 @@ def within_budget(attempts: DataFrame, mode: str = "fast") -> DataFrame:
 def replay(readings: DataFrame, threshold: float = 0.45) -> DataFrame:
     """Per item the checkpoint at which its reading stops, and the decision there: the first that is safe, else the last.
 
-    readings have a column `checkpoint`; every decision takes all readings up to its checkpoint. The budget bounds the
-    checkpoints of an item, and with them how often a reading is repeated.
+    readings have a column `checkpoint`; every decision takes all readings up to its checkpoint. What a value's readings add up to runs
+    along the checkpoints, once for all; a checkpoint then takes of each value the state that holds there. The budget bounds the checkpoints
+    of an item.
     """
-    most = readings.groupBy("item_id").agg(F.sort_array(F.collect_set("checkpoint")).alias("all"))
-    seen = readings.join(most, "item_id").withColumn("at", F.explode(F.filter("all", lambda c: c >= F.col("checkpoint"))))
-    seen = seen.drop("all", "checkpoint").withColumn("item_id", F.struct("item_id", "at"))
-    made = decide(seen, threshold).select("item_id.item_id", "item_id.at", "tag_number", "confidence", "status", "strong_evidence_count")
+    x = with_numbers(readings)
+    so_far = Window.partitionBy("item_id", "value").orderBy("checkpoint").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.select("item_id", "value", "checkpoint", "pos", "text", *(c.over(so_far).alias(n) for n, c in measures().items()))
+    states = x.groupBy("item_id", "value", "checkpoint").agg(*(F.first(n).alias(n) for n in measures()), F.collect_list(text_of()).alias("texts"))
+    after = F.lead("checkpoint").over(Window.partitionBy("item_id", "value").orderBy("checkpoint"))
+    states = states.withColumn("until", after)
+    items = states.groupBy("item_id").agg(
+        F.collect_list(F.when(F.col("value").isNotNull(), F.struct("checkpoint", "until", entry().alias("e")))).alias("states"), F.collect_list(F.struct("checkpoint", "texts")).alias("texts"),
+        F.sort_array(F.collect_set("checkpoint")).alias("all"),
+    )
+    at = items.withColumn("at", F.explode("all"))
+    holds = F.filter("states", lambda s: (s["checkpoint"] <= F.col("at")) & (s["until"].isNull() | (s["until"] > F.col("at"))))
+    seen = F.flatten(F.transform(F.filter("texts", lambda t: t["checkpoint"] <= F.col("at")), lambda t: t["texts"]))
+    made = settle(at.select("item_id", "at", F.transform(holds, lambda s: s["e"]).alias("values"), joined(seen).alias("raw_text")), threshold)
     safe = F.coalesce(safe_consensus(made, threshold), F.lit(False))
-    told = made.withColumn("safe", safe)
+    told = made.select("item_id", "at", "tag_number", "confidence", "status", safe.alias("safe"))
     stop = told.groupBy("item_id").agg(
         F.min(F.when(F.col("safe"), F.struct("at", "tag_number", "confidence", "status"))).alias("s"), F.max(F.struct("at", "tag_number", "confidence", "status")).alias("l")
     )
