@@ -84,3 +84,10 @@ def preview_names(name: Column) -> Column:
     stem = drop_suffix(name)
     kinds = {"candidate": "_candidate_white.png", "preservation": "_u2net_white.png", "white": "_ai_white.png", "transparent": "_ai_transparent.png"}
     return F.struct(*(F.concat(stem, F.lit(end)).alias(kind) for kind, end in kinds.items()))
+
+
+def quantile(ascending: Column, share: float) -> Column:
+    """Quantile of an ascending array of doubles, interpolated between neighbours; null of an empty one."""
+    at = (F.size(ascending) - 1) * F.lit(share)
+    low = F.try_element_at(ascending, (F.floor(at) + 1).cast("int"))
+    return low + (at - F.floor(at)) * (F.try_element_at(ascending, (F.ceil(at) + 1).cast("int")) - low)

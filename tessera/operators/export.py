@@ -25,16 +25,18 @@ def pick(encodings: DataFrame, budget: int = BUDGET) -> DataFrame:
     The floor of quality counts before the edge: the first floor for which some edge fits, the largest such edge, and of that edge the
     highest quality that fits. Where none does, the largest of the last edges at quality 1. Null if nothing fits.
     """
-    floors = F.array(*map(F.lit, QUALITY_FLOORS))
-    fits = encodings.filter((F.col("bytes") <= budget) & (F.col("bytes") > 0))
-    step = F.array_position(floors, F.col("quality"))
-    normal = fits.filter(step > 0).groupBy("image").agg(F.min(F.struct(step.alias("step"), (-F.col("long_edge")).alias("e"))).alias("m"))
-    normal = normal.select("image", (-F.col("m.e")).alias("edge"), F.element_at(floors, F.col("m.step").cast("int")).alias("least"))
-    best = fits.join(normal, "image").filter((F.col("long_edge") == F.col("edge")) & (F.col("quality") >= F.col("least")))
-    best = best.groupBy("image").agg(F.max(F.struct("quality", "long_edge", "bytes")).alias("b"))
-    last = fits.filter((F.col("quality") == 1) & F.col("long_edge").isin(*LAST_EDGES)).groupBy("image").agg(F.max(F.struct("long_edge", "quality", "bytes")).alias("l"))
-    every = encodings.select("image").distinct().join(best, "image", "left").join(last, "image", "left")
-    return every.select("image", *(F.coalesce(f"b.{c}", f"l.{c}").alias(c) for c in ("quality", "long_edge", "bytes")))
+    step = F.array_position(F.array(*map(F.lit, QUALITY_FLOORS)), F.col("quality"))
+    fits = (F.col("bytes") <= budget) & (F.col("bytes") > 0)
+    # of an edge on which a floor fits, the highest quality that fits is the one to take
+    edges = encodings.groupBy("image", "long_edge").agg(
+        F.min(F.when(fits & (step > 0), step)).alias("step"), F.max(F.when(fits, F.struct("quality", "bytes"))).alias("top"),
+        F.max(F.when(fits & (F.col("quality") == 1) & F.col("long_edge").isin(*LAST_EDGES), F.col("bytes"))).alias("last"),
+    )
+    found = edges.groupBy("image").agg(
+        F.min(F.when(F.col("step").isNotNull(), F.struct("step", (-F.col("long_edge")).alias("e"), "top.quality", "long_edge", "top.bytes"))).alias("b"),
+        F.max(F.when(F.col("last").isNotNull(), F.struct("long_edge", F.lit(1).alias("quality"), F.col("last").alias("bytes")))).alias("l"),
+    )
+    return found.select("image", *(F.coalesce(f"b.{c}", f"l.{c}").alias(c) for c in ("quality", "long_edge", "bytes")))
 
 
 def current(exports: DataFrame, budget: int = BUDGET) -> DataFrame:
