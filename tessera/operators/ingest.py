@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import base_name, drop_suffix, suffix
+from ..functions.labels import base_name, suffix
 from ..schemas import IMAGE_SUFFIXES
+from .naming import free_files
 
 #: fixed values: limits of an archive
 MOST_MEMBERS, MOST_TOTAL = 5_000, 4 * 1024**3
@@ -73,16 +74,9 @@ def archive_cascade(members: DataFrame) -> DataFrame:
 
 
 def archive_targets(members: DataFrame) -> DataFrame:
-    """Taken members with the name that each gets: of equal targets in an archive the first keeps it, later ones end in _2, _3, ..."""
-    from pyspark.sql import Window
-
+    """Taken members with the name that each gets (final): one whose target is taken gets the next free of _2, _3, ..., and is renamed."""
     taken = archive_cascade(members).filter("verdict = 'taken'")
-    # an archive has at most MOST_MEMBERS members, or none is taken; so a window over one target is bounded
-    nth = F.row_number().over(Window.partitionBy("archive", "target").orderBy("pos"))
-    dot = F.regexp_extract(F.col("target"), r"[^/](\.[^./]*)$", 1)
-    return taken.withColumn("nth", nth).withColumn(
-        "final", F.when(F.col("nth") == 1, F.col("target")).otherwise(F.concat(drop_suffix(F.col("target")), F.lit("_"), F.col("nth").cast("string"), dot))
-    ).withColumn("renamed", F.col("nth") > 1)
+    return free_files(taken, ["archive"], "target", "pos")
 
 
 def latest_run(reports: DataFrame, markers: DataFrame, root: str = "root") -> DataFrame:

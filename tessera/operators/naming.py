@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import numbered, safe_stem
 from ..schemas import DUPLICATE_TAG, OK, REVIEW_REQUIRED
+from ..tables import stored
 
 BLOCK = 1 << 14
 
@@ -31,22 +36,135 @@ def running(rows: DataFrame, keys: list[str], order: str, sums: dict[str, Column
     return met.select(*rows.columns, *((F.col(n) + F.col(f"__{n}")).alias(n) for n in sums))
 
 
+#: A name that another one gets when it is taken: its stem, _ and a number from 2 on.
+NUMBERED = r"_([2-9]|[1-9][0-9]{1,8})$"
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    out = a[keys[0]].eqNullSafe(b[keys[0]])
+    for k in keys[1:]:
+        out = out & a[k].eqNullSafe(b[k])
+    return out
+
+
+def _settle(place: list[str]):
+    """Of stems that are asked for both as they are and as numbers of others: which numbers a stem finds taken. Rows come family by family, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, types = None, None
+        taken: dict[str, set] = {}
+        ahead: dict[str, list] = {}  # numbers taken beyond those that the stem has used
+        used: dict[str, tuple] = {}  # of a stem: how many asked so far, and the number that the last of them got
+
+        def settled(done: list) -> pa.RecordBatch:
+            cols = list(zip(*done, strict=True)) or [[]] * (len(place) + 2)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*place, "stem", "taken"])
+
+        for b in batches:
+            types = [*(b.schema.field(c).type for c in place), pa.string(), pa.list_(pa.int64())]
+            done = []
+            for row in b.to_pylist():
+                at = (*(row[c] for c in place), row["root"])
+                if at != family:
+                    done += [(*family[:-1], s, sorted(t)) for s, t in taken.items()]
+                    family, taken, ahead, used = at, {}, {}, {}
+                stem, parent, k = row["stem"], row["parent"], row["k"]
+                count, last = used.get(parent, (0, 0))
+                numbers = ahead.setdefault(parent, [1] if 1 in taken.get(parent, ()) else [])
+                while count < row["before"]:
+                    free = numbers[0] - 1 - last if numbers else row["before"]
+                    step = min(free, row["before"] - count)
+                    count, last = count + step, last + step
+                    if count < row["before"]:
+                        last = heapq.heappop(numbers)
+                used[parent] = (count, last)
+                if k <= last:
+                    taken.setdefault(stem, set()).add(1)  # the other stem has had this number already
+                else:
+                    taken.setdefault(parent, set()).add(k)
+                    heapq.heappush(numbers, k)
+            yield settled(done)
+        if family:
+            yield settled([(*family[:-1], s, sorted(t)) for s, t in taken.items()])
+
+    return run
+
+
+def free_numbers(rows: DataFrame, place: list[str], stem: str, order: str) -> DataFrame:
+    """Adds number: 1 if a row gets its stem itself, else the n of stem_n, the first name that is free when its turn comes.
+
+    order is a whole number that is unique in a place. A stem such as a_2 may be asked for too, and is then not free to a, or taken by a already. Rows
+    of a stem are counted by `running`, so one stem may hold a large part of all rows; only distinct stems that can meet such numbers, with
+    how many asked before them, are settled together, in order.
+    """
+    keys = [*place, stem]
+    x = stored(running(rows, keys, order, {"nth": F.lit(1)}))  # read several times below
+    asked = x.groupBy(*keys).agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    asked = asked.select(*place, F.col(stem).alias("stem"), "first", "n", F.regexp_replace(stem, NUMBERED, "").alias("parent"), F.regexp_extract(stem, NUMBERED, 1).alias("k"))
+    children = asked.filter((F.col("k") != "") & (F.col("parent") != "")).withColumn("k", F.col("k").try_cast("long"))
+    most = children.groupBy(*place, "parent").agg(F.count("*").alias("children"))
+    parents = asked.select(*place, F.col("stem").alias("parent"), F.col("n").alias("asked")).alias("p")
+    met = parents.join(most.alias("m"), _same(parents, most, [*place, "parent"])).select(*(parents[c] for c in [*place, "parent"]), "asked", "children")
+    # a stem's rows get numbers up to one more than they and the taken numbers are
+    near = children.join(met, _same(children, met, [*place, "parent"])).filter(F.col("k") <= F.col("asked") + F.col("children") + 1)
+    near = stored(near.select(*(children[c] for c in place), children["stem"], children["first"], children["parent"], children["k"]))
+    if near.isEmpty():
+        return x.withColumnRenamed("nth", "number")
+    heads = near.select(*place, "parent").distinct()
+    of = x.join(heads, _same(x, heads, place) & x[stem].eqNullSafe(heads["parent"]), "left_semi").select(*place, F.col(stem).alias("parent"), F.col(order).alias("__at"), F.lit(1).alias("w"), F.lit(None).cast("string").alias("stem"), F.lit(None).cast("long").alias("k"))
+    marks = near.select(*place, "parent", F.col("first").alias("__at"), F.lit(0).alias("w"), "stem", "k")
+    before = running(of.unionByName(marks), [*place, "parent"], "__at", {"before": F.col("w")}).filter(F.col("stem").isNotNull())
+    root = F.regexp_replace("stem", NUMBERED.replace("_(", "(_(").replace(")$", "))+$"), "")
+    before = before.select(*place, "parent", F.col("__at").alias("first"), "stem", "k", "before", F.size(F.split("stem", "_")).alias("depth"), root.alias("root"))
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in place)
+    families = before.repartition(*place, "root").sortWithinPartitions(*place, "root", "depth", "first")
+    taken = families.mapInArrow(_settle(place), f"{types}{', ' if types else ''}stem string, taken array<long>").withColumnRenamed("stem", "__stem")
+    out = x.join(taken, _same(x, taken, place) & x[stem].eqNullSafe(taken["__stem"]), "left")
+    number = F.aggregate(F.coalesce("taken", F.array().cast("array<long>")), x["nth"], lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+    return out.select(*(x[c] for c in rows.columns), number.alias("number"))
+
+
+def free_files(rows: DataFrame, place: list[str], name: str, order: str, is_directory: Column | None = None) -> DataFrame:
+    """Adds final, the first free name of a file in order (a.jpg, a_2.jpg, ...; a directory's suffix is part of its stem), and renamed.
+
+    Files are told from directories by their kind alone: a directory x.jpg doesn't make a file x.jpg take another name.
+    """
+    ending = F.regexp_extract(F.col(name), r"[^/](\.[^./]+)$", 1)
+    ending = ending if is_directory is None else F.when(is_directory, "").otherwise(ending)
+    x = rows.withColumn("__ending", ending).withColumn("__name", F.col(name).substr(F.lit(1), F.length(name) - F.length("__ending")))
+    x = free_numbers(stored(x), [*place, "__ending"], "__name", order)  # what led to the names isn't worked out again
+    final = F.concat("__name", F.when(F.col("number") > 1, F.concat(F.lit("_"), F.col("number").cast("string"))).otherwise(""), "__ending")
+    return x.withColumn("final", final).withColumn("renamed", F.col("number") > 1).drop("__ending", "__name", "number")
+
+
 def path_key(path: Column) -> Column:
     """Sorts as paths do, component by component."""
     return F.split(path, "/")
 
 
 def item_ids(files: DataFrame, batch: str = "batch", path: str = "path") -> DataFrame:
-    """Adds item_id (item_000001, ...) by order of paths in each batch. A batch is what one run takes in."""
-    place = F.row_number().over(Window.partitionBy(batch).orderBy(path_key(F.col(path)), *(c for c in files.columns if c not in (batch, path))))
-    return files.withColumn("item_id", F.format_string("item_%06d", place))
+    """Adds item_id (item_000001, ...) by order of paths in each batch, and of equal paths by the other columns.
+
+    A batch may hold a large part of all rows: its rows are sorted over all tasks by range, counted in each range, and numbered from
+    what earlier ranges hold. The ranges stay as they are, as their table is stored.
+    """
+    order = [F.col(batch).asc_nulls_first(), path_key(F.col(path)).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in files.columns if c not in (batch, path))]
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(files.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy(batch, "__range").agg(F.count("*").alias("__n"))  # one row per range and batch in it
+    earlier = Window.partitionBy(batch).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(batch).alias("__batch"), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(batch, "__range").orderBy(*order))
+    met = ranged.withColumn("__nth", within).join(sizes, F.col(batch).eqNullSafe(F.col("__batch")) & (F.col("__range") == F.col("__r")))
+    return met.select(*files.columns, F.format_string("item_%06d", F.col("__nth") + F.col("__before")).alias("item_id"))
 
 
 def output_names(photos: DataFrame, mode: str = "white_and_transparent") -> DataFrame:
     """Statuses and names of outputs; photos: batch, item (order in the batch), filename, tag_number, status, background_ok (null: background off).
 
     A tag that was accepted earlier in its batch is a duplicate, even where the earlier photo waits for a decision
-    about its background; names are numbered by the files that were really written, so the two counts differ. White and
+    about its background; names are numbered by the files that were really written, so the two counts differ. Tags are digits, so no number of one
+    is another; names for review may be, and take the next free one. White and
     transparent files are numbered in their own folders. Adds status, output_folder, final_filename, transparent_filename.
     """
     accepted = F.col("status") == OK
@@ -59,8 +177,7 @@ def output_names(photos: DataFrame, mode: str = "white_and_transparent") -> Data
     folder = F.when(waiting, "background_review").when(~accepted, "review_required").when(clear & F.lit(mode == "transparent_only"), "transparent_images").otherwise("processed_images")
     prefix = F.when(waiting, "BG_REVIEW_").otherwise("REVIEW_")
     x = x.withColumn("output_folder", folder).withColumn("stem", F.when(done, F.col("tag_number")).otherwise(safe_stem(F.concat(prefix, safe_stem(F.col("filename"))))))
-    review = x.filter(~done)
-    review = running(review, ["batch", "output_folder", "stem"], "item", {"nth": F.lit(1)})
+    review = free_numbers(x.filter(~done), ["batch", "output_folder"], "stem", "item").withColumnRenamed("number", "nth")
     written = x.filter(done).withColumn("nth", F.when(F.col("output_folder") == "transparent_images", F.col("nth_clear")).otherwise(F.col("nth_white")))
     out = written.unionByName(review)
     final = F.when(done, F.when((F.col("nth_tag") > 1) | (F.col("nth") > 1), DUPLICATE_TAG).otherwise(OK)).when(waiting, REVIEW_REQUIRED).otherwise(F.col("status"))

@@ -114,11 +114,9 @@ def report_update(spark: SparkSession, d: str) -> DataFrame:
 @query
 def qa_compare(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_orderkey")
-    cases = table(spark, d, "orders").filter(key % 3 == 0).groupBy(F.concat(F.lit("IMG_"), F.col("o_custkey").cast("string"), F.lit(".jpg")).alias("original_filename")).agg(
-        F.max(F.when(key % 4 == 0, "-").otherwise((100000 + key % 9973).cast("string"))).alias("expected")
-    )
-    rows = bridges.report(spark, d).filter(F.col("item_id").cast("long") % 5 != 0)
-    return report.qa_compare(cases, rows)
+    name = F.concat(F.when(key % 9 == 4, "NEW_").otherwise("IMG_"), F.col("o_custkey").cast("string"), F.lit(".jpg"))
+    cases = table(spark, d, "orders").groupBy(name.alias("original_filename")).agg(F.max(F.when(key % 4 == 0, "-").otherwise((100000 + key % 9973).cast("string"))).alias("expected"))
+    return report.qa_compare(cases, bridges.report(spark, d))
 
 
 @query
@@ -172,6 +170,11 @@ def archive_renames(spark: SparkSession, d: str) -> DataFrame:
     return ingest.archive_targets(bridges.members(spark, d)).select("pos", "archive", "final", "renamed")
 
 
+@query
+def saved_names(spark: SparkSession, d: str) -> DataFrame:
+    return naming.free_files(bridges.saved(spark, d), ["destination"], "name", "item", F.col("is_directory")).select("item", "final", "renamed")
+
+
 @query
 def manifest_verify(spark: SparkSession, d: str) -> DataFrame:
     return ingest.manifest_verify(bridges.manifest(spark, d), bridges.on_disk(spark, d))
@@ -318,10 +321,9 @@ def hybrid_route(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def mask_stats(spark: SparkSession, d: str) -> DataFrame:
-    p = bridges.rasters(spark, d).select("image_id", F.explode("pixels").alias("p"))
-    return p.groupBy("image_id").agg(
-        F.round(F.avg((F.col("p") > 0).cast("double")), 9).alias("foreground"), F.round(F.percentile("p", 0.5), 9).alias("p50"), F.round(F.percentile("p", 0.9), 9).alias("p90"),
-    )
+    p = bridges.rasters(spark, d).withColumn("sorted", F.sort_array("pixels"))
+    share = F.size(F.filter("pixels", lambda v: v > 0)) / F.size("pixels")
+    return p.select("image_id", F.round(share, 9).alias("foreground"), F.round(labels.quantile(F.col("sorted"), 0.5), 9).alias("p50"), F.round(labels.quantile(F.col("sorted"), 0.9), 9).alias("p90"))
 
 
 @query

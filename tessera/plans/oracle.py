@@ -45,24 +45,45 @@ D2 AS (SELECT *, CASE WHEN raw_text = '' THEN 'no_text' WHEN value IS NULL THEN
   WHEN reverse_value IS NOT NULL THEN 'accepted_after_reverse' ELSE 'accepted' END AS branch FROM D1),
 D AS (SELECT *, CASE WHEN branch = 'no_text' THEN 'OCR_FAILED' WHEN branch = 'no_number' THEN 'TAG_NOT_FOUND' WHEN branch LIKE 'accepted%' THEN 'OK' ELSE 'REVIEW_REQUIRED' END AS status FROM D2)"""
 
+#: The decision at every checkpoint: readings up to it, under an id of item and checkpoint.
+_REPLAY = _READINGS + """,
+KP AS (SELECT DISTINCT item_id, CAST(floor((pos + 1) / 2) AS BIGINT) AS cp FROM R),
+RX AS (SELECT r.* REPLACE (r.item_id * 64 + k.cp AS item_id) FROM R r JOIN KP k ON r.item_id = k.item_id AND floor((r.pos + 1) / 2) <= k.cp)""" + _DECISION[len(_READINGS) :].replace(
+    "FROM R)", "FROM RX)").replace("FROM R GROUP", "FROM RX GROUP")
+
 _PHOTOS = """
-H0 AS (SELECT CAST(floor(o_orderkey / 20000) AS BIGINT) AS batch, o_orderkey AS item, o_orderkey AS k, 'IMG_' || CAST(o_custkey % 50 AS VARCHAR) AS stem0,
+H0 AS (SELECT CAST(floor(o_orderkey / 20000) AS BIGINT) AS batch, o_orderkey AS item, o_orderkey AS k, 'IMG_' || CAST(o_custkey % 50 AS VARCHAR) || '_b' || ['', '_2', '_3', '_2_2', '_40', '', '', '', '', '', ''][o_orderkey % 11 + 1] AS stem0,
   CASE WHEN o_orderkey % 13 = 5 THEN 'REVIEW_REQUIRED' WHEN o_orderkey % 17 = 3 THEN 'OCR_FAILED' WHEN o_orderkey % 19 = 7 THEN 'TAG_NOT_FOUND' WHEN o_orderkey % 101 = 9 THEN 'ERROR' ELSE 'OK' END AS status
   FROM orders),
 H AS (SELECT *, CASE WHEN status IN ('OCR_FAILED', 'TAG_NOT_FOUND', 'ERROR') THEN '' ELSE CAST(100000 + k % 997 AS VARCHAR) END AS tag,
   status = 'OK' AND k % 7 <> 2 AND k % 9 <> 4 AS removed, status = 'OK' AND k % 7 <> 2 AND k % 9 = 4 AS waits, status = 'OK' AND k % 7 = 2 AS plain FROM H0)"""
 
 
+def _walk(rows: str, place: str, into: str) -> str:
+    """Names given one by one: of rows (place, stem, ending, ord) each takes its stem, or the first stem_n that is not used yet. Only names that
+    differ in trailing numbers alone can meet, so each such family is walked on its own."""
+    same = " AND ".join(f"w.{c} IS NOT DISTINCT FROM s.{c}" for c in (*place.split(", "), "ending", "root"))
+    at = ", ".join(f"s.{c}" for c in place.split(", "))
+    free = "CASE WHEN NOT list_contains(w.used, s.stem) THEN 1 ELSE list_filter(range(2, len(w.used) + 3), lambda n: NOT list_contains(w.used, s.stem || '_' || CAST(n AS VARCHAR)))[1] END"
+    return f"""
+{into}_0 AS (SELECT *, regexp_replace(stem, '(_[0-9]+)+$', '') AS root FROM {rows}),
+{into}_1 AS (SELECT *, row_number() OVER (PARTITION BY {place}, ending, root ORDER BY ord) AS turn FROM {into}_0),
+{into}_2 AS (SELECT {at.replace("s.", "")}, ending, root, ord, turn, stem, CAST(1 AS BIGINT) AS n, [stem] AS used FROM {into}_1 WHERE turn = 1
+  UNION ALL SELECT {at}, s.ending, s.root, s.ord, s.turn, s.stem, {free}, list_append(w.used, CASE WHEN {free} = 1 THEN s.stem ELSE s.stem || '_' || CAST({free} AS VARCHAR) END)
+  FROM {into}_2 w JOIN {into}_1 s ON {same} AND s.turn = w.turn + 1),
+{into} AS (SELECT {at.replace("s.", "")}, ending, ord, n, used[-1] || ending AS final FROM {into}_2)"""
+
+
 def _names(transparent_only: bool) -> str:
     white, clear = ("plain", "removed") if transparent_only else ("plain OR removed", "removed")
     file = "removed" if transparent_only else "false"
-    return "WITH" + _PHOTOS + f""",
+    return "WITH RECURSIVE" + _PHOTOS + f""",
 N AS (SELECT *, sum(CAST(status = 'OK' AS INT)) OVER w AS nth_tag, sum(CAST({white} AS INT)) OVER w AS nth_white, sum(CAST({clear} AS INT)) OVER w AS nth_clear
   FROM H WINDOW w AS (PARTITION BY batch, tag ORDER BY item)),
 M AS (SELECT *, CASE WHEN waits THEN 'background_review' WHEN status <> 'OK' THEN 'review_required' WHEN {file} THEN 'transparent_images' ELSE 'processed_images' END AS output_folder,
-  CASE WHEN waits THEN 'BG_REVIEW_' WHEN status <> 'OK' THEN 'REVIEW_' END || stem0 || '_b' AS review_stem FROM N),
-L AS (SELECT *, CASE WHEN review_stem IS NULL THEN (CASE WHEN output_folder = 'transparent_images' THEN nth_clear ELSE nth_white END)
-  ELSE row_number() OVER (PARTITION BY batch, output_folder, review_stem ORDER BY item) END AS nth FROM M)
+  CASE WHEN waits THEN 'BG_REVIEW_' WHEN status <> 'OK' THEN 'REVIEW_' END || stem0 AS review_stem FROM N),
+V AS (SELECT batch, output_folder, review_stem AS stem, '.png' AS ending, item AS ord FROM M WHERE review_stem IS NOT NULL),{_walk("V", "batch, output_folder", "VN")},
+L AS (SELECT M.*, CASE WHEN review_stem IS NULL THEN (CASE WHEN M.output_folder = 'transparent_images' THEN nth_clear ELSE nth_white END) ELSE VN.n END AS nth FROM M LEFT JOIN VN ON M.item = VN.ord)
 SELECT item, CASE WHEN review_stem IS NULL THEN (CASE WHEN nth_tag > 1 OR nth > 1 THEN 'DUPLICATE_TAG' ELSE 'OK' END) WHEN waits THEN 'REVIEW_REQUIRED' ELSE status END AS status, output_folder,
   coalesce(review_stem, tag) || CASE WHEN nth > 1 THEN '_' || CAST(CAST(nth AS BIGINT) AS VARCHAR) ELSE '' END || '.png' AS final_filename,
   CASE WHEN removed THEN tag || CASE WHEN nth_clear > 1 THEN '_' || CAST(CAST(nth_clear AS BIGINT) AS VARCHAR) ELSE '' END || '.png' ELSE '' END AS transparent_filename FROM L"""
@@ -83,7 +104,7 @@ MM AS (SELECT * FROM MI UNION ALL SELECT selector, item_id, original_filename, '
 
 _MEMBERS = """
 A0 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS rn, l_partkey AS p, l_suppkey AS s,
-  'photo ' || CAST(l_partkey % 20 AS VARCHAR) || '.jpg' AS leaf FROM lineitem),
+  'photo ' || CAST(l_partkey % 20 AS VARCHAR) || ['', '_2', '_3', '_2_2', '_40', '', '', '', '', '', '', ''][l_partkey % 12 + 1] || '.jpg' AS leaf FROM lineitem),
 A AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey % 97 + 1 END AS archive, l_orderkey * 64 + rn AS pos, s % 61 = 0 AS enc, p, s, leaf,
   CASE WHEN p % 41 = 0 OR p % 43 = 0 OR p % 47 = 0 THEN 'bad' WHEN p % 37 = 0 THEN 'ok' WHEN p % 31 = 0 THEN 'ok' WHEN p % 29 = 0 OR p % 53 = 0 THEN 'skip' ELSE 'ok' END AS sort,
   CASE WHEN p % 37 = 0 THEN 'set/' || leaf WHEN p % 31 = 0 THEN leaf ELSE 'set' || CAST(s % 5 AS VARCHAR) || '/' || leaf END AS inside,
@@ -125,6 +146,24 @@ ORACLE_SQL: dict[str, str] = {
 SELECT item_id, coalesce(value, '') AS tag_number, coalesce(confidence, 0) AS confidence, raw_text, status, branch, CAST(coalesce(source_count, 0) AS INT) AS evidence_count,
   CAST(coalesce(strong, 0) AS INT) AS strong_evidence_count, coalesce(round(best_confidence, 4), 0) AS best_ocr_confidence,
   CASE WHEN value IS NULL THEN 0 ELSE round(greatest(margin, 0), 4) END AS score_margin, coalesce(best_rotation, '') AS best_source_rotation, coalesce(best_crop, '') AS best_source_crop FROM D""",
+    "ocr_checkpoints": "WITH" + _REPLAY + """,
+DS AS (SELECT item_id // 64 AS item, item_id % 64 AS cp, coalesce(value, '') AS tag, coalesce(confidence, 0) AS sure, status, status = 'OK' AND strong >= 2 AND confidence >= 0.78 AS safe FROM D),
+DZ AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY coalesce(safe, false) DESC, CASE WHEN safe THEN cp ELSE -cp END) AS k FROM DS)
+SELECT item AS item_id, cp AS checkpoint, coalesce(safe, false) AS safe, tag AS tag_number, sure AS confidence, status FROM DZ WHERE k = 1""",
+    "mask_components": """
+WITH RECURSIVE v AS (SELECT vec_id AS image_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+w AS (SELECT image_id, e, CAST(floor(sqrt(len(e))) AS BIGINT) AS side FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+i AS (SELECT image_id, side, unnest(e[:side * side]) AS p, unnest(range(side * side)) AS spot FROM w),
+px AS (SELECT image_id, side, spot // side AS y, spot % side AS x, p > 0.02 AS lit FROM i),
+reach AS (SELECT image_id, y, x, y * side + x AS root FROM px WHERE lit UNION
+  SELECT r.image_id, q.y, q.x, r.root FROM reach r JOIN px q ON q.image_id = r.image_id AND q.lit AND abs(q.y - r.y) <= 1 AND abs(q.x - r.x) <= 1),
+part AS (SELECT image_id, y, x, min(root) AS root FROM reach GROUP BY ALL), sizes AS (SELECT image_id, root, count(*) AS n FROM part GROUP BY ALL),
+parts AS (SELECT image_id, count(*) AS parts, max(n) AS largest FROM sizes GROUP BY 1),
+air AS (SELECT image_id, y, x FROM px WHERE NOT lit AND (y = 0 OR x = 0 OR y = side - 1 OR x = side - 1) UNION
+  SELECT q.image_id, q.y, q.x FROM air r JOIN px q ON q.image_id = r.image_id AND NOT q.lit AND abs(q.y - r.y) + abs(q.x - r.x) = 1),
+gaps AS (SELECT image_id, count(*) AS n FROM px WHERE NOT lit GROUP BY 1), open AS (SELECT image_id, count(*) AS n FROM air GROUP BY 1)
+SELECT w.image_id, coalesce(parts, 0) AS parts, coalesce(largest, 0) AS largest, coalesce(g.n, 0) - coalesce(o.n, 0) AS holes
+FROM w LEFT JOIN parts p ON w.image_id = p.image_id LEFT JOIN gaps g ON w.image_id = g.image_id LEFT JOIN open o ON w.image_id = o.image_id""",
     "digit_normalize": "WITH" + _READINGS + " SELECT item_id, pos, translate(text, 'OoIl|SsB', '00111558') AS digits FROM R",
     "prominence": "WITH" + _READINGS + " SELECT item_id, pos, prominence FROM R",
     "candidate_extract": "WITH" + _CANDIDATES + " SELECT item_id, pos, CAST(match_no AS BIGINT) AS match_no, value, score FROM C",
@@ -156,8 +195,8 @@ U0 AS (SELECT m.selector, m.item_id FROM MM m WHERE (SELECT count(*) FROM MM n W
 U AS (SELECT item_id, CAST(900000 + arg_max(c_custkey, e.selector) AS VARCHAR) AS tag FROM U0 JOIN E e ON e.selector = U0.selector GROUP BY item_id)
 SELECT G.item_id, original_filename, coalesce(tag, detected_tag_number) AS detected_tag_number, CASE WHEN tag IS NOT NULL THEN 'OK' ELSE status END AS status, output_folder FROM G LEFT JOIN U ON G.item_id = U.item_id""",
     "qa_compare": "WITH" + _REPORT + """,
-Q AS (SELECT original_filename, max(CASE WHEN k % 4 = 0 THEN '-' ELSE CAST(100000 + k % 9973 AS VARCHAR) END) AS expected FROM G WHERE k % 3 = 0 GROUP BY 1),
-L AS (SELECT original_filename, arg_max(detected_tag_number, item_id) AS detected, arg_max(status, item_id) AS status FROM G WHERE k % 5 <> 0 GROUP BY 1)
+Q AS (SELECT CASE WHEN k % 9 = 4 THEN 'NEW_' || original_filename[5:] ELSE original_filename END AS original_filename, max(CASE WHEN k % 4 = 0 THEN '-' ELSE CAST(100000 + k % 9973 AS VARCHAR) END) AS expected FROM G GROUP BY 1),
+L AS (SELECT original_filename, arg_max(detected_tag_number, item_id) AS detected, arg_max(status, item_id) AS status FROM G GROUP BY 1)
 SELECT q.original_filename, expected, coalesce(detected, '') AS detected, coalesce(status, '') AS status, CASE WHEN status IS NULL THEN 'missing'
   WHEN expected = '-' AND status IN ('OK', 'DUPLICATE_TAG') THEN 'wrongly accepted' WHEN expected <> '-' AND detected <> expected THEN 'different tag' ELSE '' END AS failure
 FROM Q q LEFT JOIN L l ON q.original_filename = l.original_filename""",
@@ -177,9 +216,11 @@ SELECT o_orderkey, ['jpg', 'jpeg', 'webp', 'heic', 'zip', 'txt', '', 'png'][o_or
     "transparent_names": _names(True),
     "archive_totals": "WITH" + _MEMBERS + " SELECT archive, members, bytes, verdict FROM AV",
     "archive_cascade": "WITH" + _MEMBERS + " SELECT pos, archive, verdict, CASE WHEN verdict = 'taken' THEN inside END AS target FROM AC",
-    "archive_renames": "WITH" + _MEMBERS + """,
-AR AS (SELECT *, row_number() OVER (PARTITION BY archive, inside ORDER BY pos) AS nth FROM AC WHERE verdict = 'taken')
-SELECT pos, archive, CASE WHEN nth = 1 THEN inside ELSE inside[:-5] || '_' || CAST(nth AS VARCHAR) || '.jpg' END AS final, nth > 1 AS renamed FROM AR""",
+    "archive_renames": "WITH RECURSIVE" + _MEMBERS + """,
+AR AS (SELECT archive, inside[:-5] AS stem, '.jpg' AS ending, pos AS ord FROM AC WHERE verdict = 'taken'),""" + _walk("AR", "archive", "AN") + " SELECT ord AS pos, archive, final, n > 1 AS renamed FROM AN",
+    "saved_names": """
+WITH RECURSIVE B AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 31 + 1 END AS destination, o_orderkey AS ord, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '.zip' END AS ending,
+  CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 < 2 THEN 'result' ELSE 'out.' || CAST(o_custkey % 40 AS VARCHAR) END || ['', '_2', '_3', '_2_2', '_40', '', '', '', '', '', '', '', ''][o_orderkey % 13 + 1] AS stem FROM orders),""" + _walk("B", "destination", "BN") + " SELECT ord AS item, final, n > 1 AS renamed FROM BN",
     "manifest_verify": "WITH" + _MANIFEST + """
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'unlisted' WHEN cut THEN 'size' WHEN other THEN 'hash' ELSE 'ok' END AS verdict
 FROM F0 a FULL JOIN F1 b ON a.path = b.path""",

@@ -17,12 +17,17 @@ def _line_order() -> Window:
     return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
 
 
+def _copy_mark(kind: Column) -> Column:
+    """Some names already end as a renamed copy's does."""
+    return F.when(kind == 1, "_2").when(kind == 2, "_3").when(kind == 3, "_2_2").when(kind == 4, "_40").otherwise("")
+
+
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as photos of batches: few tags, so that many repeat, and statuses and backgrounds of every kind."""
     o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     status = F.when(key % 13 == 5, "REVIEW_REQUIRED").when(key % 17 == 3, "OCR_FAILED").when(key % 19 == 7, "TAG_NOT_FOUND").when(key % 101 == 9, "ERROR").otherwise("OK")
     return o.select(
-        F.floor(key / 20000).alias("batch"), key.alias("item"), F.concat(F.lit("IMG "), (F.col("o_custkey") % 50).cast("string"), F.lit(".b.jpg")).alias("filename"),
+        F.floor(key / 20000).alias("batch"), key.alias("item"), F.concat(F.lit("IMG "), (F.col("o_custkey") % 50).cast("string"), F.lit(".b"), _copy_mark(key % 11), F.lit(".jpg")).alias("filename"),
         F.when(status.isin("OCR_FAILED", "TAG_NOT_FOUND", "ERROR"), "").otherwise((100000 + key % 997).cast("string")).alias("tag_number"), status.alias("status"),
         F.when(key % 7 == 2, None).otherwise(key % 9 != 4).alias("background_ok"),
     )
@@ -52,7 +57,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "lineitem").withColumn("archive", F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_orderkey") % 97 + 1).cast("long"))
     pos = (F.col("l_orderkey") * 64 + F.row_number().over(_line_order())).cast("long")
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    leaf = F.concat(F.lit("photo "), (part % 20).cast("string"), F.lit(".jpg"))
+    leaf = F.concat(F.lit("photo "), (part % 20).cast("string"), _copy_mark(part % 12), F.lit(".jpg"))
     name = (
         F.when(part % 41 == 0, F.concat(F.lit("../up/"), leaf)).when(part % 43 == 0, F.concat(F.lit("a/../../b/"), leaf)).when(part % 47 == 0, F.concat(F.lit("/abs/"), leaf))
         .when(part % 37 == 0, F.concat(F.lit("set\\"), leaf)).when(part % 31 == 0, F.concat(F.lit("x/./../"), leaf)).when(part % 29 == 0, "folder/").when(part % 53 == 0, " ")
@@ -127,3 +132,13 @@ def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = grid.withColumn("quality", F.explode(quality))
     size = F.floor(F.col("long_edge") * F.col("long_edge") * (F.col("image") % 23 + 1) * (F.col("quality") + 5) / 4000)
     return grid.select("image", "quality", "long_edge", (size + F.col("image") % 40 * 600).cast("long").alias("bytes"))
+
+
+def saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files and folders that are copied to one of a few destinations, a third of them to one."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    name = F.when((key % 3 != 0) & (key % 5 < 2), "result").otherwise(F.concat(F.lit("out."), (F.col("o_custkey") % 40).cast("string")))
+    return o.select(
+        F.when(key % 3 == 0, 0).otherwise(key % 31 + 1).alias("destination"), key.alias("item"), F.concat(name, _copy_mark(key % 13), F.when(key % 7 == 0, "").otherwise(".zip")).alias("name"),
+        (key % 7 == 0).alias("is_directory"),
+    )
