@@ -91,3 +91,19 @@ def quantile(ascending: Column, share: float) -> Column:
     at = (F.size(ascending) - 1) * F.lit(share)
     low = F.try_element_at(ascending, (F.floor(at) + 1).cast("int"))
     return low + (at - F.floor(at)) * (F.try_element_at(ascending, (F.ceil(at) + 1).cast("int")) - low)
+
+
+def turned(pixels: Column, side: Column, rotation: Column) -> Column:
+    """A square raster, row by row, turned by a quarter (cw90, ccw90) or a half (rot180), else as it is."""
+    at = lambda i: F.struct((F.floor(i / side)).alias("y"), (i % side).alias("x"))
+
+    def source(i: Column) -> Column:
+        y, x, last = at(i)["y"], at(i)["x"], side - 1
+        return F.when(rotation == "cw90", (last - x) * side + y).when(rotation == "ccw90", x * side + last - y).when(rotation == "rot180", side * side - 1 - i).otherwise(i)
+
+    return F.transform(F.sequence(F.lit(0), side * side - 1), lambda i: F.element_at(pixels, (source(i) + 1).cast("int")))
+
+
+def blended(colour: Column, alpha: Column) -> Column:
+    """Colour values over white by their opacities (0 to 255), pixel by pixel, in whole numbers."""
+    return F.zip_with(colour, alpha, lambda c, a: F.floor(c * (a / 255.0) + 255.0 * (1 - a / 255.0)).cast("long"))

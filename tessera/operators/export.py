@@ -62,3 +62,21 @@ def export_current(names: DataFrame, expected: DataFrame) -> DataFrame:
     met = expected.select("name").distinct().withColumn("e", F.lit(1)).join(names, "name", "full")
     fine = F.col("e").isNotNull() & (F.col("state") == "reused") & (F.col("zip_modified") >= F.col("target_modified"))
     return met.agg(((F.count("*") > 0) & (F.count_if(~F.coalesce(fine, F.lit(False))) == 0)).alias("current"))
+
+
+def within_limit(files: DataFrame, limit: int = BUDGET) -> DataFrame:
+    """The JPEG files (name, bytes) of a folder that go into its archive of small files: those with a size from 1 to the limit, in order of names."""
+    return files.filter(F.lower(F.col("name")).endswith(".jpg") & F.col("bytes").between(1, limit))
+
+
+def downloads(runs: DataFrame) -> DataFrame:
+    """Which artifacts of a run can be downloaded. runs: run, full, report (bytes, null without the file), processed, transparent, debug (how many pictures), compressed (current).
+
+    One row per run and artifact: run, artifact, available.
+    """
+    kinds = {
+        "full": F.col("full").isNotNull() & F.col("report").isNotNull(), "processed": F.col("processed") > 0, "transparent": F.col("transparent") > 0,
+        "compressed": F.coalesce("compressed", F.lit(False)), "report": F.coalesce(F.col("report") > 0, F.lit(False)), "debug": F.col("debug") > 0,
+    }
+    each = F.array(*(F.struct(F.lit(k).alias("artifact"), c.alias("available")) for k, c in kinds.items()))
+    return runs.select("run", F.explode(each).alias("a")).select("run", "a.artifact", "a.available")

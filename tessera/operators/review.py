@@ -101,16 +101,27 @@ def latest_running(states: DataFrame, order: str = "job_id") -> DataFrame:
 
 
 def repeated_starts(starts: DataFrame) -> DataFrame:
-    """Starts (root, item_id, job_id, seq, over_seq) with the job that each really gives: an earlier one of the item still active then.
+    """Starts (root, item_id, job_id, seq, over_seq) with the job that each really gives: the one of this item that is still active then, if any.
 
-    over_seq is the moment at which the job would end, null if it hasn't yet.
+    over_seq is the moment at which the job would end, null if it hasn't yet; a start that gives an active job makes none of its own. The starts of
+    one item, made by a person, come together in a row.
     """
-    from pyspark.sql import Window
+    free = F.struct(F.lit(None).cast(starts.schema["job_id"].dataType).alias("job"), F.lit(-1).cast("long").alias("until"), F.array().cast("array<struct<seq: bigint, given: bigint>>").alias("out"))
 
-    before = Window.partitionBy("root", "item_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    active = F.max_by("job_id", "seq").over(before)
-    until = F.max(F.coalesce(F.col("over_seq"), F.lit(1 << 62))).over(before)
-    return starts.withColumn("given", F.when(active.isNotNull() & (until > F.col("seq")), active).otherwise(F.col("job_id")))
+    def step(a: Column, s: Column) -> Column:
+        again = a["job"].isNotNull() & (a["until"] > s["seq"])
+        given = F.when(again, a["job"]).otherwise(s["job_id"])
+        until = F.when(again, a["until"]).otherwise(F.coalesce(s["over_seq"], F.lit(1 << 62)))
+        return F.struct(given.alias("job"), until.alias("until"), F.concat(a["out"], F.array(F.struct(s["seq"].alias("seq"), given.alias("given")))).alias("out"))
+
+    rows = starts.groupBy("root", "item_id").agg(F.array_sort(F.collect_list(F.struct("seq", "job_id", "over_seq"))).alias("starts"))
+    return rows.select("root", "item_id", F.explode(F.aggregate("starts", free, step)["out"]).alias("s")).select("root", "item_id", "s.seq", "s.given")
+
+
+def forget(states: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What asking to forget a job (wanted: job_id) does: forgotten, refused as it still runs, or unknown."""
+    met = wanted.select("job_id").distinct().join(states, "job_id", "left")
+    return met.select("job_id", F.when(F.col("state").isNull(), "unknown").when(F.col("running"), "refused: running").otherwise("forgotten").alias("outcome"))
 
 
 def marker(state: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, readings as r
-from ..images.kernels import mask_parts
+from ..images.kernels import mask_measures, mask_parts
 from ..operators import evidence, export, geometry, ingest, naming, planner, report, review, safety
 from ..sources import bridges
 from ..sources.readings import readings, table
@@ -374,5 +374,102 @@ def background_transition(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def mask_components(spark: SparkSession, d: str) -> DataFrame:
-    """Parts, largest part and holes of every raster; no SQL can label parts, tests compare with a plain search."""
+    """Parts, largest part and holes of every raster."""
     return mask_parts(bridges.rasters(spark, d), 0.02)
+
+
+@query
+def base_crops(spark: SparkSession, d: str) -> DataFrame:
+    x = readings(spark, d)
+    return x.groupBy(r.base_crop(F.when(F.col("pos") % 3 == 0, F.concat("source_crop", F.lit("_verification"))).otherwise(F.col("source_crop"))).alias("crop")).agg(F.count("*").alias("n"))
+
+
+@query
+def cache_names(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("item_id").cast("long")
+    name = F.when(key % 5 == 0, " ").when(key % 5 == 1, F.concat(F.lit("sub\\"), "original_filename")).otherwise(F.concat(F.lit("a/b/"), "original_filename"))
+    return bridges.report(spark, d).select("item_id", labels.cache_file(name).alias("cached"), labels.preview_names(F.col("original_filename"))["transparent"].alias("preview"))
+
+
+@query
+def legacy_transition(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("item_id").cast("long")
+    x = bridges.report(spark, d).withColumns({
+        "action": F.when(key % 3 == 0, "accept_ai").when(key % 3 == 1, "send_manual").otherwise("other"), "matches": 1 + (key % 29 == 0).cast("int"), "taken": F.floor(key / 2) % 2,
+    })
+    return review.decide_legacy(x).select("item_id", "step", "new_status", "new_folder")
+
+
+@query
+def background_queue(spark: SparkSession, d: str) -> DataFrame:
+    return report.background_queue(bridges.report(spark, d)).select("item_id", "status")
+
+
+@query
+def job_starts(spark: SparkSession, d: str) -> DataFrame:
+    """Events as starts of corrections: which job does each give, and what marks its folder?"""
+    e = table(spark, d, "events").withColumn("over_seq", F.when(F.col("event_type") == "error", None).otherwise(F.col("event_id") + F.floor(F.col("value") * 40).cast("long")))
+    x = review.repeated_starts(e.select((F.col("user_id") % 4).alias("root"), F.col("user_id").alias("item_id"), (F.col("event_id") * 10).alias("job_id"), F.col("event_id").alias("seq"), "over_seq"))
+    return x.select("item_id", "seq", "given", review.marker(F.when(F.col("given") == F.col("seq") * 10, "COMPLETED").otherwise("RUNNING")).alias("mark"))
+
+
+@query
+def forget_jobs(spark: SparkSession, d: str) -> DataFrame:
+    return review.forget(review.job_states(_job_events(spark, d)), table(spark, d, "events").select((F.col("user_id") * 2).alias("job_id")))
+
+
+@query
+def archive_sources(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    path = F.concat(F.when(key % 5 == 0, "run/.correction_cache/").when(key % 5 == 1, "run/debug/").otherwise("run/"), key.cast("string"), F.when(key % 7 == 0, ".zip").otherwise(".png"))
+    return ingest.archive_members(table(spark, d, "orders").select("o_orderkey", path.alias("path")), archive="run/14.zip")
+
+
+@query
+def export_totals(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    state = F.when(key % 5 == 0, "reused").when(key % 5 == 1, "skipped").otherwise("converted")
+    return export.totals(table(spark, d, "orders").select(state.alias("state"), F.floor("o_totalprice").cast("long").alias("bytes")))
+
+
+@query
+def export_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Is the export of all parts current, whose files are all there but one in a hundred thousand?"""
+    key = F.col("p_partkey")
+    names = table(spark, d, "part").select(key.cast("string").alias("name"), F.when(key % 100_000 == 99_999, "convert").otherwise("reused").alias("state"), key.alias("target_modified"), (key + key % 2).alias("zip_modified"))
+    return export.export_current(names, names.select("name"))
+
+
+@query
+def limited_archive(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    name = F.concat(key.cast("string"), F.when(key % 4 == 0, ".png").when(key % 4 == 1, ".JPG").otherwise(".jpg"))
+    return export.within_limit(table(spark, d, "orders").select(name.alias("name"), F.floor(F.col("o_totalprice") / 8).cast("long").alias("bytes")))
+
+
+@query
+def downloads(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    return export.downloads(table(spark, d, "customer").select(
+        key.alias("run"), F.when(key % 3 != 0, key).alias("full"), F.when(key % 5 != 0, key % 4).alias("report"), (key % 7).alias("processed"), (key % 2).alias("transparent"),
+        F.when(key % 11 != 0, key % 6 == 0).alias("compressed"), (key % 13 % 3).alias("debug"),
+    ))
+
+
+@query
+def alpha_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Measures of pictures before and after small parts and lonely pixels are cleaned away."""
+    x = mask_measures(bridges.pictures(spark, d))
+    return x.select("image_id", F.array_join(F.col("cleaned").cast("array<string>"), ",").alias("cleaned"), *(F.round(c, 9).alias(c) for c in ("removed_foreground", "removed_supported", "interior_holes", "foreground", "solid", "soft")), "lost_parts", "missing_parts", "parts")
+
+
+@query
+def turned_rasters(spark: SparkSession, d: str) -> DataFrame:
+    x = bridges.pictures(spark, d).withColumn("rotation", F.element_at(F.array(*map(F.lit, ("original", "cw90", "ccw90", "rot180"))), (F.col("image_id") % 4 + 1).cast("int")))
+    side = F.floor(F.sqrt(F.size("alpha"))).cast("int")
+    return x.select("image_id", F.array_join(labels.turned(F.col("alpha"), side, F.col("rotation")).cast("array<string>"), ",").alias("pixels"))
+
+
+@query
+def on_white(spark: SparkSession, d: str) -> DataFrame:
+    return bridges.pictures(spark, d).select("image_id", F.array_join(labels.blended(F.col("colour"), F.col("alpha")).cast("array<string>"), ",").alias("pixels"))

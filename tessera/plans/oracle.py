@@ -141,6 +141,21 @@ B AS (SELECT *, list_filter([CASE WHEN fg_loss > 0.02 AND (loss > 0.0008 OR lost
   list_filter([CASE WHEN loss > 0.008 THEN 'supported_loss' END, CASE WHEN holes > 0.008 THEN 'holes' END, CASE WHEN lost >= 25 THEN 'lost_parts' END, CASE WHEN missing >= 3 THEN 'missing_parts' END],
     lambda r: r IS NOT NULL) AS great FROM B1)"""
 
+_PICTURES = """
+v AS (SELECT vec_id AS image_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+w AS (SELECT image_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+z AS (SELECT image_id, CAST(floor(sqrt(len(e))) AS BIGINT) AS side, list_transform(e, lambda p: CAST(least(greatest(floor(p * 900 + 90), 0), 255) AS BIGINT)) AS alpha,
+  list_transform(e, lambda p: CAST(least(greatest(floor(p * -500 + 128), 0), 255) AS BIGINT)) AS colour, list_transform(e, lambda p: CAST(p > -0.06 AS BIGINT)) AS support FROM w)"""
+
+
+def _parts(name: str, rows: str) -> str:
+    """The connected parts (image_id, y, x, root) of pixels (image_id, y, x)."""
+    return f"""
+{name}_r AS (SELECT image_id, y, x, y * 1000 + x AS root FROM {rows} UNION SELECT r.image_id, q.y, q.x, r.root FROM {name}_r r JOIN {rows} q ON q.image_id = r.image_id AND abs(q.y - r.y) <= 1 AND abs(q.x - r.x) <= 1),
+{name}_p AS (SELECT image_id, y, x, min(root) AS root FROM {name}_r GROUP BY ALL),
+{name} AS (SELECT *, count(*) OVER (PARTITION BY image_id, root) AS n FROM {name}_p)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "tag_decision": "WITH" + _DECISION + """
 SELECT item_id, coalesce(value, '') AS tag_number, coalesce(confidence, 0) AS confidence, raw_text, status, branch, CAST(coalesce(source_count, 0) AS INT) AS evidence_count,
@@ -328,4 +343,57 @@ SELECT item_id, step, CASE WHEN step LIKE 'refused%' THEN status WHEN k // 2 % 2
   CASE WHEN step LIKE 'refused%' THEN fold WHEN step = 'accept_preview' AND mode = 'transparent_only' THEN 'transparent_images' ELSE 'processed_images' END AS new_folder,
   CASE WHEN step LIKE 'refused%' THEN '' WHEN step = 'keep_original' THEN 'ORIGINAL_KEPT' ELSE 'MANUAL_ACCEPTED' END AS new_background,
   step = 'accept_preview' AND (mode = 'transparent_only' OR (mode = 'white_and_transparent' AND k % 13 <> 0)) AS clear_copy FROM Z""",
+    "base_crops": "WITH" + _READINGS + """
+SELECT regexp_replace(CASE WHEN pos % 3 = 0 THEN crop || '_verification' ELSE crop END, '(_enhanced|_verification)$', '') AS crop, count(*) AS n FROM R GROUP BY 1""",
+    "cache_names": "WITH" + _REPORT + """
+SELECT item_id, CASE WHEN k % 5 <> 0 THEN original_filename END AS cached, original_filename[:-5] || '_ai_transparent.png' AS preview FROM G""",
+    "legacy_transition": "WITH" + _REPORT + """,
+A AS (SELECT *, CASE WHEN k % 3 = 2 THEN 'refused: action' WHEN k % 29 = 0 THEN 'refused: not found' WHEN output_folder <> 'ai_review' THEN 'refused: not waiting' WHEN k % 3 = 0 THEN 'accept_ai' ELSE 'send_manual' END AS step FROM G)
+SELECT item_id, step, CASE WHEN step LIKE 'refused%' THEN status WHEN step = 'send_manual' THEN 'REVIEW_REQUIRED' WHEN k // 2 % 2 > 0 THEN 'DUPLICATE_TAG' ELSE 'OK' END AS new_status,
+  CASE WHEN step LIKE 'refused%' THEN output_folder WHEN step = 'send_manual' THEN 'background_review' ELSE 'processed_images' END AS new_folder FROM A""",
+    "background_queue": "WITH" + _REPORT + " SELECT item_id, status FROM G WHERE output_folder = 'background_review'",
+    "job_starts": """
+WITH RECURSIVE s AS (SELECT user_id AS item_id, event_id AS seq, event_id * 10 AS job, CASE WHEN event_type = 'error' THEN 1e18 ELSE event_id + floor(value * 40) END AS over,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+w AS (SELECT item_id, seq, k, job AS given, over AS until FROM s WHERE k = 1
+  UNION ALL SELECT s.item_id, s.seq, s.k, CASE WHEN w.until > s.seq THEN w.given ELSE s.job END, CASE WHEN w.until > s.seq THEN w.until ELSE s.over END FROM w JOIN s ON s.item_id = w.item_id AND s.k = w.k + 1)
+SELECT item_id, seq, given, CASE WHEN given = seq * 10 THEN '.complete' ELSE '.processing' END AS mark FROM w""",
+    "forget_jobs": """
+WITH q AS (SELECT DISTINCT user_id * 2 AS job_id FROM events), l AS (SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS t FROM events GROUP BY 1)
+SELECT q.job_id, CASE WHEN t IS NULL THEN 'unknown' WHEN t IN ('purchase', 'error') OR t NOT IN ('signup', 'view', 'click') THEN 'forgotten' ELSE 'refused: running' END AS outcome FROM q LEFT JOIN l ON q.job_id = l.job_id""",
+    "archive_sources": """
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 1 THEN 'run/debug/' ELSE 'run/' END || CAST(o_orderkey AS VARCHAR) || '.png' AS path FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0""",
+    "export_totals": """
+SELECT count(*) FILTER (WHERE o_orderkey % 5 > 1) AS converted, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS reused, count(*) FILTER (WHERE o_orderkey % 5 = 1) AS skipped,
+  count(*) FILTER (WHERE o_orderkey % 5 <> 1) AS ready, CAST(max(floor(o_totalprice)) AS BIGINT) AS largest FROM orders""",
+    "export_whole": "SELECT count(*) > 0 AND count(*) FILTER (WHERE p_partkey % 100000 = 99999) = 0 AS current FROM part",
+    "limited_archive": """
+WITH x AS (SELECT CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 4 = 1 THEN '.JPG' ELSE '.jpg' END AS name, CAST(floor(o_totalprice / 8) AS BIGINT) AS bytes FROM orders WHERE o_orderkey % 4 <> 0)
+SELECT * FROM x WHERE bytes BETWEEN 1 AND 20000""",
+    "downloads": """
+WITH k AS (SELECT c_custkey AS k FROM customer)
+SELECT k AS run, a AS artifact, CASE a WHEN 'full' THEN k % 3 <> 0 AND k % 5 <> 0 WHEN 'processed' THEN k % 7 > 0 WHEN 'transparent' THEN k % 2 > 0 WHEN 'compressed' THEN k % 11 <> 0 AND k % 6 = 0
+  WHEN 'report' THEN k % 5 <> 0 AND k % 4 > 0 ELSE k % 13 % 3 > 0 END AS available FROM k, (SELECT unnest(['full', 'processed', 'transparent', 'compressed', 'report', 'debug']) AS a)""",
+    "alpha_measures": "WITH RECURSIVE" + _PICTURES + """,
+px AS (SELECT image_id, side, unnest(alpha[:side * side]) AS a, unnest(support[:side * side]) AS s, unnest(range(side * side)) AS spot FROM z),
+p AS (SELECT image_id, side * side AS area, spot, spot // side AS y, spot % side AS x, side, a, s > 0 AS s FROM px),
+p18 AS (SELECT image_id, y, x FROM p WHERE a > 18), p24 AS (SELECT image_id, y, x FROM p WHERE a > 24), ps AS (SELECT image_id, y, x FROM p WHERE s), pb AS (SELECT image_id, y, x FROM p WHERE s AND a > 18),""" + ",".join(_parts(n, r) for n, r in (("f", "p18"), ("g", "p24"), ("h", "ps"), ("j", "pb"))) + """,
+c0 AS (SELECT p.*, CASE WHEN f.n < 18 THEN 0 ELSE a END AS c FROM p LEFT JOIN f ON p.image_id = f.image_id AND p.y = f.y AND p.x = f.x),
+near AS (SELECT a.image_id, a.spot, count(*) AS n FROM c0 a JOIN c0 b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.c > 0 AND b.c > 0 GROUP BY 1, 2),
+c1 AS (SELECT c0.* EXCLUDE (c), CASE WHEN near.n <= 2 THEN 0 ELSE c END AS c FROM c0 LEFT JOIN near ON c0.image_id = near.image_id AND c0.spot = near.spot),
+m AS (SELECT c1.image_id, string_agg(CAST(c AS VARCHAR), ',' ORDER BY spot) AS cleaned, count(*) FILTER (WHERE a > 18 AND c <= 18) / greatest(1, count(*) FILTER (WHERE a > 18)) AS removed_foreground,
+  count(*) FILTER (WHERE a > 18 AND c <= 18 AND s) / any_value(area) AS removed_supported, count(*) FILTER (WHERE a > 18 AND c <= 18 AND s) / any_value(area) AS interior_holes,
+  count(*) FILTER (WHERE a > 12) / any_value(area) AS foreground, count(*) FILTER (WHERE a > 220) / any_value(area) AS solid, count(*) FILTER (WHERE a > 12 AND a < 220) / any_value(area) AS soft FROM c1 GROUP BY 1),
+lost AS (SELECT image_id, count(*) AS n FROM (SELECT j.image_id, j.root FROM j JOIN c1 ON j.image_id = c1.image_id AND j.y = c1.y AND j.x = c1.x GROUP BY ALL HAVING count(*) >= 18 AND count(*) FILTER (WHERE c > 18) < 0.6 * count(*)) GROUP BY 1),
+counted AS (SELECT image_id, count(DISTINCT root) AS n FROM g WHERE n >= 12 GROUP BY 1)
+SELECT m.image_id, cleaned, round(removed_foreground, 9) AS removed_foreground, round(removed_supported, 9) AS removed_supported, round(interior_holes, 9) AS interior_holes, round(foreground, 9) AS foreground,
+  round(solid, 9) AS solid, round(soft, 9) AS soft, coalesce(lost.n, 0) AS lost_parts, CAST(0 AS BIGINT) AS missing_parts, coalesce(counted.n, 0) AS parts
+FROM m LEFT JOIN lost ON m.image_id = lost.image_id LEFT JOIN counted ON m.image_id = counted.image_id""",
+    "turned_rasters": "WITH" + _PICTURES + """,
+t AS (SELECT image_id, side, alpha, unnest(range(side * side)) AS i FROM z),
+u AS (SELECT image_id, i, alpha[CASE image_id % 4 WHEN 1 THEN (side - 1 - i % side) * side + i // side WHEN 2 THEN (i % side) * side + side - 1 - i // side WHEN 3 THEN side * side - 1 - i ELSE i END + 1] AS a FROM t)
+SELECT image_id, string_agg(CAST(a AS VARCHAR), ',' ORDER BY i) AS pixels FROM u GROUP BY 1""",
+    "on_white": "WITH" + _PICTURES + """,
+t AS (SELECT image_id, unnest(colour) AS c, unnest(alpha) AS a, unnest(range(len(alpha))) AS i FROM z)
+SELECT image_id, string_agg(CAST(CAST(floor(c * (a / CAST(255 AS DOUBLE)) + CAST(255 AS DOUBLE) * (1 - a / CAST(255 AS DOUBLE))) AS BIGINT) AS VARCHAR), ',' ORDER BY i) AS pixels FROM t GROUP BY 1""",
 }

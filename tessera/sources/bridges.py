@@ -142,3 +142,9 @@ def saved(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 3 == 0, 0).otherwise(key % 31 + 1).alias("destination"), key.alias("item"), F.concat(name, _copy_mark(key % 13), F.when(key % 7 == 0, "").otherwise(".zip")).alias("name"),
         (key % 7 == 0).alias("is_directory"),
     )
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters as pictures: opacity, colour and supported pixels as whole numbers; image_id, alpha, colour, support."""
+    whole = lambda scale, shift: F.transform("pixels", lambda p: F.least(F.greatest(F.floor(p * scale + shift), F.lit(0)), F.lit(255)).cast("long"))
+    return rasters(spark, sf_dir).select("image_id", whole(900, 90).alias("alpha"), whole(-500, 128).alias("colour"), F.transform("pixels", lambda p: (p > -0.06).cast("long")).alias("support"))
