@@ -103,7 +103,7 @@ class Vocabulary:
         sizes = np.array([len(w) for w in words], np.int64)
         sym = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
-        done_sym, done_word = [], []
+        done_sym, done_word = [sym[:0]], [word[:0]]
         while len(sym):
             pair = sym[:-1] << 32 | sym[1:]
             at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
