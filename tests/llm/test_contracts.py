@@ -185,14 +185,35 @@ def test_lanes_bound_the_similarity():
 
 # --- 7 mixing
 
+def plain_bucket(word):
+    h = sum(b * int(mixing._PLACE[i % 64]) for i, b in enumerate(word.encode())) % 2**64
+    return int(minhash.mix64(np.array([h], np.uint64))[0]) >> 64 - mixing.BITS
+
+
+def test_words_are_cut_as_split_does(monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE", 50)
+    rng = random.Random(3)
+    texts = ["", "  ", "one", *("".join(rng.choice("aB c\nÄ\t") for _ in range(rng.randrange(200))) for _ in range(60)), "x" * 9000, "y z"]
+    raw = [t.encode() for t in texts]
+    text, bucket, n = mixing.word_counts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    want = Counter((i, plain_bucket("".join(c.lower() if c.isascii() else c for c in w))) for i, t in enumerate(texts) for w in t.split())
+    assert dict(zip(zip(text.tolist(), bucket.tolist(), strict=True), n.tolist(), strict=True)) == want
+
+
 def plain_mix(rows, topics, power, part, targets):
     """(doc_id -> probability) by raking cell by cell in plain loops."""
     cell, tokens = {}, {}
     weight = defaultdict(float)
     for i, t, lang, source in rows:
         words = (t or "").lower().split()
-        at = np.array([crc32(w.encode()) % mixing.BUCKETS for w in words], int)
-        cell[i], tokens[i] = (source, lang, topics.of(at, lang)), max(1, len(words))
+        topic = -1
+        if words:
+            n = Counter(plain_bucket(w) for w in words)
+            w = {b: (1 + math.log(k)) * topics.idf[b] for b, k in n.items()}
+            length = math.sqrt(sum(x * x for x in w.values()))
+            near = [sum(c[b] * x for b, x in w.items()) / length - m for c, m in zip(topics.centres, topics.means.get(lang, topics.means[None]), strict=True)]
+            topic = near.index(max(near))
+        cell[i], tokens[i] = (source, lang, topic), max(1, len(words))
         weight[cell[i]] += tokens[i]
     whole, wanted = sum(weight.values()), []
     for m, name in enumerate(mixing.MARGINS):
