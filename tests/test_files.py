@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tessera.images import kernels
 from tessera.operators import ingest
 from tessera.schemas import REPORT_COLUMNS
-from tessera.sinks.files import write_report, zip_archives
-from tessera.sources.files import discover, read_report, zip_members
+from tessera.sinks.files import as_png, write_archives, write_report
+from tessera.sources.files import discover, images, member_contents, read_manifest, read_report, turn_of, upright, zip_members
 from tessera.streaming.drops import arrivals, once
 
 
@@ -43,12 +43,61 @@ def test_reports_read_back(spark, tmp_path):
     assert [(r.item_id, r.original_filename, r.notes) for r in back.orderBy("item_id").collect()] == [("item_000001", "a.jpg", notes), ("item_000002", "", "")]
 
 
-def test_archives_are_stored_whole(spark, tmp_path):
-    df = spark.createDataFrame([("z", "b.txt", b"2"), ("z", "a.txt", b"1"), ("y", "c.txt", None)], "archive string, name string, content binary")
-    got = {r.archive: bytes(r.content) for r in zip_archives(df).collect()}
-    (tmp_path / "z.zip").write_bytes(got["z"])
-    with zipfile.ZipFile(tmp_path / "z.zip") as z:
-        assert z.namelist() == ["a.txt", "b.txt"] and z.read("b.txt") == b"2" and z.testzip() is None
+def test_members_are_read_from_their_archives(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "x y.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in (("a.jpg", b"1"), ("b/a.jpg", b"2" * 5000), ("../c.jpg", b"3")):
+            z.writestr(name, data)
+        z.writestr(zipfile.ZipInfo("a.jpg"), b"4")
+    taken = ingest.archive_targets(zip_members(spark, str(tmp_path)))
+    assert {r.final: bytes(r.content) for r in member_contents(taken).collect()} == {"a.jpg": b"1", "b/a.jpg": b"2" * 5000, "a_2.jpg": b"4"}
+
+
+def test_archives_are_written_whole(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / name).write_bytes(name.encode() * 3000)
+    rows = [("z", "b.txt", "b"), ("z", "a.txt", "a"), ("y", "c.txt", "c"), ("z", "d/b.txt", "b")]
+    df = spark.createDataFrame([(x, n, str(tmp_path / p)) for x, n, p in rows], "archive string, name string, path string")
+    for _ in range(2):  # writing again changes nothing
+        got = {r.archive: r for r in write_archives(df, str(tmp_path)).collect()}
+    with zipfile.ZipFile(got["z"].file) as z:
+        assert z.namelist() == ["a.txt", "b.txt", "d/b.txt"] and z.read("b.txt") == b"b" * 3000 and z.testzip() is None
+        assert all(m.compress_type == zipfile.ZIP_STORED for m in z.infolist())
+    assert got["y"].members == 1 and got["y"].bytes == (tmp_path / "y.zip").stat().st_size and not list(tmp_path.glob("*.part"))
+
+
+def test_pictures_go_to_png_and_back(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    for name, shape in {"grey": (5, 7, 1), "colour": (4, 3, 3), "clear": (3, 6, 4)}.items():
+        pixels = rng.integers(0, 256, shape, dtype=np.uint8)
+        df = as_png(spark.createDataFrame([(pixels.tobytes(), *shape)], "data binary, height int, width int, nChannels int"))
+        (tmp_path / f"{name}.png").write_bytes(bytes(df.first().png))
+        back = next(r for r in images(spark, str(tmp_path)).collect() if name in r.origin)
+        got = np.frombuffer(bytes(back.data), np.uint8).reshape(back.height, back.width, back.nChannels)
+        assert (got == pixels).all()
+    (tmp_path / "broken.png").write_bytes(b"none")
+    broken = next(r for r in images(spark, str(tmp_path)).collect() if "broken" in r.origin)
+    assert broken.height == -1 and broken.error == "Could not read image: broken.png"
+
+
+def test_pictures_are_turned_upright():
+    def jpeg(turn, order):
+        entry = (0x0112).to_bytes(2, order) + (3).to_bytes(2, order) + (1).to_bytes(4, order) + turn.to_bytes(2, order) + b"\0\0"
+        tiff = (b"II" if order == "little" else b"MM") + (42).to_bytes(2, order) + (8).to_bytes(4, order) + (1).to_bytes(2, order) + entry
+        part = b"Exif\0\0" + tiff
+        return b"\xff\xd8\xff\xe0\0\x04ab\xff\xe1" + (len(part) + 2).to_bytes(2, "big") + part + b"\xff\xda\0\x02"
+
+    x = np.arange(6, dtype=np.uint8).reshape(2, 3, 1)
+    want = {1: x, 2: x[:, ::-1], 3: x[::-1, ::-1], 4: x[::-1], 5: x.swapaxes(0, 1), 6: np.rot90(x, -1), 7: x[::-1, ::-1].swapaxes(0, 1), 8: np.rot90(x)}
+    for turn, seen in want.items():
+        assert turn_of(jpeg(turn, "big")) == turn_of(jpeg(turn, "little")) == turn
+        data, h, w = upright(x.tobytes(), 2, 3, 1, turn)
+        assert (np.frombuffer(data, np.uint8).reshape(h, w, 1) == seen).all()
+    assert turn_of(b"") == turn_of(b"\xff\xd8") == turn_of(b"\x89PNG") == turn_of(jpeg(3, "big")[:30]) == 1
+
+
+def test_manifests_are_read(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"version": 1,\n "files": [{"path": "a.bin", "size": 3, "sha256": "ab", "note": "x"}, {"path": "b.bin", "size": 4, "sha256": "CD"}]}')
+    assert sorted(map(tuple, read_manifest(spark, str(tmp_path / "m.json")).collect())) == [("a.bin", 3, "AB"), ("b.bin", 4, "CD")]
 
 
 def test_arrivals_come_once(spark, tmp_path):
