@@ -9,13 +9,16 @@ mismatching nodes are compared, level by level, down to the records that differ.
 from __future__ import annotations
 
 import gzip
+import io
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import opened
 from .common import checkpointed, table
 
 LEAF_BYTES = 1 << 16
@@ -24,32 +27,74 @@ FAN = 16
 RECORDS = "warc_file string, record_offset long, record_id string, payload binary"
 
 
+def _whole(f, size: int) -> bytes:
+    """Up to `size` bytes, less where the file ends or its compression breaks off."""
+    parts, left = [], size
+    try:
+        while left > 0 and (part := f.read(min(left, 1 << 20))):
+            parts.append(part)
+            left -= len(part)
+    except (EOFError, zlib.error, OSError):
+        pass
+    return b"".join(parts)
+
+
+def _line(f) -> bytes:
+    try:
+        return f.readline(1 << 16)
+    except (EOFError, zlib.error, OSError):
+        return b""
+
+
+def warc_records(f) -> Iterator[tuple[int, str | None, bytes]]:
+    """(offset, id, whole record) of each record of an uncompressed stream, one at a time."""
+    at, line = 0, _line(f)
+    while line:
+        if not line.startswith(b"WARC/"):
+            at, line = at + len(line), _line(f)
+            continue
+        head, line = [line], _line(f)
+        while line.strip(b"\r\n"):
+            head.append(line)
+            line = _line(f)
+        text = b"".join(head) + line
+        size = re.search(rb"(?im)^content-length:\s*(\d+)", text)
+        name = re.search(rb"(?im)^warc-record-id:\s*(.*?)\r?$", text)
+        payload = text + _whole(f, int(size[1]) if size else 0)
+        yield at, name[1].decode("utf-8", "replace") if name else None, payload
+        at, line = at + len(payload), _line(f)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files (plain or gzip): warc_file, record_offset, record_id, payload (the whole record).
 
-    Offsets are those in the uncompressed file. A file is one task's work; bytes before the first record are skipped.
+    Offsets are those in the uncompressed file. A file is one task's work, as compressed files can't be entered in their middle, but is read
+    record by record. Lines between records are skipped, and with them files without any record; a record without a length is its head alone, one
+    without an id has a null id, and of a file that breaks off, in a record or in its compression, what can be read is kept. Empty files give no row.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in RECORDS.split(", ")]
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                rows, at = [], data.find(b"WARC/")
-                while 0 <= at < len(data):
-                    end = data.find(b"\r\n\r\n", at)
-                    head = data[at : end if end >= 0 else len(data)]
-                    size = re.search(rb"(?im)^content-length:\s*(\d+)", head)
-                    stop = min(len(data), end + 4 + int(size[1])) if end >= 0 and size else len(data)
-                    found = re.search(rb"(?im)^warc-record-id:\s*(.*?)\r?$", head)
-                    rows.append((name, at, found[1].decode("utf-8", "replace") if found else None, data[at:stop]))
-                    at = data.find(b"WARC/", stop)
-                cols = list(zip(*rows, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)],
-                    names=["warc_file", "record_offset", "record_id", "payload"],
-                )
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(split, RECORDS)
+            for name in b.column(0).to_pylist():
+                with opened(name) as raw:
+                    packed = raw.read(2) == b"\x1f\x8b"
+                    raw.seek(0)
+                    rows, held = [], 0
+                    for record in warc_records(io.BufferedReader(gzip.GzipFile(fileobj=raw) if packed else raw)):
+                        rows.append((name, *record))
+                        held += len(record[2])
+                        if held > 1 << 24:
+                            yield _batch(rows, names)
+                            rows, held = [], 0
+                    yield _batch(rows, names)
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").mapInArrow(split, RECORDS)
+
+
+def _batch(rows: list, names: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=names)
 
 
 def _hash_of(*parts: str) -> Column:
@@ -114,16 +159,15 @@ def page_records(pages: DataFrame) -> DataFrame:
     body = F.coalesce("html", F.lit(""))
     head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     return pages.select(
-        F.concat(F.lit("part-"), F.floor(F.col("page_id") / PAGES_PER_FILE).cast("string")).alias("warc_file"),
+        F.coalesce(F.concat(F.lit("part-"), F.floor(F.col("page_id") / PAGES_PER_FILE).cast("string")), F.concat(F.lit("none-"), F.substring(F.sha2(body, 256), 1, 3))).alias("warc_file"),
         "page_id", "url", F.concat(head, body, F.lit("\r\n\r\n")).alias("payload"),
     )
 
 
 def place(records: DataFrame) -> DataFrame:
-    """Adds each record's offset in its file. Only lengths go through the window, a file's records at a time."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("warc_file").orderBy("page_id", "url").rowsBetween(Window.unboundedPreceding, -1)
+    """Adds each record's offset in its file. Only lengths go through the window, a file's records at a time; page_records gives a file at most
+    PAGES_PER_FILE ids, and pages without an id are dealt to files of their own by their hash."""
+    w = Window.partitionBy("warc_file").orderBy("page_id", "url", "own").rowsBetween(Window.unboundedPreceding, -1)
     return records.withColumn("record_offset", F.coalesce(F.sum("size").over(w), F.lit(0)).cast("long"))
 
 

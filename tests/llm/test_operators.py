@@ -1,5 +1,6 @@
 """The training-data operators on small, hand-made tables: edge cases, and brute force where SQL can't say it."""
 
+import gzip
 import hashlib
 import itertools
 import random
@@ -118,9 +119,19 @@ def test_fixity_finds_what_differs(spark):
 
 def test_fixity_reads_warc_files(spark, tmp_path):
     one = b"WARC/1.0\r\nWARC-Record-ID: <u:1>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
-    (tmp_path / "x.warc").write_bytes(one + one.replace(b"u:1", b"u:2"))
-    got = fixity.read_warc(spark, str(tmp_path)).orderBy("record_offset").collect()
-    assert [(r.record_id, r.record_offset) for r in got] == [("<u:1>", 0), ("<u:2>", len(one))]
+    two = one + one.replace(b"u:1", b"u:2")
+    files = {"x.warc": two, "x.warc.gz": gzip.compress(one) + gzip.compress(one.replace(b"u:1", b"u:2")), "late.warc": b"noise\n" + one, "empty.warc": b"", "none.warc": b"nothing\nhere"}
+    files |= {"cut.warc": two[:-8], "cut.warc.gz": gzip.compress(two * 3000)[:-20], "bare.warc": b"WARC/1.0\r\nX: 1\r\n\r\n" + one, "nohead.warc": b"WARC/1.0\r\nX: 1"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    got = {}
+    for r in fixity.read_warc(spark, str(tmp_path)).orderBy("record_offset").collect():
+        got.setdefault(r.warc_file.rsplit("/", 1)[1], []).append((r.record_id, r.record_offset, bytes(r.payload)))
+    whole = one[:-4]
+    assert got["x.warc"] == got["x.warc.gz"] == [("<u:1>", 0, whole), ("<u:2>", len(one), whole.replace(b"u:1", b"u:2"))]
+    assert got["late.warc"] == [("<u:1>", 6, whole)] and not {"empty.warc", "none.warc"} & set(got)
+    assert got["cut.warc"][1][2] == whole.replace(b"u:1", b"u:2")[:-4] and len(got["cut.warc.gz"]) > 1000
+    assert [r[0] for r in got["bare.warc"]] == [None, "<u:1>"] and got["nohead.warc"] == [(None, 0, b"WARC/1.0\r\nX: 1")]
 
 
 # --- 4 BPE
