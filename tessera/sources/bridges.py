@@ -13,8 +13,8 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(readings(spark, sf_dir))
 
 
-def _line_order() -> Window:
-    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+def _line_order(order: str = "l_orderkey") -> Window:
+    return Window.partitionBy(order).orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
 
 
 def _copy_mark(kind: Column) -> Column:
@@ -89,8 +89,8 @@ def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as regions of photos of 1600 by 1200, an order being a photo."""
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
     label = F.when(F.col("l_linenumber") == 1, "fallback_full").when(F.col("l_linenumber") == 2, "fallback_lower").when(F.col("l_linenumber") % 2 == 0, "tag_crop_1_strict_white").otherwise("tag_crop_1_soft_tag")
-    x = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("item_id"), F.row_number().over(_line_order()).cast("long").alias("pos"), label.alias("label"), (part * 7 % 400).alias("x"), (supp * 5 % 300).alias("y"),
+    x = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "item_id").select(
+        "item_id", F.row_number().over(_line_order("item_id")).cast("long").alias("pos"), label.alias("label"), (part * 7 % 400).alias("x"), (supp * 5 % 300).alias("y"),
         (20 + F.col("l_quantity") * 6).cast("long").alias("w"), (20 + F.floor(F.col("l_discount") * 1500 + 0.5)).cast("long").alias("h"),
         (F.col("l_tax") * 10.0).alias("light"), (F.col("l_quantity") / 60.0).alias("saturation"), (F.col("l_discount") * 0.9).alias("dark"),
     )

@@ -11,16 +11,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reading per order line: the order is the item, its number the tag, the line's figures the reading's quality."""
+    """One reading per order line: the order is the item, its number the tag, the line's figures the reading's quality.
+
+    Rows are numbered within item_id itself, so that what follows finds them partitioned by it.
+    """
     lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"
+        F.col("l_orderkey").alias("item_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"
     )
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    base = (F.lit(100000) + 7 * F.col("l_orderkey")).cast("string")
-    near = (F.lit(100001) + 7 * F.col("l_orderkey")).cast("string")
+    order = Window.partitionBy("item_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    base = (F.lit(100000) + 7 * F.col("item_id")).cast("string")
+    near = (F.lit(100001) + 7 * F.col("item_id")).cast("string")
     part = F.col("l_partkey")
     text = (
-        F.when((part % 5 == 0) & (F.col("l_orderkey") % 40 == 0), " ")
+        F.when((part % 5 == 0) & (F.col("item_id") % 40 == 0), " ")
         .when(part % 29 == 0, "")
         .when(part % 23 == 0, "N/A")
         .when(part % 19 == 0, F.reverse(base))
@@ -37,7 +40,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     width, height, zero = 40.0 + 4.0 * F.col("l_quantity"), 10.0 + 600.0 * F.col("l_discount"), F.lit(0.0)
     bbox = F.array(F.array(zero, zero), F.array(width, zero), F.array(width, height), F.array(zero, height))
     return lines.select(
-        F.col("l_orderkey").alias("item_id"),
+        "item_id",
         F.row_number().over(order).cast("long").alias("pos"),
         text.alias("text"),
         F.least(F.lit(1.0), 0.4 + F.col("l_quantity") / 80.0 + F.col("l_tax") / 2.0).alias("confidence"),
