@@ -28,6 +28,7 @@ _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?…。，、؟]")
 
+# fixed values: element names of HTML by what they do, and words that class names use
 BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption"
     " address hr header footer nav aside form fieldset details summary center dialog menu hgroup search head legend".split()

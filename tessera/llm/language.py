@@ -19,7 +19,7 @@ from .common import LETTERS, checkpointed, flat_bytes, fold, keep_share, table,
 
 ORDERS = (2, 3, 4)
 BITS = 15
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Languages with fewer rows lend none to weighing the bits.
 FEW_ROWS = 40
 

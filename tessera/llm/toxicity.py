@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, fold, keep_share, table
 
-#: What a mark may stand for.
+#: What a mark may stand for: fixed values, the usual look-alikes.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h",
@@ -328,7 +328,8 @@ def _evidence_udf(model: Model):
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """Adds the toxicity, 0 to 1, of each whole text as `into` (a column of that name is replaced).
 
-    Null texts count as empty; a text without any weighty word gets the least score. Rows and other columns stay.
+    Null texts count as empty; a text without any weighty word gets the least score. Rows, repeated ones too, and other columns stay. Of a word
+    of any length the exact best restoration is found, in time in proportion to its length.
     """
     @F.arrow_udf("double")
     def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
