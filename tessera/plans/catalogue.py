@@ -473,3 +473,18 @@ def turned_rasters(spark: SparkSession, d: str) -> DataFrame:
 @query
 def on_white(spark: SparkSession, d: str) -> DataFrame:
     return bridges.pictures(spark, d).select("image_id", F.array_join(labels.blended(F.col("colour"), F.col("alpha")).cast("array<string>"), ",").alias("pixels"))
+
+
+@query
+def upload_names(spark: SparkSession, d: str) -> DataFrame:
+    """Where uploaded files go: by their base names, the next free one if it is taken, and what is in an archive to a folder of its own."""
+    x = bridges.saved(spark, d).withColumn("name", labels.base_name(F.concat(F.lit("C:\\up/"), "name")))
+    out = naming.free_files(x, ["destination"], "name", "item")
+    return out.select("item", "final", "renamed", F.when(labels.suffix(F.col("final")) == "zip", labels.safe_stem(F.col("final"))).alias("unpacked_to"))
+
+
+@query
+def debug_crops(spark: SparkSession, d: str) -> DataFrame:
+    """Files of an item's first two crops."""
+    first = geometry.crop_priority(bridges.crops(spark, d)).filter("place <= 2")
+    return first.select("item_id", "pos", labels.numbered(F.concat(F.col("item_id").cast("string"), F.lit("_tag_crop")), F.col("place")).alias("file"))
