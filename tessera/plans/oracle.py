@@ -404,5 +404,5 @@ ORACLE_SQL["upload_names"] = """
 WITH RECURSIVE B AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 31 + 1 END AS destination, o_orderkey AS ord,
   CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 < 2 THEN 'result' ELSE 'out.' || CAST(o_custkey % 40 AS VARCHAR) END || ['', '_2', '_3', '_2_2', '_40', '', '', '', '', '', '', '', ''][o_orderkey % 13 + 1]
     || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '.zip' END AS name FROM orders),
-E AS (SELECT destination, ord, regexp_extract(name, '[^/](\.[^./]+)$', 1) AS ending, name FROM B), S AS (SELECT destination, ord, ending, name[:len(name) - len(ending)] AS stem FROM E),""" + _walk("S", "destination", "SN") + """
+E AS (SELECT destination, ord, regexp_extract(name, '[^/](\\.[^./]+)$', 1) AS ending, name FROM B), S AS (SELECT destination, ord, ending, name[:len(name) - len(ending)] AS stem FROM E),""" + _walk("S", "destination", "SN") + """
 SELECT ord AS item, final, n > 1 AS renamed, CASE WHEN final LIKE '%.zip' THEN regexp_replace(regexp_replace(final[:-5], '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') END AS unpacked_to FROM SN"""
