@@ -22,6 +22,7 @@ TABLES = {
     "labels": "doc_id long, quality int, toxic int",
     "pages": "page_id long, url string, html string",
     "embeddings": "vec_id long, embedding array<float>, label int",
+    "conversations": "conv_id long, turn long, role string, text string",
 }
 COLUMNS = {
     "op1_quality": {"doc_id", "held_out", "score", "predicted"},
@@ -33,6 +34,7 @@ COLUMNS = {
     "op8_language_id": {"doc_id", "held_out", "lang_pred", "score", "ambiguous"},
     "op9_toxicity": {"doc_id", "held_out", "score", "predicted"},
     "op10_html_text": {"page_id", "url", "text", "n_chars"},
+    "op13_fim": {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"},
 }
 HELD_OUT = {"op1_quality": (3, 1), "op8_language_id": (4, 2), "op9_toxicity": (5, 0)}
 FOREIGN = "das haus und der garten mit dem fenster waren nicht dort am abend"
