@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import vocabulary_path
+from .bpe import byte_alphabet, vocabulary_path
 from .common import stored, table
 
 SIZE = 2048
@@ -33,7 +33,7 @@ END_ID = 0
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters for which composing, lower case and letter classes are the same in all versions of Unicode.
 PLAIN = "\\t-\\r -ɏЀ-џ‐-‧€ぁ-ゖァ-ヺ一-龥가-힣"
-STORE_WORDS = 200_000
+STORE_WORDS = 500_000
 LONG_WORD = 100
 SLICE = 1 << 20
 
@@ -41,8 +41,8 @@ SLICE = 1 << 20
 class Ids:
     """Ids of whole texts as the tokenizer of a vocabulary file gives them; remembers words, up to STORE_WORDS of them.
 
-    The vocabulary's own pattern splits texts into words that are encoded one by one, so a text's ids are those of its words, which the library gives once
-    each. Texts with an added token, or with a character outside PLAIN, go to the library whole. Both are done in slices that end with white space, over which
+    The vocabulary's own pattern splits texts into words that are encoded one by one, so a text's ids are those of its words, which the library's model gives
+    once each. Texts with an added token, or with a character outside PLAIN, go to the library whole. Both are done in slices that end with white space, over which
     no word reaches.
     """
 
@@ -55,11 +55,14 @@ class Ids:
         added = [regex.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
         self.odd = regex.compile("|".join([f"[^{PLAIN}]", *added])).search
         self.words = regex.compile(PATTERN).findall
+        self.model = self.library.model.tokenize
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
         self.space = regex.compile(r"[\t-\r ]").search
         self.known: dict[str, bytes] = {}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        signs = word if word.isascii() and word.isalnum() else "".join([self.alphabet[b] for b in word.encode()])
+        return np.array([t.id for t in self.model(signs)], "<u4").tobytes()
 
     def _slices(self, text: str) -> Iterator[str]:
         start = 0
@@ -73,7 +76,7 @@ class Ids:
 
     def _slice(self, text: str) -> bytes:
         if self.odd(text):
-            return self._library([text])[0]
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = self.words(unicodedata.normalize("NFC", text).lower())
         known = self.known
         try:
@@ -83,7 +86,7 @@ class Ids:
         if len(known) + len(new) > STORE_WORDS:
             known.clear()
             new = list(dict.fromkeys(words))
-        known.update(zip(new, self._library(new), strict=True))
+        known.update((w, self._word(w)) for w in new)
         found = b"".join([known[w] for w in words])
         for w in new:
             if len(w) > LONG_WORD:
