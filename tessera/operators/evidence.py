@@ -38,9 +38,9 @@ def measures() -> dict[str, Column]:
     }
 
 
-def _with_bonus() -> Column:
-    bonus = F.least(F.greatest(F.lit(0), F.size("strong_sources") - 1) * BONUS_PER_SOURCE, F.lit(MOST_BONUS))
-    return F.least(F.col("best.score") + bonus, F.lit(1.0))
+def _with_bonus(of=F.col) -> Column:
+    bonus = F.least(F.greatest(F.lit(0), F.size(of("strong_sources")) - 1) * BONUS_PER_SOURCE, F.lit(MOST_BONUS))
+    return F.least(of("best")["score"] + bonus, F.lit(1.0))
 
 
 def consensus(found: DataFrame) -> DataFrame:
@@ -56,14 +56,22 @@ def consensus(found: DataFrame) -> DataFrame:
     )
 
 
-def entry() -> Column:
-    """A value of an item; entries sort from the best to the least."""
+def entry(of=F.col) -> Column:
+    """A value of an item; entries sort from the best to the least. `of` finds a measure by its name, as a column or in a struct."""
+    best = of("best")
     return F.struct(
-        (-_with_bonus()).alias("order"), "first_seen", "value", _with_bonus().alias("score"), F.size("sources").alias("source_count"), F.size("strong_sources").alias("strong"),
-        F.col("best.confidence").alias("best_confidence"), F.col("best.source_rotation").alias("best_rotation"), F.col("best.source_crop").alias("best_crop"),
+        (-_with_bonus(of)).alias("order"), of("first_seen").alias("first_seen"), of("value").alias("value"), _with_bonus(of).alias("score"), F.size(of("sources")).alias("source_count"),
+        F.size(of("strong_sources")).alias("strong"), best["confidence"].alias("best_confidence"), best["source_rotation"].alias("best_rotation"), best["source_crop"].alias("best_crop"),
     )
 
 
+def numbers_of() -> Column:
+    """The standalone numbers of a reading with their scores: array of (match_no, value, score)."""
+    score = F.col("confidence") * r.CONFIDENCE_SHARE + r.prominence(F.col("bbox")) * r.PROMINENCE_SHARE + F.lit(r.LENGTH_BONUS) + r.source_adjustment(F.col("source_crop"), F.col("source_rotation"))
+    found = F.transform(r.standalone_numbers(F.col("text")), lambda v, i: F.struct(i.alias("match_no"), v.alias("value"), score.alias("score")))
+    return F.coalesce(found, F.array().cast("array<struct<match_no: int, value: string, score: double>>"))
+
+
 def with_numbers(readings: DataFrame) -> DataFrame:
     """Each reading once as it is (value null) and once for each standalone number in it, with the number's score."""
     none = F.struct(F.lit(None).cast("int").alias("match_no"), F.lit(None).cast("string").alias("value"))

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import numbered, safe_stem
@@ -38,6 +35,23 @@ def running(rows: DataFrame, keys: list[str], order: str, sums: dict[str, Column
 
 #: A name that another one gets when it is taken: its stem, _ and a number from 2 on.
 NUMBERED = r"_([2-9]|[1-9][0-9]{1,8})$"
+FAMILY = r"(_[0-9]+|[.][^./]+)+$"
+ENTITY = ["__at", "__stem", "__ending"]
+LONG_AGO = -(1 << 62)
+
+
+def _file_ending(name: Column) -> Column:
+    return F.regexp_extract(name, r"[^/](\.[^./]+)$", 1)
+
+
+def _parents(claims: DataFrame) -> DataFrame:
+    """(__at, __stem, __ending, k, name, first): of each claimed name, which stem would get it as its number k; as a file's name and as a folder's."""
+    ending = _file_ending(F.col("name"))
+    ways = F.array_distinct(F.array(F.struct(F.substr("name", F.lit(1), F.length("name") - F.length(ending)).alias("own"), ending.alias("ending")), F.struct(F.col("name").alias("own"), F.lit("").alias("ending"))))
+    met = claims.filter(F.col("name").rlike("_[0-9]+([.][^./]+)?$")).withColumn("w", F.explode(ways))
+    k = F.regexp_extract("w.own", NUMBERED, 1)
+    met = met.select("__at", F.regexp_replace("w.own", NUMBERED, "").alias("__stem"), F.col("w.ending").alias("__ending"), k.try_cast("long").alias("k"), "name", "first")
+    return met.filter(F.col("k").isNotNull() & (F.col("__stem") != ""))
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
@@ -47,94 +61,116 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return out
 
 
-def _settle(place: list[str]):
-    """Of stems that are asked for both as they are and as numbers of others: which numbers a stem finds taken. Rows come family by family, in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, types = None, None
-        taken: dict[str, set] = {}
-        ahead: dict[str, list] = {}  # numbers taken beyond those that the stem has used
-        used: dict[str, tuple] = {}  # of a stem: how many asked so far, and the number that the last of them got
-
-        def settled(done: list) -> pa.RecordBatch:
-            cols = list(zip(*done, strict=True)) or [[]] * (len(place) + 2)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*place, "stem", "taken"])
-
-        for b in batches:
-            types = [*(b.schema.field(c).type for c in place), pa.string(), pa.list_(pa.int64())]
-            done = []
-            for row in b.to_pylist():
-                at = (*(row[c] for c in place), row["root"])
-                if at != family:
-                    done += [(*family[:-1], s, sorted(t)) for s, t in taken.items()]
-                    family, taken, ahead, used = at, {}, {}, {}
-                stem, parent, k = row["stem"], row["parent"], row["k"]
-                count, last = used.get(parent, (0, 0))
-                numbers = ahead.setdefault(parent, [1] if 1 in taken.get(parent, ()) else [])
-                while count < row["before"]:
-                    free = numbers[0] - 1 - last if numbers else row["before"]
-                    step = min(free, row["before"] - count)
-                    count, last = count + step, last + step
-                    if count < row["before"]:
-                        last = heapq.heappop(numbers)
-                used[parent] = (count, last)
-                if k <= last:
-                    taken.setdefault(stem, set()).add(1)  # the other stem has had this number already
-                else:
-                    taken.setdefault(parent, set()).add(k)
-                    heapq.heappush(numbers, k)
-            yield settled(done)
-        if family:
-            yield settled([(*family[:-1], s, sorted(t)) for s, t in taken.items()])
-
-    return run
-
-
-def free_numbers(rows: DataFrame, place: list[str], stem: str, order: str) -> DataFrame:
+def _reached(kids: DataFrame, heads: DataFrame) -> DataFrame:
+    """Of the numbers that others claim, those that a stem comes to while it names its rows (heads: __at, __stem, __ending, own, n, base, and most_base, what base may become).
+
+    A stem of n rows gets to its i-th claimed number only if this isn't beyond n and the claims before it.
+    """
+    met = kids.join(heads, ENTITY).filter((F.col("n") > 1) | (F.col("most_base") > 0))
+    met = running(met, ENTITY, "k", {"__i": F.lit(1)})
+    over = met.filter(F.col("k") > F.col("n") + F.col("most_base") + F.col("__i") - 1).groupBy(*ENTITY).agg(F.min("k").alias("__over"))
+    return met.join(over, ENTITY, "left").filter(F.col("__over").isNull() | (F.col("k") < F.col("__over"))).select(*kids.columns, "own", "base")
+
+
+def _numbers(rows: DataFrame, place: list[str], stem: Column, ending: Column, order: str, taken: DataFrame | None) -> DataFrame:
+    """Adds number to rows; see free_numbers. An entity is a stem with its ending in a place, and its own name is stem and ending."""
+    spark = rows.sparkSession
+    at = F.struct(*place) if place else F.struct(F.lit(0).alias("all"))
+    x = rows.withColumn("__at", at).withColumn("__stem", stem).withColumn("__ending", ending)
+    x = stored(running(x, ENTITY, order, {"__nth": F.lit(1)}))  # read several times below
+    asked = x.groupBy(*ENTITY).agg(F.min(order).cast("long").alias("first"), F.count("*").alias("n")).withColumn("name", F.concat("__stem", "__ending"))
+    claims = asked
+    if taken is not None:
+        families = asked.select("__at", F.regexp_replace("name", FAMILY, "").alias("family")).distinct()
+        old = taken.select(at.alias("__at"), F.col("name"), F.regexp_replace("name", FAMILY, "").alias("family")).join(families, ["__at", "family"], "left_semi")
+        claims = asked.unionByName(old.select("__at", "name", F.lit(LONG_AGO).alias("first")), allowMissingColumns=True)
+    # of those that claim one name, the first gets it
+    claims = claims.withColumn("least", F.min("first").over(Window.partitionBy("__at", "name")))
+    entities = stored(claims.filter(F.col("n").isNotNull()).select(*ENTITY, "name", "n", "first", (F.col("least") < F.col("first")).cast("long").alias("base")))
+    kids = _parents(claims.groupBy("__at", "name").agg(F.min("first").alias("first")))
+
+    # an own name that is another stem's number may be taken by it; a claim too many here is one that a stem just doesn't come to
+    won = kids.select("__at", "name").distinct().withColumn("won", F.lit(1).cast("long"))
+    heads = entities.join(won, ["__at", "name"], "left").select(*ENTITY, F.col("name").alias("own"), "n", "base", F.greatest("base", F.coalesce("won", F.lit(0))).alias("most_base"))
+    pairs = stored(_reached(kids, heads).withColumn("took", F.lit(False)))
+    took, skips = None, None
+    if not pairs.isEmpty():
+        times = stored(x.join(pairs.select(*ENTITY).distinct(), ENTITY, "left_semi").select(*ENTITY, F.col("__nth").alias("j"), F.col(order).cast("long").alias("time")))
+        changed = True
+        while changed:
+            ahead = running(pairs, ENTITY, "k", {"skips": (~F.col("took")).cast("int")})
+            base = F.col("base")
+            if took is not None:
+                ahead = ahead.join(took.select("__at", F.col("name").alias("own"), F.lit(1).cast("long").alias("won")), ["__at", "own"], "left")
+                base = F.greatest("base", F.coalesce("won", F.lit(0)))
+            ahead = ahead.withColumn("j", F.col("k") - base - F.col("skips") + (~F.col("took")).cast("int"))
+            told = ahead.join(times, [*ENTITY, "j"], "left")
+            told = stored(told.select(*pairs.drop("took").columns, "j", F.col("took").alias("before"), F.coalesce(F.col("time") < F.col("first"), F.lit(False)).alias("took")))
+            changed = not told.filter("before <> took").isEmpty()
+            pairs, took = told.drop("before", "j"), told.filter("took").select("__at", "name").distinct()
+        skips = told.filter("not took").groupBy(*ENTITY, "j").agg(F.count("*").alias("w"))
+    moved = entities if took is None else entities.join(took.withColumn("won", F.lit(1).cast("long")), ["__at", "name"], "left").withColumn("base", F.greatest("base", F.coalesce("won", F.lit(0))))
+    moved = moved.select(*ENTITY, "base")
+    if skips is None:
+        moved = stored(moved.filter("base > 0"))
+        skips = moved.limit(0).select(*ENTITY, F.col("base").alias("j"), F.col("base").alias("w"))
+    else:
+        moved = stored(moved.join(skips.select(*ENTITY).distinct().withColumn("s", F.lit(1)), ENTITY, "left").filter("base > 0 or s is not null").drop("s"))
+    if moved.isEmpty():
+        return x.withColumn("number", F.col("__nth")).drop(*ENTITY, "__nth")
+    still = x.join(moved, _same(x, moved, ENTITY), "left_anti").withColumn("number", F.col("__nth"))
+    of = x.join(moved, ENTITY).withColumn("__turn", 2 * F.col("__nth") + 1).withColumn("__w", F.lit(0).cast("long"))
+    marks = skips.select(*ENTITY, (2 * F.col("j")).alias("__turn"), F.col("w").alias("__w"))
+    past = running(of.unionByName(marks, allowMissingColumns=True), ENTITY, "__turn", {"__past": F.col("__w")}).filter(F.col("__nth").isNotNull())
+    past = past.withColumn("number", F.col("__nth") + F.col("base") + F.col("__past")).select(*still.columns)
+    return still.unionByName(past).drop(*ENTITY, "__nth")
+
+
+def free_numbers(rows: DataFrame, place: list[str], stem: str, order: str, taken: DataFrame | None = None) -> DataFrame:
     """Adds number: 1 if a row gets its stem itself, else the n of stem_n, the first name that is free when its turn comes.
 
-    order is a whole number that is unique in a place. A stem such as a_2 may be asked for too, and is then not free to a, or taken by a already. Rows
-    of a stem are counted by `running`, so one stem may hold a large part of all rows; only distinct stems that can meet such numbers, with
-    how many asked before them, are settled together, in order.
+    order is a whole number that is unique in a place. taken (the columns of place, name) has names that were there before. A stem such as a_2 may be asked for too, and is then not
+    free to a, or taken by a already. Rows of a stem are counted in blocks, so one stem may hold a large part of all rows. Numbers that others claim are looked at only where a
+    stem really comes to them; who is first is worked out for all of them at once, and again with what came out until nothing changes: every round settles at least the least open number of
+    every stem, and mostly nearly all. No stem or family is settled in one task. Rows without a stem are numbered like those of one stem.
     """
-    keys = [*place, stem]
-    x = stored(running(rows, keys, order, {"nth": F.lit(1)}))  # read several times below
-    asked = x.groupBy(*keys).agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    asked = asked.select(*place, F.col(stem).alias("stem"), "first", "n", F.regexp_replace(stem, NUMBERED, "").alias("parent"), F.regexp_extract(stem, NUMBERED, 1).alias("k"))
-    children = asked.filter((F.col("k") != "") & (F.col("parent") != "")).withColumn("k", F.col("k").try_cast("long"))
-    most = children.groupBy(*place, "parent").agg(F.count("*").alias("children"))
-    parents = asked.select(*place, F.col("stem").alias("parent"), F.col("n").alias("asked")).alias("p")
-    met = parents.join(most.alias("m"), _same(parents, most, [*place, "parent"])).select(*(parents[c] for c in [*place, "parent"]), "asked", "children")
-    # a stem's rows get numbers up to one more than they and the taken numbers are
-    near = children.join(met, _same(children, met, [*place, "parent"])).filter(F.col("k") <= F.col("asked") + F.col("children") + 1)
-    near = stored(near.select(*(children[c] for c in place), children["stem"], children["first"], children["parent"], children["k"]))
-    if near.isEmpty():
-        return x.withColumnRenamed("nth", "number")
-    heads = near.select(*place, "parent").distinct()
-    of = x.join(heads, _same(x, heads, place) & x[stem].eqNullSafe(heads["parent"]), "left_semi").select(*place, F.col(stem).alias("parent"), F.col(order).alias("__at"), F.lit(1).alias("w"), F.lit(None).cast("string").alias("stem"), F.lit(None).cast("long").alias("k"))
-    marks = near.select(*place, "parent", F.col("first").alias("__at"), F.lit(0).alias("w"), "stem", "k")
-    before = running(of.unionByName(marks), [*place, "parent"], "__at", {"before": F.col("w")}).filter(F.col("stem").isNotNull())
-    root = F.regexp_replace("stem", NUMBERED.replace("_(", "(_(").replace(")$", "))+$"), "")
-    before = before.select(*place, "parent", F.col("__at").alias("first"), "stem", "k", "before", F.size(F.split("stem", "_")).alias("depth"), root.alias("root"))
-    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in place)
-    families = before.repartition(*place, "root").sortWithinPartitions(*place, "root", "depth", "first")
-    taken = families.mapInArrow(_settle(place), f"{types}{', ' if types else ''}stem string, taken array<long>").withColumnRenamed("stem", "__stem")
-    out = x.join(taken, _same(x, taken, place) & x[stem].eqNullSafe(taken["__stem"]), "left")
-    number = F.aggregate(F.coalesce("taken", F.array().cast("array<long>")), x["nth"], lambda n, t: F.when(t <= n, n + 1).otherwise(n))
-    return out.select(*(x[c] for c in rows.columns), number.alias("number"))
-
-
-def free_files(rows: DataFrame, place: list[str], name: str, order: str, is_directory: Column | None = None) -> DataFrame:
+    return _numbers(rows, place, F.col(stem), F.lit(""), order, taken)
+
+
+def free_files(rows: DataFrame, place: list[str], name: str, order: str, is_directory: Column | None = None, taken: DataFrame | None = None) -> DataFrame:
     """Adds final, the first free name of a file in order (a.jpg, a_2.jpg, ...; a directory's suffix is part of its stem), and renamed.
 
-    Files are told from directories by their kind alone: a directory x.jpg doesn't make a file x.jpg take another name.
+    Files, directories and names that are taken already (taken: the columns of place, name) share one space of names. Not seen is only that a file whose very ending is numbered (a.b_2)
+    and a directory may both come to one name by their numbers.
     """
-    ending = F.regexp_extract(F.col(name), r"[^/](\.[^./]+)$", 1)
+    ending = _file_ending(F.col(name))
     ending = ending if is_directory is None else F.when(is_directory, "").otherwise(ending)
-    x = rows.withColumn("__ending", ending).withColumn("__name", F.col(name).substr(F.lit(1), F.length(name) - F.length("__ending")))
-    x = free_numbers(stored(x), [*place, "__ending"], "__name", order)  # what led to the names isn't worked out again
-    final = F.concat("__name", F.when(F.col("number") > 1, F.concat(F.lit("_"), F.col("number").cast("string"))).otherwise(""), "__ending")
-    return x.withColumn("final", final).withColumn("renamed", F.col("number") > 1).drop("__ending", "__name", "number")
+    x = stored(rows.withColumn("__end", ending).withColumn("__own", F.col(name).substr(F.lit(1), F.length(name) - F.length("__end"))))
+    x = _numbers(x, place, F.col("__own"), F.col("__end"), order, taken)
+    final = F.concat("__own", F.when(F.col("number") > 1, F.concat(F.lit("_"), F.col("number").cast("string"))).otherwise(""), "__end")
+    return x.withColumn("final", final).withColumn("renamed", F.col("number") > 1).drop("__end", "__own", "number")
+
+
+def given_names(spark: SparkSession, folder: str, but: int | None = None) -> DataFrame | None:
+    """Names in a table that name_batch keeps, without those of one batch; None if there are none yet."""
+    try:
+        names = spark.read.parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return names.filter(F.col("batch") != but) if but is not None else names
+
+
+def name_batch(rows: DataFrame, place: list[str], name: str, order: str, folder: str, batch: int, is_directory: Column | None = None) -> DataFrame:
+    """free_files for rows that come in batches: names given to earlier batches, kept in a table in `folder`, are taken; those of this batch are added to it.
+
+    Batches are named one after the other. A batch that is named again, as after a failure, replaces its own names and gets the same. Of the table only names of families that the batch asks
+    for are moved.
+    """
+    named = stored(free_files(rows, place, name, order, is_directory, given_names(rows.sparkSession, folder, batch)))
+    named.select(*place, F.col("final").alias("name")).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+    return named
 
 
 def path_key(path: Column) -> Column:

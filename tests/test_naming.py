@@ -3,18 +3,19 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import naming
 
 
-def one_by_one(rows):
-    """(place, order, stem) in order of their turns -> number of each."""
-    used, out = set(), {}
-    for place, order, stem in sorted(rows, key=lambda r: r[1]):
-        n = 1
-        while (place, stem if n == 1 else f"{stem}_{n}") in used:
+def one_by_one(rows, used=()):
+    """(place, order, stem[, ending]) in order of their turns -> number of each."""
+    used, out = set(used), {}
+    for place, order, stem, *ending in sorted(rows, key=lambda r: r[1]):
+        end, n = ending[0] if ending else "", 1
+        while (place, (stem if n == 1 else f"{stem}_{n}") + end) in used:
             n += 1
-        used.add((place, stem if n == 1 else f"{stem}_{n}"))
+        used.add((place, (stem if n == 1 else f"{stem}_{n}") + end))
         out[place, order] = n
     return out
 
@@ -29,11 +30,55 @@ def test_numbers_are_those_that_are_free(spark, seed):
     assert got == one_by_one(rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_names_that_are_taken_already(spark, seed):
+    rng = random.Random(seed)
+    ends = ["", "", "", "_2", "_3", "_4", "_2_2", "_5", "_6", "_7", "_3_2"]
+    make = lambda: rng.choice(["x", "x", "y"]) + rng.choice(ends)
+    rows, taken = [(rng.choice(["a", "b", None]), i, make()) for i in range(80)], {(rng.choice(["a", "b", None]), make()) for _ in range(25)}
+    df, old = spark.createDataFrame(rows, "place string, at long, stem string"), spark.createDataFrame(sorted(taken, key=str), "place string, name string")
+    got = {(r.place, r.at): r.number for r in naming.free_numbers(df, ["place"], "stem", "at", old).collect()}
+    assert got == one_by_one(rows, taken)
+
+
+def test_alternating_claims_of_one_family(spark):
+    rows = [("p", i, "IMG" if i % 2 == 0 else f"IMG_{i // 2 + 2}") for i in range(400)]
+    df = spark.createDataFrame(rows, "place string, at long, stem string")
+    got = {(r.place, r.at): r.number for r in naming.free_numbers(df, ["place"], "stem", "at").collect()}
+    assert got == one_by_one(rows)
+
+
+def test_numbered_photos_claim_nothing_from_each_other(spark):
+    df = spark.range(20_000).select(F.lit("p").alias("place"), F.col("id").alias("at"), F.when(F.col("id") == 0, "IMG").otherwise(F.concat(F.lit("IMG_"), F.col("id").cast("string"))).alias("stem"))
+    got = naming.free_numbers(df, ["place"], "stem", "at")
+    assert got.filter("number = 1").count() == got.count() == 20_000
+    entities = df.select(F.struct("place").alias("__at"), F.col("stem").alias("__stem"), F.lit("").alias("__ending"), F.col("stem").alias("name"), F.col("at").alias("first"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("base"), F.lit(0).alias("most_base"))
+    kids = naming._parents(entities)
+    assert kids.count() == 19_998 and naming._reached(kids, entities.withColumn("own", F.col("name")).drop("name", "first")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_batches_one_after_the_other_are_named_like_one(spark, seed, tmp_path):
+    rng = random.Random(seed)
+    rows = [(rng.choice("ab"), i, rng.choice(["x", "y.tar"]) + rng.choice(["", "", "_2", "_3", "_2_2"]), rng.choice([".jpg", ".jpg", ""])) for i in range(150)]
+    want, got = one_by_one(rows), {}
+    df = spark.createDataFrame([(p, i, s + e, e == "") for p, i, s, e in rows], "place string, at long, name string, folder boolean")
+    for batch, (low, high) in enumerate([(0, 60), (60, 61), (61, 150)]):
+        part = df.filter(F.col("at").between(low, high - 1))
+        for again in range(2):  # the second time as after a failure
+            done = naming.name_batch(part, ["place"], "name", "at", str(tmp_path / "names"), batch, F.col("folder")).collect()
+            assert again == 0 or {(r.place, r.at): r.final for r in done} == {k: v for k, v in got.items() if low <= k[1] < high}
+            got |= {(r.place, r.at): r.final for r in done}
+    name = lambda s, e, n: s + (f"_{n}" if n > 1 else "") + e
+    assert got == {(p, i): name(s, e, want[p, i]) for p, i, s, e in rows}
+    assert spark.read.parquet(str(tmp_path / "names")).count() == len(rows) == len({(p, f) for (p, _), f in got.items()})
+
+
 def test_files_and_folders(spark):
     rows = [(0, "a.jpg", False), (1, "a.jpg", False), (2, "a_2.jpg", False), (3, "a.jpg", True), (4, "a.jpg", True), (5, "d/a.jpg", False), (6, "", False)]
     df = spark.createDataFrame([(1, *r) for r in rows], "place long, at long, name string, folder boolean")
     got = {r.at: (r.final, r.renamed) for r in naming.free_files(df, ["place"], "name", "at", df["folder"]).collect()}
-    assert {k: v[0] for k, v in got.items()} == {0: "a.jpg", 1: "a_2.jpg", 2: "a_2_2.jpg", 3: "a.jpg", 4: "a.jpg_2", 5: "d/a.jpg", 6: ""}
+    assert {k: v[0] for k, v in got.items()} == {0: "a.jpg", 1: "a_2.jpg", 2: "a_2_2.jpg", 3: "a.jpg_2", 4: "a.jpg_3", 5: "d/a.jpg", 6: ""}
     assert naming.free_files(df.limit(0), ["place"], "name", "at").count() == 0
 
 
