@@ -86,16 +86,27 @@ TERMINAL = ("COMPLETED", "FAILED")
 
 
 def job_states(events: DataFrame) -> DataFrame:
-    """Per job its last state, its counted items and whether it runs. events: job_id, at, seq, state, done, message.
+    """Per job its state, its counted items and whether it runs. events: job_id, at, seq, state, done, message, and total if it is known.
 
-    A repeated start of a job that isn't over changes nothing; progress never goes back.
+    Events count in the order of (at, seq). A job that is known isn't started again by a repeated start, whatever its state; nothing changes one that is over. done is the last progress before
+    the end, not below 0 nor beyond total; a job that completes has done its total. started is the (at, seq) of the first event, events the number of all. Events are summed before they are moved;
+    only where a job ended comes back to them, one row a job.
     """
-    last = F.max(F.struct("at", "seq", "state", "message")).alias("l")
-    out = events.groupBy("job_id").agg(last, F.max(F.greatest(F.coalesce("done", F.lit(0)), F.lit(0))).alias("done"), F.count("*").alias("events"))
-    return out.select("job_id", F.col("l.state").alias("state"), "done", "events", F.when(F.col("l.state") == "FAILED", F.col("l.message")).otherwise("").alias("error"), (~F.col("l.state").isin(*TERMINAL)).alias("running"))
-
-
-def latest_running(states: DataFrame, order: str = "job_id") -> DataFrame:
+    order = F.struct("at", "seq")
+    x = events if "total" in events.columns else events.withColumn("total", F.lit(None).cast("long"))
+    over = x.filter(F.col("state").isin(*TERMINAL)).groupBy(F.col("job_id").alias("__job")).agg(F.min(F.struct("at", "seq", "state", "message")).alias("end"))
+    met = x.join(over, F.col("job_id").eqNullSafe(F.col("__job")), "left")
+    runs = (F.col("state") == "RUNNING") & (F.col("end").isNull() | (order < F.struct("end.at", "end.seq")))
+    told = F.greatest(F.least(F.col("done"), F.col("total")), F.lit(0))
+    out = met.groupBy("job_id").agg(
+        F.min(order).alias("started"), F.count("*").alias("events"), F.first("end").alias("end"), F.max(F.when(runs, F.struct("at", "seq", told.alias("done")))).alias("last"),
+        F.max(F.when(F.col("end").isNull() | (order <= F.struct("end.at", "end.seq")), F.struct("at", "seq", "total"))["total"]).alias("total"))
+    state = F.coalesce("end.state", F.when(F.col("last").isNotNull(), "RUNNING").otherwise("QUEUED"))
+    done = F.coalesce(F.when(F.col("end.state") == "COMPLETED", F.col("total")), F.col("last.done"), F.lit(0))
+    return out.select("job_id", state.alias("state"), done.alias("done"), "events", F.when(F.col("end.state") == "FAILED", F.col("end.message")).otherwise("").alias("error"), F.col("end").isNull().alias("running"), "started")
+
+
+def latest_running(states: DataFrame, order: str = "started") -> DataFrame:
     """The job started last of those that run, or no row."""
     return states.filter("running").orderBy(F.desc(order)).limit(1)
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, readings as r
 from ..images.kernels import mask_measures, mask_parts
 from ..operators import evidence, export, geometry, ingest, naming, planner, report, review, safety
 from ..sources import bridges
+from ..sinks.versions import VersionedReport
 from ..sources.readings import readings, table
+from ..streaming import live
+from ..tables import new_folder
 from .oracle import ORACLE_SQL  # noqa: F401
 
 QUERIES: dict = {}
@@ -111,6 +114,16 @@ def report_update(spark: SparkSession, d: str) -> DataFrame:
     return report.update(bridges.report(spark, d), bridges.edits(spark, d)).select("item_id", "original_filename", "detected_tag_number", "status", "output_folder")
 
 
+@query
+def report_versions(spark: SparkSession, d: str) -> DataFrame:
+    """A report written batch by batch, one of them twice, and then edited: its newest version."""
+    rows, kept = bridges.report(spark, d), VersionedReport(spark, new_folder(spark, "report"))
+    for batch in (0, 1, 1, 2):
+        kept.add_batch(rows.filter(F.crc32(F.col("item_id").cast("binary")) % 3 == batch), batch)
+    kept.edit(bridges.edits(spark, d))
+    return kept.read().select("item_id", "original_filename", "detected_tag_number", "status", "output_folder")
+
+
 @query
 def qa_compare(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_orderkey")
@@ -175,6 +188,16 @@ def saved_names(spark: SparkSession, d: str) -> DataFrame:
     return naming.free_files(bridges.saved(spark, d), ["destination"], "name", "item", F.col("is_directory")).select("item", "final", "renamed")
 
 
+@query
+def continued_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of files and folders where others are already, customers' ones in the second half of destinations."""
+    x = bridges.saved(spark, d).withColumn("name", F.when(F.col("is_directory") & (F.col("item") % 2 == 0), F.concat("name", F.lit(".zip"))).otherwise(F.col("name")))
+    c = table(spark, d, "customer").select((F.col("c_custkey") % 32).alias("destination"), F.col("c_custkey").alias("key"))
+    mark = F.when(F.col("key") % 3 > 0, F.concat(F.lit("_"), (F.col("key") % 7 + 2).cast("string"))).otherwise("")
+    taken = c.select("destination", F.concat(F.when(F.col("key") % 2 == 0, "result").otherwise(F.concat(F.lit("out."), (F.col("key") % 40).cast("string"))), mark, F.when(F.col("key") % 5 == 0, "").otherwise(".zip")).alias("name"))
+    return naming.free_files(x, ["destination"], "name", "item", F.col("is_directory"), taken.distinct()).select("item", "final", "renamed")
+
+
 @query
 def manifest_verify(spark: SparkSession, d: str) -> DataFrame:
     return ingest.manifest_verify(bridges.manifest(spark, d), bridges.on_disk(spark, d))
@@ -208,12 +231,12 @@ def stale_archives(spark: SparkSession, d: str) -> DataFrame:
 def _job_events(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("event_type")
     state = F.when(t == "signup", "QUEUED").when(t.isin("view", "click"), "RUNNING").when(t == "purchase", "COMPLETED").otherwise("FAILED")
-    return table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), state.alias("state"), F.floor("value").cast("long").alias("done"), F.col("props").alias("message"))
+    return table(spark, d, "events").select((F.col("user_id") * 100 + F.col("event_id") % 37).alias("job_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), state.alias("state"), F.floor("value").cast("long").alias("done"), F.lit(80).cast("long").alias("total"), F.col("props").alias("message"))
 
 
 @query
 def latest_job_state(spark: SparkSession, d: str) -> DataFrame:
-    return review.job_states(_job_events(spark, d))
+    return review.job_states(_job_events(spark, d)).drop("started")
 
 
 @query
@@ -291,6 +314,18 @@ def ocr_checkpoints(spark: SparkSession, d: str) -> DataFrame:
     return planner.replay(readings(spark, d).withColumn("checkpoint", F.floor((F.col("pos") + 1) / 2)))
 
 
+@query
+def live_checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    """The decisions of ocr_checkpoints by a stream of readings, of which a few files arrive at a time and in no order."""
+    item, x = Window.partitionBy("item_id"), readings(spark, d).withColumn("checkpoint", F.floor((F.col("pos") + 1) / 2))
+    x = x.withColumn("expected", F.count("*").over(Window.partitionBy("item_id", "checkpoint"))).withColumn("last", F.max("checkpoint").over(item) == F.col("checkpoint"))
+    x = x.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("pos")))
+    source = new_folder(spark, "readings")
+    x.repartition(4, F.xxhash64("item_id", "pos")).write.parquet(source)
+    stream = spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    return live.settled(live.live_decisions(stream)).drop("notes")
+
+
 @query
 def safety_reasons(spark: SparkSession, d: str) -> DataFrame:
     one = lambda c: F.array_join(c, ",")
@@ -415,7 +450,7 @@ def job_starts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def forget_jobs(spark: SparkSession, d: str) -> DataFrame:
-    return review.forget(review.job_states(_job_events(spark, d)), table(spark, d, "events").select((F.col("user_id") * 2).alias("job_id")))
+    return review.forget(review.job_states(_job_events(spark, d)), table(spark, d, "events").select((F.col("user_id") * 200 + F.col("event_id") % 37).alias("job_id")))
 
 
 @query

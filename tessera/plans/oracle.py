@@ -74,6 +74,16 @@ def _walk(rows: str, place: str, into: str) -> str:
 {into} AS (SELECT {at.replace("s.", "")}, ending, ord, n, used[-1] || ending AS final FROM {into}_2)"""
 
 
+#: A job is started by its first event and ended by its first purchase or error; what comes later changes nothing.
+_JOBS = """
+J0 AS (SELECT user_id * 100 + event_id % 37 AS job_id, event_type AS t, CAST(floor(value) AS BIGINT) AS done, props, row_number() OVER (PARTITION BY user_id * 100 + event_id % 37 ORDER BY ts, event_id) AS k,
+  row_number() OVER (ORDER BY ts, event_id) AS turn FROM events),
+J1 AS (SELECT *, min(k) FILTER (t IN ('purchase', 'error')) OVER (PARTITION BY job_id) AS over FROM J0),
+JS AS (SELECT job_id, coalesce(CASE max(t) FILTER (k = over) WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' END, CASE WHEN count(*) FILTER (t IN ('view', 'click')) > 0 THEN 'RUNNING' ELSE 'QUEUED' END) AS state,
+  CASE WHEN max(t) FILTER (k = over) = 'purchase' THEN 80 ELSE coalesce(least(greatest(arg_max(done, k) FILTER (t IN ('view', 'click') AND (over IS NULL OR k < over)), 0), 80), 0) END AS done,
+  count(*) AS events, coalesce(max(props) FILTER (k = over AND t = 'error'), '') AS error, max(over) IS NULL AS running, min(turn) AS started FROM J1 GROUP BY job_id)"""
+
+
 def _names(transparent_only: bool) -> str:
     white, clear = ("plain", "removed") if transparent_only else ("plain OR removed", "removed")
     file = "removed" if transparent_only else "false"
@@ -249,13 +259,8 @@ SELECT user_id % 10 AS root, arg_max(user_id, (ts, user_id)) AS run, max(ts) AS
 WITH t AS (SELECT user_id AS run, max(ts) FILTER (WHERE event_type = 'click') AS zip, max(floor(value)) FILTER (WHERE event_type = 'click') AS zs, max(ts) FILTER (WHERE event_type = 'view') AS src,
   count(*) FILTER (WHERE event_type = 'error' AND value < 10) AS marks FROM events GROUP BY 1)
 SELECT run, marks > 0 OR zip IS NULL OR CASE WHEN src IS NULL THEN zs = 0 ELSE zip < src END AS stale FROM t""",
-    "latest_job_state": """
-WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k, max(greatest(CAST(floor(value) AS BIGINT), 0)) OVER (PARTITION BY user_id) AS done, count(*) OVER (PARTITION BY user_id) AS events FROM events)
-SELECT user_id AS job_id, CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' ELSE 'RUNNING' END AS state, done, events,
-  CASE WHEN event_type = 'error' THEN props ELSE '' END AS error, event_type NOT IN ('purchase', 'error') AS running FROM e WHERE k = 1""",
-    "latest_running_job": """
-WITH e AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS t FROM events GROUP BY 1)
-SELECT user_id AS job_id, CASE WHEN t = 'signup' THEN 'QUEUED' ELSE 'RUNNING' END AS state FROM e WHERE t NOT IN ('purchase', 'error') ORDER BY user_id DESC LIMIT 1""",
+    "latest_job_state": "WITH" + _JOBS + " SELECT job_id, state, done, events, error, running FROM JS",
+    "latest_running_job": "WITH" + _JOBS + " SELECT job_id, state FROM JS WHERE running ORDER BY started DESC LIMIT 1",
     "crop_score": "WITH" + _CROPS + " SELECT item_id, pos, fits, score FROM KS",
     "crop_nms": "WITH RECURSIVE" + _CROPS + """,
 KP AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, pos) AS place FROM KS),
@@ -358,9 +363,8 @@ WITH RECURSIVE s AS (SELECT user_id AS item_id, event_id AS seq, event_id * 10 A
 w AS (SELECT item_id, seq, k, job AS given, over AS until FROM s WHERE k = 1
   UNION ALL SELECT s.item_id, s.seq, s.k, CASE WHEN w.until > s.seq THEN w.given ELSE s.job END, CASE WHEN w.until > s.seq THEN w.until ELSE s.over END FROM w JOIN s ON s.item_id = w.item_id AND s.k = w.k + 1)
 SELECT item_id, seq, given, CASE WHEN given = seq * 10 THEN '.complete' ELSE '.processing' END AS mark FROM w""",
-    "forget_jobs": """
-WITH q AS (SELECT DISTINCT user_id * 2 AS job_id FROM events), l AS (SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS t FROM events GROUP BY 1)
-SELECT q.job_id, CASE WHEN t IS NULL THEN 'unknown' WHEN t IN ('purchase', 'error') OR t NOT IN ('signup', 'view', 'click') THEN 'forgotten' ELSE 'refused: running' END AS outcome FROM q LEFT JOIN l ON q.job_id = l.job_id""",
+    "forget_jobs": "WITH" + _JOBS + """, Q AS (SELECT DISTINCT user_id * 200 + event_id % 37 AS job_id FROM events)
+SELECT Q.job_id, CASE WHEN state IS NULL THEN 'unknown' WHEN running THEN 'refused: running' ELSE 'forgotten' END AS outcome FROM Q LEFT JOIN JS ON Q.job_id = JS.job_id""",
     "archive_sources": """
 SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 1 THEN 'run/debug/' ELSE 'run/' END || CAST(o_orderkey AS VARCHAR) || '.png' AS path FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0""",
     "export_totals": """
@@ -406,3 +410,22 @@ WITH RECURSIVE B AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey
     || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '.zip' END AS name FROM orders),
 E AS (SELECT destination, ord, regexp_extract(name, '[^/](\\.[^./]+)$', 1) AS ending, name FROM B), S AS (SELECT destination, ord, ending, name[:len(name) - len(ending)] AS stem FROM E),""" + _walk("S", "destination", "SN") + """
 SELECT ord AS item, final, n > 1 AS renamed, CASE WHEN final LIKE '%.zip' THEN regexp_replace(regexp_replace(final[:-5], '[^A-Za-z0-9_-]+', '_', 'g'), '^_+|_+$', '', 'g') END AS unpacked_to FROM SN"""
+
+ORACLE_SQL["live_checkpoints"] = ORACLE_SQL["ocr_checkpoints"]
+ORACLE_SQL["report_versions"] = ORACLE_SQL["report_update"]
+#: One name after the other, in the family of all names that differ in trailing numbers and .zip alone (files have that ending, folders none); the names that are there already come first.
+ORACLE_SQL["continued_names"] = r"""
+WITH RECURSIVE B AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 31 + 1 END AS destination, o_orderkey AS item, o_orderkey % 7 = 0 AS folder,
+  CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 < 2 THEN 'result' ELSE 'out.' || CAST(o_custkey % 40 AS VARCHAR) END || ['', '_2', '_3', '_2_2', '_40', '', '', '', '', '', '', '', ''][o_orderkey % 13 + 1]
+    || CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 2 <> 0 THEN '' ELSE '.zip' END AS name FROM orders),
+T AS (SELECT DISTINCT c_custkey % 32 AS destination, CASE WHEN c_custkey % 2 = 0 THEN 'result' ELSE 'out.' || CAST(c_custkey % 40 AS VARCHAR) END
+  || CASE WHEN c_custkey % 3 > 0 THEN '_' || CAST(c_custkey % 7 + 2 AS VARCHAR) ELSE '' END || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '.zip' END AS name FROM customer),
+TF AS (SELECT destination, regexp_replace(name, '(_[0-9]+|[.]zip)+$', '') AS family, list(name) AS names FROM T GROUP BY 1, 2),
+E AS (SELECT *, regexp_replace(name, '(_[0-9]+|[.]zip)+$', '') AS family, CASE WHEN folder THEN '' ELSE regexp_extract(name, '[^/](\.[^./]+)$', 1) END AS ending FROM B),
+S AS (SELECT *, name[:len(name) - len(ending)] AS stem, row_number() OVER (PARTITION BY destination, family ORDER BY item) AS turn FROM E),
+W(destination, family, turn, item, name, final, used) AS (
+  SELECT DISTINCT destination, family, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', '', coalesce(names, []) FROM S LEFT JOIN TF USING (destination, family)
+  UNION ALL SELECT destination, family, turn, item, name, final, list_append(used, final) FROM (SELECT s.destination, s.family, s.turn, s.item, s.name, w.used, CASE WHEN NOT list_contains(w.used, s.name) THEN s.name
+    ELSE s.stem || '_' || CAST(list_filter(range(2, len(w.used) + 3), lambda n: NOT list_contains(w.used, s.stem || '_' || CAST(n AS VARCHAR) || s.ending))[1] AS VARCHAR) || s.ending END AS final
+    FROM W w JOIN S s ON w.destination = s.destination AND w.family = s.family AND s.turn = w.turn + 1))
+SELECT item, final, final <> name AS renamed FROM W WHERE item IS NOT NULL"""

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions.readings import canonical_crop
 from ..operators.evidence import STRONG_CONFIDENCE, entry, joined, numbers_of, safe_consensus, settle
+from ..tables import new_folder
 
 READING = Row("pos", "checkpoint", "expected", "last", "text", "confidence", "source_rotation", "source_crop", "crop", "numbers")
 PENDING = (
@@ -170,3 +171,17 @@ def live_decisions(readings: DataFrame, delay: str = "10 minutes", patience_ms:
     made = made.select("item_id", "checkpoint", "final", "at", "safe", "tag_number", "confidence", "status", "notes")
     return made.groupBy("item_id").transformWithState(FirstSafe(patience_ms), first, "Append", "EventTime")
 
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def settled(decisions: DataFrame, checkpoint: str | None = None, into: str | None = None) -> DataFrame:
+    """Runs a stream of decisions over all that has arrived, and gives the table it has written to. With folders of one's own it goes on where it stopped."""
+    spark = decisions.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKS:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the one that keeps arbitrary state
+    into = into or new_folder(spark, "decisions")
+    run = decisions.writeStream.format("parquet").outputMode("append").option("path", into).option("checkpointLocation", checkpoint or new_folder(spark, "progress"))
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(decisions.schema).parquet(into)
