@@ -178,21 +178,27 @@ def path_key(path: Column) -> Column:
     return F.split(path, "/")
 
 
-def item_ids(files: DataFrame, batch: str = "batch", path: str = "path") -> DataFrame:
-    """Adds item_id (item_000001, ...) by order of paths in each batch, and of equal paths by the other columns.
+def placed(rows: DataFrame, batch: str, order: list[Column], into: str) -> DataFrame:
+    """Adds each row's number, from 1, in its batch by the given order.
 
     A batch may hold a large part of all rows: its rows are sorted over all tasks by range, counted in each range, and numbered from
     what earlier ranges hold. The ranges stay as they are, as their table is stored.
     """
-    order = [F.col(batch).asc_nulls_first(), path_key(F.col(path)).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in files.columns if c not in (batch, path))]
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(files.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(rows.repartitionByRange(n, F.col(batch).asc_nulls_first(), *order).withColumn("__range", F.spark_partition_id()))
     sizes = ranged.groupBy(batch, "__range").agg(F.count("*").alias("__n"))  # one row per range and batch in it
     earlier = Window.partitionBy(batch).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(F.col(batch).alias("__batch"), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     within = F.row_number().over(Window.partitionBy(batch, "__range").orderBy(*order))
     met = ranged.withColumn("__nth", within).join(sizes, F.col(batch).eqNullSafe(F.col("__batch")) & (F.col("__range") == F.col("__r")))
-    return met.select(*files.columns, F.format_string("item_%06d", F.col("__nth") + F.col("__before")).alias("item_id"))
+    return met.select(*rows.columns, (F.col("__nth") + F.col("__before")).alias(into))
+
+
+def item_ids(files: DataFrame, batch: str = "batch", path: str = "path") -> DataFrame:
+    """Adds item_id (item_000001, ...) by order of paths in each batch, and of equal paths by the other columns."""
+    order = [path_key(F.col(path)).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in files.columns if c not in (batch, path))]
+    met = placed(files, batch, order, "__number")
+    return met.select(*files.columns, F.format_string("item_%06d", F.col("__number")).alias("item_id"))
 
 
 def output_names(photos: DataFrame, mode: str = "white_and_transparent") -> DataFrame:
