@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -11,19 +12,45 @@ import pyarrow as pa
 from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.ingest import first_of_equal, sort_formats
 from ..operators.report import normalise
 from ..schemas import REPORT_COLUMNS
 
 
+def hashed(files: DataFrame) -> DataFrame:
+    """Adds sha, the SHA-256 of each image's content in hexadecimal, to files (path, verdict); null for others, and for a file that is gone.
+
+    A task reads its files one after the other, as streams of a megabyte, so a file's size doesn't matter.
+    """
+    schema = T.StructType([*files.schema.fields, T.StructField("sha", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for path, verdict in zip(b.column("path").to_pylist(), b.column("verdict").to_pylist(), strict=True):
+                sha = hashlib.sha256() if verdict == "image" else None
+                try:
+                    if sha:
+                        with opened(path) as f:
+                            while chunk := f.read(1 << 20):
+                                sha.update(chunk)
+                except FileNotFoundError:
+                    sha = None
+                found.append(sha and sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=schema.fieldNames())
+
+    return files.mapInArrow(run, schema)
+
+
 def discover(spark: SparkSession, folder: str) -> DataFrame:
-    """Files below a folder: path, length, modified, sha, format, verdict, first_key, duplicate. Only hashes leave the scan."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    hashed = files.select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha"))
-    sorted_out = sort_formats(hashed)
-    images = first_of_equal(sorted_out.filter("verdict = 'image'"), "path")
-    return images.unionByName(sorted_out.filter("verdict <> 'image'").withColumns({"first_key": F.col("path"), "duplicate": F.lit(False)}))
+    """Files below a folder: path, length, modified, format, verdict, sha, first_key, duplicate. Files are judged by their names; of images alone the contents are read, and only their hashes
+    leave the scan. A file that is no image has no sha."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", F.col("modificationTime").alias("modified"))
+    found = hashed(sort_formats(files))
+    images = first_of_equal(found.filter("verdict = 'image'"), "path")
+    return images.unionByName(found.filter("verdict <> 'image'").withColumns({"first_key": F.col("path"), "duplicate": F.lit(False)}))
 
 
 def turn_of(content: bytes) -> int:
@@ -67,7 +94,8 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():  # a picture at a time: each may hold many megabytes
+            for i in range(b.num_rows):  # a picture at a time: each may hold many megabytes
+                [r] = b.slice(i, 1).to_pylist()
                 name = r["origin"].rsplit("/", 1)[-1]
                 data, h, w, n = r["data"], r["height"], r["width"], r["nChannels"]
                 if h > 0:

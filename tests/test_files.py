@@ -12,7 +12,7 @@ from tessera.operators import ingest
 from tessera.schemas import REPORT_COLUMNS
 from tessera.sinks.files import as_png, write_archives, write_report
 from tessera.sources.files import discover, images, member_contents, read_manifest, read_report, turn_of, upright, zip_members
-from tessera.streaming.drops import arrivals, once
+from tessera.streaming.drops import KnownContents, arrivals, once
 
 
 def test_discover_keeps_the_first_of_equal_contents(spark, tmp_path):
@@ -109,6 +109,40 @@ def test_arrivals_come_once(spark, tmp_path):
     assert spark.table("arrived").select(F.countDistinct("sha"), F.count("*")).first() == (2, 2)
 
 
+def test_contents_of_earlier_batches_are_known(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    known = KnownContents(spark, str(tmp_path / "known"))
+
+    def run(where, **files):
+        for name, content in files.items():
+            (tmp_path / "in" / name.replace("_", ".")).write_bytes(content)
+        source = arrivals(spark, str(tmp_path / "in"))
+        source.writeStream.foreachBatch(known.writer()).option("checkpointLocation", str(tmp_path / where)).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.batch, r.path.rsplit("/", 1)[1]) for r in known.read().collect())
+
+    assert known.read() is None
+    assert run("progress", b_jpg=b"1", a_jpg=b"1", c_txt=b"2", d_png=b"4") == [(0, "a.jpg"), (0, "d.png")]
+    assert run("progress", e_jpg=b"1", f_jpg=b"3", g_webp=b"3") == [(0, "a.jpg"), (0, "d.png"), (1, "f.jpg")]  # goes on where it stopped
+    assert run("progress", h_jpg=b"1") == [(0, "a.jpg"), (0, "d.png"), (1, "f.jpg")]
+    own = spark.read.parquet(str(tmp_path / "known")).filter("batch = 1").withColumn("verdict", F.lit("image"))
+    known.add_batch(own.select("path", "modified", "format", "verdict", "sha"), 3)  # nothing new, twice
+    known.add_batch(own.select("path", "modified", "format", "verdict", "sha"), 3)
+    assert known.read().count() == 3
+    # a stream that has lost its progress brings all files again, as its first batch: which then has what no other batch has
+    assert [n for _, n in run("lost")] == ["a.jpg", "d.png", "f.jpg"]
+
+
+def test_large_files_are_judged_by_name_and_hashed_as_streams(spark, tmp_path):
+    import hashlib
+
+    with open(tmp_path / "all.zip", "wb") as f:
+        f.truncate(3 << 30)  # more than an array of the JVM can hold; sparse
+    with open(tmp_path / "large.jpg", "wb") as f:
+        f.write(b"x" * 5_000_000)
+    got = {r.path.rsplit("/", 1)[1]: (r.verdict, r.length, r.sha) for r in discover(spark, str(tmp_path)).collect()}
+    assert got == {"all.zip": ("archive", 3 << 30, None), "large.jpg": ("image", 5_000_000, hashlib.sha256(b"x" * 5_000_000).hexdigest())}
+
+
 def test_old_files_that_arrive_late_are_taken(spark, tmp_path):
     folder, day = tmp_path / "in", 86_400
     folder.mkdir()
