@@ -225,7 +225,7 @@ def long_outputs(docs: DataFrame, key: str = "doc_id", text: str = "text", seed:
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "key", F.array("h1", "h2", "h3", "h4").alias("h"), "text")
     piece = T.StructType().add("row", "long").add("no", "integer").add("key", docs.schema[key].dataType).add("h", H).add("data", "binary")
     pieces = rows.mapInArrow(_chunks(chunk, piece.fieldNames()), piece)
-    scanned = T.StructType(piece.fields).add("ends", H).add("begun", H)
+    scanned = T.StructType(list(piece.fields)).add("ends", H).add("begun", H)
     pieces = stored(pieces.repartition("row", "no").mapInArrow(_scan_chunks(scanned.fieldNames()), scanned))
     # a string holds at most 2 GB, so a text has at most 65 536 chunks, of which only the functions meet here
     functions = F.sort_array(F.collect_list(F.struct("no", "ends", "begun"))).alias("functions")
