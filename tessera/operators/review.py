@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import cache_complete
+from ..functions.labels import cache_complete, safe_stem
 from ..functions.readings import valid_manual_tag
 from ..schemas import BACKGROUND_MODES, CACHE_READY, CACHE_REVIEW, DUPLICATE_TAG, OK, REVIEW_REQUIRED
+from ..tables import stored
+from .naming import free_files
 
 
 def correct(rows: DataFrame, default_mode: str = "white_and_transparent") -> DataFrame:
@@ -15,7 +17,7 @@ def correct(rows: DataFrame, default_mode: str = "white_and_transparent") -> Dat
 
     rows: tag (the person's), matches (rows that the selector means), original_filename, has_file, background_mode,
     correction_cache_status and its two file names, rerun_ok (of a new background run; null if none is possible), taken (files
-    of this tag already there). The first rule that applies counts; a row of any status may be corrected. Cache columns
+    of this tag already there). effective_mode is the mode that counted. The first rule that applies counts; a row of any status may be corrected. Cache columns
     are cleared and archives are stale after every step that isn't refused.
     """
     mode = F.coalesce(F.nullif(F.trim("background_mode"), F.lit("")), F.lit(default_mode))
@@ -29,7 +31,7 @@ def correct(rows: DataFrame, default_mode: str = "white_and_transparent") -> Dat
         .when(mode == "none", "moved").when(cache == CACHE_REVIEW, "background review").when((cache == CACHE_READY) & whole, "from cache")
         .when(F.coalesce(F.col("rerun_ok"), F.lit(False)), "rerun").otherwise("background review")
     )
-    x = rows.withColumn("step", step)
+    x = rows.withColumn("step", step).withColumn("effective_mode", mode)
     refused, waits = F.col("step").startswith("refused"), F.col("step") == "background review"
     final = F.when(F.col("taken") > 0, DUPLICATE_TAG).otherwise(OK)
     folder = F.when(mode == "transparent_only", "transparent_images").otherwise("processed_images")
@@ -41,6 +43,47 @@ def correct(rows: DataFrame, default_mode: str = "white_and_transparent") -> Dat
     )
 
 
+def correction_actions(rows: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """What happens to files when corrections are carried out: action (the item), step, kind, source, target, below the output folder, for sinks.moves.
+
+    rows: those of correct(), and item (a whole number, the order of corrections) and final_filename. taken (folder, name) are the names that are there. A file that waited for its tag is moved to its new name, or
+    prepared outputs are copied to theirs and it goes with its cache. A transparent copy is named after its white one. A correction that must run the background again ("rerun") makes new pictures and is not
+    in here, nor is one that was refused.
+    """
+    x = rows.filter(F.col("step").isin("moved", "from cache", "background review"))
+    waits, cached = F.col("step") == "background review", F.col("step") == "from cache"
+    stem = safe_stem(F.concat(F.lit("BG_REVIEW_"), F.regexp_replace("final_filename", r"(.)\.[^.]*$", "$1")))
+    x = x.withColumn("clear", cached & F.col("effective_mode").isin("white_and_transparent", "transparent_only")).withColumn("white", ~cached | (F.col("effective_mode") != "transparent_only"))
+    x = x.withColumn("folder", F.when(waits, "background_review").otherwise("processed_images")).withColumn("name", F.concat(F.when(waits, stem).otherwise(F.trim("tag")), F.lit(".png")))
+    first = free_files(x.filter("white"), ["folder"], "name", "item", taken=taken).withColumnRenamed("final", "main").drop("renamed")
+    x = stored(first.unionByName(x.filter("not white").withColumn("main", F.lit(None).cast("string"))))
+    second = x.filter("clear").select("item", F.lit("transparent_images").alias("folder"), F.coalesce("main", "name").alias("name"))
+    second = free_files(second, ["folder"], "name", "item", taken=taken).select("item", F.col("final").alias("extra"))
+    x = x.join(second, "item", "left")
+
+    def path(folder: Column | str, name: Column | str) -> Column:
+        return F.concat(folder if isinstance(folder, Column) else F.lit(folder), F.lit("/"), F.col(name) if isinstance(name, str) else name)
+
+    source, target = path(F.col("output_folder"), "final_filename"), path(F.col("folder"), "main")
+    whites, clears = F.col("correction_cache_white_filename"), F.col("correction_cache_transparent_filename")
+    review = F.regexp_replace("main", "[.]png$", "")
+
+    def step(n: int, when: Column, kind: str, from_: Column, to: Column | None) -> Column:
+        return F.when(when, F.struct(F.lit(n).alias("step"), F.lit(kind).alias("kind"), from_.alias("source"), (F.lit(None).cast("string") if to is None else to).alias("target")))
+
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    prepared = waits & (F.col("correction_cache_status") == CACHE_REVIEW)
+    steps = F.array(
+        step(1, F.col("step") == "moved", "move", source, target), step(1, waits, "copy", source, target), step(1, cached & F.col("white"), "copy", path("correction_cache", whites), target),
+        step(2, prepared & filled(whites), "copy?", path("correction_cache", whites), path(F.col("folder"), F.concat(review, F.lit("_candidate_white.png")))),
+        step(3, prepared & filled(clears), "copy?", path("correction_cache", clears), path(F.col("folder"), F.concat(review, F.lit("_transparent.png")))),
+        step(3, F.col("clear"), "copy", path("correction_cache", clears), path("transparent_images", "extra")),
+        step(4, F.col("step") != "moved", "delete", source, None),
+        step(5, (F.col("step") != "moved") & filled(whites), "delete", path("correction_cache", whites), None), step(6, (F.col("step") != "moved") & filled(clears), "delete", path("correction_cache", clears), None),
+    )
+    return x.select(F.col("item_id").alias("action"), F.explode(F.array_compact(steps)).alias("s")).select("action", "s.*")
+
+
 def decide_background(rows: DataFrame) -> DataFrame:
     """Adds what accepting a preview or keeping the original does: step, new_status, new_folder, new_background.
 

@@ -382,8 +382,7 @@ def export_state(spark: SparkSession, d: str) -> DataFrame:
     return export.current(x, budget=200_000).select("name", "state")
 
 
-@query
-def correction_transition(spark: SparkSession, d: str) -> DataFrame:
+def _corrections(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("item_id").cast("long")
     x = bridges.report(spark, d).select(
         "item_id", "status", "output_folder", "original_filename", F.lit("0.5").alias("confidence_score"), F.when(key % 6 == 0, "12a45").otherwise((100000 + key).cast("string")).alias("tag"),
@@ -393,7 +392,23 @@ def correction_transition(spark: SparkSession, d: str) -> DataFrame:
         F.when(key % 3 != 0, "w.png").otherwise("").alias("correction_cache_white_filename"), F.when(key % 5 != 0, "t.png").otherwise("").alias("correction_cache_transparent_filename"),
         (key % 7 != 0).alias("rerun_ok"), (key % 2).alias("taken"),
     )
-    return review.correct(x).select("item_id", "step", "new_status", "new_folder", "new_confidence", "stale")
+    return x
+
+
+@query
+def correction_transition(spark: SparkSession, d: str) -> DataFrame:
+    return review.correct(_corrections(spark, d)).select("item_id", "step", "new_status", "new_folder", "new_confidence", "stale")
+
+
+@query
+def correction_files(spark: SparkSession, d: str) -> DataFrame:
+    """Which files corrections move, copy and delete, where many give the same tag and customers' files are there already."""
+    key, c = F.col("item_id").cast("long"), F.col("c_custkey")
+    x = _corrections(spark, d).withColumn("tag", F.when(F.length("tag") == 6, (100000 + key % 997).cast("string")).otherwise(F.col("tag")))
+    x = x.withColumns({"item": key, "final_filename": F.concat(F.lit("REVIEW_"), (key % 211).cast("string"), F.lit(".b.png"))})
+    names = [("processed_images", 997), ("transparent_images", 499), ("background_review", 0)]
+    taken = table(spark, d, "customer").select(F.explode(F.array(*(F.struct(F.lit(f).alias("folder"), F.concat((100000 + c % n).cast("string") if n else F.concat(F.lit("BG_REVIEW_REVIEW_"), (c % 100).cast("string")), F.lit(".png")).alias("name")) for f, n in names))).alias("t")).select("t.*")
+    return review.correction_actions(review.correct(x), taken.distinct())
 
 
 @query

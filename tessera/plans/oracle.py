@@ -413,19 +413,54 @@ SELECT ord AS item, final, n > 1 AS renamed, CASE WHEN final LIKE '%.zip' THEN r
 
 ORACLE_SQL["live_checkpoints"] = ORACLE_SQL["ocr_checkpoints"]
 ORACLE_SQL["report_versions"] = ORACLE_SQL["report_update"]
-#: One name after the other, in the family of all names that differ in trailing numbers and .zip alone (files have that ending, folders none); the names that are there already come first.
+
+
+def _walk_names(rows: str, taken: str, into: str) -> str:
+    """Names given one by one beside those that are there: of rows (place, family, ord, name, stem, ending) each takes its name, or the first stem_n that is not used yet. Only names of one family
+    can meet; the names that are there (taken: place, family, name) come first."""
+    return f"""
+{into}_T AS (SELECT place, family, list(name) AS names FROM {taken} GROUP BY 1, 2),
+{into}_S AS (SELECT *, row_number() OVER (PARTITION BY place, family ORDER BY ord) AS turn FROM {rows}),
+{into}_W(place, family, turn, ord, name, final, used) AS (
+  SELECT DISTINCT s.place, s.family, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', '', coalesce(names, []) FROM {into}_S s LEFT JOIN {into}_T t ON s.place = t.place AND s.family = t.family
+  UNION ALL SELECT place, family, turn, ord, name, final, list_append(used, final) FROM (SELECT s.place, s.family, s.turn, s.ord, s.name, w.used, CASE WHEN NOT list_contains(w.used, s.name) THEN s.name
+    ELSE s.stem || '_' || CAST(list_filter(range(2, len(w.used) + 3), lambda n: NOT list_contains(w.used, s.stem || '_' || CAST(n AS VARCHAR) || s.ending))[1] AS VARCHAR) || s.ending END AS final
+    FROM {into}_W w JOIN {into}_S s ON w.place = s.place AND w.family = s.family AND s.turn = w.turn + 1)),
+{into} AS (SELECT place, ord, name, final FROM {into}_W WHERE ord IS NOT NULL)"""
+
+
+#: Files have the ending .zip, folders none; names that differ in trailing numbers and .zip alone are a family.
 ORACLE_SQL["continued_names"] = r"""
-WITH RECURSIVE B AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 31 + 1 END AS destination, o_orderkey AS item, o_orderkey % 7 = 0 AS folder,
+WITH RECURSIVE B AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 31 + 1 END AS place, o_orderkey AS ord, o_orderkey % 7 = 0 AS folder,
   CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 < 2 THEN 'result' ELSE 'out.' || CAST(o_custkey % 40 AS VARCHAR) END || ['', '_2', '_3', '_2_2', '_40', '', '', '', '', '', '', '', ''][o_orderkey % 13 + 1]
     || CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 2 <> 0 THEN '' ELSE '.zip' END AS name FROM orders),
-T AS (SELECT DISTINCT c_custkey % 32 AS destination, CASE WHEN c_custkey % 2 = 0 THEN 'result' ELSE 'out.' || CAST(c_custkey % 40 AS VARCHAR) END
+T0 AS (SELECT DISTINCT c_custkey % 32 AS place, CASE WHEN c_custkey % 2 = 0 THEN 'result' ELSE 'out.' || CAST(c_custkey % 40 AS VARCHAR) END
   || CASE WHEN c_custkey % 3 > 0 THEN '_' || CAST(c_custkey % 7 + 2 AS VARCHAR) ELSE '' END || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '.zip' END AS name FROM customer),
-TF AS (SELECT destination, regexp_replace(name, '(_[0-9]+|[.]zip)+$', '') AS family, list(name) AS names FROM T GROUP BY 1, 2),
-E AS (SELECT *, regexp_replace(name, '(_[0-9]+|[.]zip)+$', '') AS family, CASE WHEN folder THEN '' ELSE regexp_extract(name, '[^/](\.[^./]+)$', 1) END AS ending FROM B),
-S AS (SELECT *, name[:len(name) - len(ending)] AS stem, row_number() OVER (PARTITION BY destination, family ORDER BY item) AS turn FROM E),
-W(destination, family, turn, item, name, final, used) AS (
-  SELECT DISTINCT destination, family, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', '', coalesce(names, []) FROM S LEFT JOIN TF USING (destination, family)
-  UNION ALL SELECT destination, family, turn, item, name, final, list_append(used, final) FROM (SELECT s.destination, s.family, s.turn, s.item, s.name, w.used, CASE WHEN NOT list_contains(w.used, s.name) THEN s.name
-    ELSE s.stem || '_' || CAST(list_filter(range(2, len(w.used) + 3), lambda n: NOT list_contains(w.used, s.stem || '_' || CAST(n AS VARCHAR) || s.ending))[1] AS VARCHAR) || s.ending END AS final
-    FROM W w JOIN S s ON w.destination = s.destination AND w.family = s.family AND s.turn = w.turn + 1))
-SELECT item, final, final <> name AS renamed FROM W WHERE item IS NOT NULL"""
+T AS (SELECT place, regexp_replace(name, '(_[0-9]+|[.]zip)+$', '') AS family, name FROM T0),
+E AS (SELECT *, regexp_replace(name, '(_[0-9]+|[.]zip)+$', '') AS family, CASE WHEN folder THEN '' ELSE regexp_extract(name, '[^/](\\.[^./]+)$', 1) END AS ending FROM B),
+S AS (SELECT *, name[:len(name) - len(ending)] AS stem FROM E),""" .replace("\\\\", "\\") + _walk_names("S", "T", "N") + " SELECT ord AS item, final, final <> name AS renamed FROM N"
+
+ORACLE_SQL["correction_files"] = (
+    "WITH RECURSIVE C AS (SELECT item_id, step FROM (" + ORACLE_SQL["correction_transition"] + """)),
+K AS (SELECT C.item_id, CAST(C.item_id AS BIGINT) AS k, step, CASE WHEN ['white_and_transparent', 'white_only', 'transparent_only', 'none', '', 'odd'][CAST(C.item_id AS BIGINT) % 6 + 1] = '' THEN 'white_and_transparent'
+  ELSE ['white_and_transparent', 'white_only', 'transparent_only', 'none', '', 'odd'][CAST(C.item_id AS BIGINT) % 6 + 1] END AS mode FROM C WHERE step IN ('moved', 'from cache', 'background review')),
+A AS (SELECT K.*, G.output_folder, CAST(100000 + k % 997 AS VARCHAR) AS tag, step = 'from cache' AND mode IN ('white_and_transparent', 'transparent_only') AS clear, step <> 'from cache' OR mode <> 'transparent_only' AS white,
+  'REVIEW_' || CAST(k % 211 AS VARCHAR) || '.b.png' AS file, k % 3 <> 0 AS w, k % 5 <> 0 AS t FROM K JOIN (WITH""" + _REPORT + """ SELECT item_id, output_folder FROM G) G ON G.item_id = K.item_id),
+T AS (SELECT DISTINCT 'processed_images' AS place, CAST(100000 + c_custkey % 997 AS VARCHAR) AS family, CAST(100000 + c_custkey % 997 AS VARCHAR) || '.png' AS name FROM customer
+  UNION SELECT 'transparent_images', CAST(100000 + c_custkey % 499 AS VARCHAR), CAST(100000 + c_custkey % 499 AS VARCHAR) || '.png' FROM customer
+  UNION SELECT 'background_review', 'BG_REVIEW_REVIEW', 'BG_REVIEW_REVIEW_' || CAST(c_custkey % 100 AS VARCHAR) || '.png' FROM customer),
+M AS (SELECT 'processed_images' AS place, tag AS family, k AS ord, tag || '.png' AS name, tag AS stem, '.png' AS ending FROM A WHERE white AND step <> 'background review'
+  UNION ALL SELECT 'background_review', 'BG_REVIEW_REVIEW', k, 'BG_REVIEW_REVIEW_' || CAST(k % 211 AS VARCHAR) || '.png', 'BG_REVIEW_REVIEW_' || CAST(k % 211 AS VARCHAR), '.png' FROM A WHERE step = 'background review'),"""
+    + _walk_names("M", "T", "MN") + """,
+L AS (SELECT 'transparent_images' AS place, tag AS family, k AS ord, coalesce(final, tag || '.png') AS name, regexp_replace(coalesce(final, tag || '.png'), '[.]png$', '') AS stem, '.png' AS ending FROM A LEFT JOIN MN ON ord = k WHERE clear),"""
+    + _walk_names("L", "T", "LN") + """,
+F AS (SELECT A.*, MN.final AS main, MN.place || '/' || MN.final AS target, LN.final AS extra, output_folder || '/' || file AS source, k % 4 = 1 AND step = 'background review' AS prepared,
+  regexp_replace(MN.final, '[.]png$', '') AS review FROM A LEFT JOIN MN ON MN.ord = k LEFT JOIN LN ON LN.ord = k)
+SELECT item_id AS action, 1 AS step, CASE WHEN step = 'moved' THEN 'move' ELSE 'copy' END AS kind, CASE WHEN step = 'from cache' THEN 'correction_cache/w.png' ELSE source END AS source, target FROM F WHERE white
+UNION ALL SELECT item_id, 2, 'copy?', 'correction_cache/w.png', 'background_review/' || review || '_candidate_white.png' FROM F WHERE prepared AND w
+UNION ALL SELECT item_id, 3, 'copy?', 'correction_cache/t.png', 'background_review/' || review || '_transparent.png' FROM F WHERE prepared AND t
+UNION ALL SELECT item_id, 3, 'copy', 'correction_cache/t.png', 'transparent_images/' || extra FROM F WHERE clear
+UNION ALL SELECT item_id, 4, 'delete', source, NULL FROM F WHERE step <> 'moved'
+UNION ALL SELECT item_id, 5, 'delete', 'correction_cache/w.png', NULL FROM F WHERE step <> 'moved' AND w
+UNION ALL SELECT item_id, 6, 'delete', 'correction_cache/t.png', NULL FROM F WHERE step <> 'moved' AND t"""
+)
