@@ -53,31 +53,15 @@ def areas(label: np.ndarray) -> np.ndarray:
     return np.bincount(label.ravel())[1:]
 
 
-def dilate(mask: np.ndarray, radius: int) -> np.ndarray:
-    """The mask widened by a disc."""
-    h, w = mask.shape
-    wide, out = np.pad(mask, radius), np.zeros_like(mask)
-    for dy in range(-radius, radius + 1):
-        for dx in range(-radius, radius + 1):
-            if dx * dx + dy * dy <= radius * radius:
-                out |= wide[radius + dy : radius + dy + h, radius + dx : radius + dx + w]
-    return out
-
-
 def fill_holes(mask: np.ndarray) -> np.ndarray:
     """The mask without those gaps that don't reach the border."""
     gap = components(np.pad(~mask, 1, constant_values=True), diagonal=False)
     return (gap != gap[0, 0])[1:-1, 1:-1]
 
 
-def fuse(base: np.ndarray, other: np.ndarray, restore: np.ndarray) -> np.ndarray:
-    """The base opacity, raised to the other's where parts are to be restored."""
-    return np.where(restore, np.maximum(base, other), base)
-
-
 # fixed values: what counts as foreground, and the least areas of parts that are kept or missed
 FOREGROUND, OBJECT, SOLID = 18, 12, 220
-KEPT_PART, ISLAND, LOST_PART, COUNTED_PART = (18, 2e-5), (36, 4e-5), (18, 2e-5), (12, 1.5e-5)
+KEPT_PART, LOST_PART, COUNTED_PART = (18, 2e-5), (18, 2e-5), (12, 1.5e-5)
 
 
 def least_area(rule: tuple[int, float], shape: tuple[int, int]) -> int:

@@ -10,7 +10,13 @@ LIGHT, LOW_SATURATION, EXTENT, TEXT, SIZE = 0.24, 0.18, 0.16, 0.24, 0.18
 BORDER, STRICT_BONUS, LARGE_BONUS = 0.72, 0.06, 0.03
 MOST_OVERLAP, MOST_CROPS = 0.42, 4
 FIT_WIDTH, FIT_HEIGHT, MOST_SCALE, CENTRE, MARGIN = 0.84, 0.72, 1.7, 0.54, 0.065
-FALLBACKS = {"fallback_full": 0.20, "fallback_lower": 0.18, "fallback_center": 0.16, "fallback_right": 0.14}
+# fixed values: scores of the regions that are read where no tag is found, and their left, top, right and bottom as shares of the image
+FALLBACKS = {
+    "fallback_full": (0.20, 0.0, 0.0, 1.0, 1.0),
+    "fallback_lower": (0.18, 0.0, 0.45, 1.0, 1.0),
+    "fallback_center": (0.16, 0.12, 0.18, 0.88, 0.82),
+    "fallback_right": (0.14, 0.48, 0.0, 1.0, 1.0),
+}
 
 
 def crop_verdict(w: Column, h: Column, area: Column, image: Column) -> Column:
@@ -56,6 +62,24 @@ def distinct_crops(crops: DataFrame, most: int | None = MOST_CROPS) -> DataFrame
     return rows.select("item_id", kept.alias("kept"))
 
 
+def crop_candidates(crops: DataFrame, images: DataFrame, most: int = MOST_CROPS) -> DataFrame:
+    """The crops to read of each image: its best distinct ones in order, then the four regions that every image has. images: item_id, image_w, image_h, one row each.
+
+    Gives item_id, place (from 1), label (tag_crop_1, ... or the region's), pos (null for a region), score, x, y, w, h. An image without crops has its regions alone, crops of an unknown image are left out.
+    """
+    w, h = F.col("image_w"), F.col("image_h")
+    found = distinct_crops(crops, most)
+    regions = []
+    for label, (score, left, top, right, bottom) in FALLBACKS.items():
+        x0, y0, x1, y1 = (F.floor(side * share).cast("long") for side, share in ((w, left), (h, top), (w, right), (h, bottom)))
+        regions.append(F.struct(F.lit(label).alias("label"), F.lit(None).cast(crops.schema["pos"].dataType).alias("pos"), F.lit(score).alias("score"), x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h")))
+    long = lambda c, n: c[n].cast("long").alias(n)
+    kept = F.transform(F.coalesce("kept", F.slice("kept", 1, 0)), lambda c, i: F.struct(
+        F.concat(F.lit("tag_crop_"), (i + 1).cast("string")).alias("label"), c["pos"].alias("pos"), c["score"].cast("double").alias("score"), *(long(c, n) for n in "xywh")))
+    met = images.join(found, "item_id", "left").withColumn("all", F.concat(F.when(F.col("kept").isNull(), F.slice(F.array(regions[0]), 1, 0)).otherwise(kept), F.array(*regions)))
+    return met.select("item_id", F.posexplode("all").alias("i", "c")).select("item_id", (F.col("i") + 1).cast("long").alias("place"), "c.*")
+
+
 def distinct_shapes(crops: DataFrame, most: int = MOST_CROPS + 4) -> DataFrame:
     """Of an item's crops of nearly equal size and the same label the first; none under 21 pixels; at most so many."""
     shape = [F.bround(F.col("w") / 20).alias("sw"), F.bround(F.col("h") / 20).alias("sh")]

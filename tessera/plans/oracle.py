@@ -464,3 +464,14 @@ UNION ALL SELECT item_id, 4, 'delete', source, NULL FROM F WHERE step <> 'moved'
 UNION ALL SELECT item_id, 5, 'delete', 'correction_cache/w.png', NULL FROM F WHERE step <> 'moved' AND w
 UNION ALL SELECT item_id, 6, 'delete', 'correction_cache/t.png', NULL FROM F WHERE step <> 'moved' AND t"""
 )
+
+_KEPT_CROPS = ORACLE_SQL["crop_nms"][: ORACLE_SQL["crop_nms"].rindex("SELECT item_id, CAST(i AS BIGINT) AS nth")].rstrip()
+ORACLE_SQL["crop_candidates"] = _KEPT_CROPS + """,
+I AS (SELECT o_orderkey AS item_id, 1600 + o_orderkey % 7 AS iw, 1200 + o_orderkey % 11 AS ih FROM orders),
+D AS (SELECT item_id, i + 1 AS place, kept[i + 1] AS c FROM (SELECT item_id, kept, unnest(range(least(len(kept), 4))) AS i FROM Z WHERE item_id % 3 > 0)),
+R AS (SELECT * FROM (VALUES (1, 'fallback_full', 0.2::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), (2, 'fallback_lower', 0.18::DOUBLE, 0.0::DOUBLE, 0.45::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE),
+  (3, 'fallback_center', 0.16::DOUBLE, 0.12::DOUBLE, 0.18::DOUBLE, 0.88::DOUBLE, 0.82::DOUBLE), (4, 'fallback_right', 0.14::DOUBLE, 0.48::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE)) AS r(nth, label, score, l, t, r, b))
+SELECT D.item_id, CAST(place AS BIGINT) AS place, 'tag_crop_' || CAST(place AS VARCHAR) AS label, D.c.pos AS pos, KS.score AS score, D.c.x AS x, D.c.y AS y, D.c.w AS w, D.c.h AS h
+FROM D JOIN KS ON KS.item_id = D.item_id AND KS.pos = D.c.pos
+UNION ALL SELECT I.item_id, coalesce(n, 0) + nth, label, NULL, score, CAST(floor(iw * l) AS BIGINT), CAST(floor(ih * t) AS BIGINT), CAST(floor(iw * r) - floor(iw * l) AS BIGINT), CAST(floor(ih * b) - floor(ih * t) AS BIGINT)
+FROM I LEFT JOIN (SELECT item_id, count(*) AS n FROM D GROUP BY 1) USING (item_id), R"""
