@@ -214,7 +214,7 @@ def output_names(photos: DataFrame, mode: str = "white_and_transparent") -> Data
     removed = accepted & F.coalesce(F.col("background_ok"), F.lit(False))
     white = done & ~removed if mode == "transparent_only" else done
     clear = removed & F.lit(mode in ("white_and_transparent", "transparent_only"))
-    x = running(photos, ["batch", "tag_number"], "item", {"nth_tag": accepted.cast("int"), "nth_white": white.cast("int"), "nth_clear": clear.cast("int")})
+    x = stored(running(photos, ["batch", "tag_number"], "item", {"nth_tag": accepted.cast("int"), "nth_white": white.cast("int"), "nth_clear": clear.cast("int")}))
     waiting = accepted & ~F.coalesce(F.col("background_ok"), F.lit(True))
     folder = F.when(waiting, "background_review").when(~accepted, "review_required").when(clear & F.lit(mode == "transparent_only"), "transparent_images").otherwise("processed_images")
     prefix = F.when(waiting, "BG_REVIEW_").otherwise("REVIEW_")
