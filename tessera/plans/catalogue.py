@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, readings as r
 from ..images.kernels import mask_measures, mask_parts
-from ..operators import evidence, export, geometry, ingest, naming, planner, report, review, safety
+from ..operators import evidence, export, geometry, ingest, naming, pixels, planner, report, review, safety
 from ..sources import bridges
 from ..sinks.versions import VersionedReport
 from ..sources.readings import readings, table
@@ -370,6 +370,19 @@ def mask_stats(spark: SparkSession, d: str) -> DataFrame:
     return p.select("image_id", F.round(share, 9).alias("foreground"), F.round(labels.quantile(F.col("sorted"), 0.5), 9).alias("p50"), F.round(labels.quantile(F.col("sorted"), 0.9), 9).alias("p90"))
 
 
+@query
+def line_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The lines that pictures' foregrounds follow, every picture in two tiles."""
+    x = bridges.pictures(spark, d).withColumn("width", F.floor(F.sqrt(F.size("alpha").cast("double"))))
+    half = F.floor(F.size("alpha") / F.col("width") / 2)
+    tile = lambda top, cells: F.struct(top.alias("top"), F.lit(0).alias("left"), cells.alias("alpha"))
+    cut = (half * F.col("width")).cast("int")
+    two = F.array(tile(F.lit(0).cast("long"), F.slice("alpha", F.lit(1), cut)), tile(half, F.slice("alpha", cut + 1, F.size("alpha"))))
+    tiles = x.select("image_id", "width", F.explode(two).alias("t")).select("image_id", "width", "t.*")
+    out = pixels.lines(tiles, x.select("image_id", "width", F.ceil(F.size("alpha") / F.col("width")).alias("height")))
+    return out.select("image_id", "occupied", *((F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("coverage", "width_p90", "slope", "intercept", "residual_p90", "alpha_median", "bright_share")), "is_line")
+
+
 @query
 def size_labels(spark: SparkSession, d: str) -> DataFrame:
     n = F.floor(F.pow(F.lit(7.0), F.col("p_size") / 5.0)).cast("long")

@@ -475,3 +475,15 @@ SELECT D.item_id, CAST(place AS BIGINT) AS place, 'tag_crop_' || CAST(place AS V
 FROM D JOIN KS ON KS.item_id = D.item_id AND KS.pos = D.c.pos
 UNION ALL SELECT I.item_id, coalesce(n, 0) + nth, label, NULL, score, CAST(floor(iw * l) AS BIGINT), CAST(floor(ih * t) AS BIGINT), CAST(floor(iw * r) - floor(iw * l) AS BIGINT), CAST(floor(ih * b) - floor(ih * t) AS BIGINT)
 FROM I LEFT JOIN (SELECT item_id, count(*) AS n FROM D GROUP BY 1) USING (item_id), R"""
+ORACLE_SQL["line_fit"] = "WITH" + _PICTURES + """,
+u AS (SELECT image_id, side, CAST(ceil(len(alpha) / side) AS BIGINT) AS height, unnest(alpha) AS a, unnest(range(len(alpha))) AS i FROM z),
+f AS (SELECT image_id, side, height, i // side AS y, i % side AS x, a FROM u WHERE a >= 18),
+r AS (SELECT image_id, any_value(side) AS side, any_value(height) AS height, y, max(x) - min(x) + 1 AS extent, quantile_cont(CAST(x AS DOUBLE), 0.5) AS center FROM f GROUP BY image_id, y),
+l AS (SELECT image_id, any_value(side) AS side, any_value(height) AS height, count(*) AS occupied, quantile_cont(CAST(extent AS DOUBLE), 0.9) AS width_p90, regr_slope(center, y) AS slope, regr_intercept(center, y) AS intercept
+  FROM r GROUP BY image_id),
+o AS (SELECT r.image_id, quantile_cont(abs(center - (slope * y + intercept)), 0.9) AS residual_p90 FROM r JOIN l USING (image_id) GROUP BY 1),
+m AS (SELECT image_id, quantile_cont(CAST(a AS DOUBLE), 0.5) AS alpha_median, avg(CASE WHEN a > 225 THEN 1.0::DOUBLE ELSE 0 END) AS bright_share FROM f GROUP BY 1)
+SELECT image_id, occupied, round(occupied / height, 9) AS coverage, round(width_p90, 9) AS width_p90, round(slope, 9) + 0.0::DOUBLE AS slope, round(intercept, 9) + 0.0::DOUBLE AS intercept, round(residual_p90, 9) AS residual_p90,
+  round(alpha_median, 9) AS alpha_median, round(bright_share, 9) AS bright_share,
+  coalesce(occupied / height >= 0.6 AND width_p90 <= 6 AND residual_p90 <= greatest(5, side * 0.008) AND alpha_median < 190 AND bright_share < 0.25, false) AS is_line
+FROM l JOIN o USING (image_id) JOIN m USING (image_id)"""
