@@ -257,7 +257,7 @@ def crop_candidates(spark: SparkSession, d: str) -> DataFrame:
     x = bridges.crops(spark, d).filter(F.col("item_id") % 3 > 0)
     x = x.withColumn("score", F.round(bridges.crop_score(x), 9))
     images = table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), (1600 + F.col("o_orderkey") % 7).alias("image_w"), (1200 + F.col("o_orderkey") % 11).alias("image_h"))
-    return geometry.crop_candidates(x, images)
+    return geometry.crop_candidates(x, images).na.fill(0, ["pos"])
 
 
 @query

@@ -473,7 +473,7 @@ R AS (SELECT * FROM (VALUES (1, 'fallback_full', 0.2::DOUBLE, 0.0::DOUBLE, 0.0::
   (3, 'fallback_center', 0.16::DOUBLE, 0.12::DOUBLE, 0.18::DOUBLE, 0.88::DOUBLE, 0.82::DOUBLE), (4, 'fallback_right', 0.14::DOUBLE, 0.48::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE)) AS r(nth, label, score, l, t, r, b))
 SELECT D.item_id, CAST(place AS BIGINT) AS place, 'tag_crop_' || CAST(place AS VARCHAR) AS label, D.c.pos AS pos, KS.score AS score, D.c.x AS x, D.c.y AS y, D.c.w AS w, D.c.h AS h
 FROM D JOIN KS ON KS.item_id = D.item_id AND KS.pos = D.c.pos
-UNION ALL SELECT I.item_id, coalesce(n, 0) + nth, label, NULL, score, CAST(floor(iw * l) AS BIGINT), CAST(floor(ih * t) AS BIGINT), CAST(floor(iw * r) - floor(iw * l) AS BIGINT), CAST(floor(ih * b) - floor(ih * t) AS BIGINT)
+UNION ALL SELECT I.item_id, coalesce(n, 0) + nth, label, 0, score, CAST(floor(iw * l) AS BIGINT), CAST(floor(ih * t) AS BIGINT), CAST(floor(iw * r) - floor(iw * l) AS BIGINT), CAST(floor(ih * b) - floor(ih * t) AS BIGINT)
 FROM I LEFT JOIN (SELECT item_id, count(*) AS n FROM D GROUP BY 1) USING (item_id), R"""
 ORACLE_SQL["line_fit"] = "WITH" + _PICTURES + """,
 u AS (SELECT image_id, side, CAST(ceil(len(alpha) / side) AS BIGINT) AS height, unnest(alpha) AS a, unnest(range(len(alpha))) AS i FROM z),

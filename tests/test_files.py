@@ -182,5 +182,4 @@ def test_parts_and_holes():
     ring = np.zeros((7, 7), bool)
     ring[1:6, 1:6] = True
     ring[3, 3] = False
-    assert kernels.fill_holes(ring).sum() == 25 and kernels.dilate(ring, 1)[0, 3] and not kernels.dilate(ring, 1)[0, 0]
-    assert kernels.fuse(np.array([120, 10]), np.array([200, 250]), np.array([False, True])).tolist() == [120, 250]
+    assert kernels.fill_holes(ring).sum() == 25
