@@ -350,7 +350,8 @@ def test_ratios_decide_and_marks_only_weigh():
     footer = "<footer><p>Imprint, and terms of use.</p></footer>"
     for wrapper in ('<div class="story-share">', '<div id="page-banner">', "<aside>", '<section role="search">'):
         got = html_text.main_text(f"{teaser}{wrapper}{body}</{wrapper[1:].split()[0].strip('>')}>{footer}").split("\n")
-        assert [t for t in got if t in story] == story and "Imprint, and terms of use." not in got
+        # a doubtful name doesn't keep a text out, but an element or a role says what is beside the article
+        assert [t for t in got if t in story] == (story if wrapper.startswith("<div") else []) and "Imprint, and terms of use." not in got
     links = "<ul>" + "".join(f'<li><a href="/{w}">{w} and more</a></li>' for w in WORDS) + "</ul>"
     assert html_text.main_text(f"<article><h1>Head</h1>{body}{links}</article>{footer}").split("\n") == ["Head", *story]
     assert html_text.main_text(f"<article><header><h1>Head</h1></header>{body}<ul><li>One thing.</li><li>Other, too.</li></ul></article>").split("\n") == ["Head", *story, "One thing.", "Other, too."]
