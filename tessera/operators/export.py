@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import stored
+
 # fixed values: the ladder of sizes
 BUDGET, LEAST_BUDGET = 20_000, 1_000
 QUALITY_FLOORS = (60, 50, 40, 30, 20, 10)
 LONG_EDGES = (1500, 1200, 1000, 800, 640, 512, 400, 320, 256, 192, 128, 96, 64)
 LAST_EDGES = (48, 32, 24, 16)
+BEST_QUALITY = 95
 
 
 def long_edges(w: Column, h: Column) -> Column:
@@ -39,6 +45,48 @@ def pick(encodings: DataFrame, budget: int = BUDGET) -> DataFrame:
     return found.select("image", *(F.coalesce(f"b.{c}", f"l.{c}").alias(c) for c in ("quality", "long_edge", "bytes")))
 
 
+def search(images: DataFrame, sizes: Callable[[DataFrame], DataFrame], budget: int = BUDGET) -> DataFrame:
+    """The encoding that pick() chooses, found by asking for few sizes instead of all.
+
+    images: image (unique), w, h, and whatever else an encoder needs. sizes: gets rows of images with long_edge and quality, and adds bytes (null or 0: there
+    is no such encoding). Sizes must not shrink when quality or edge grow. A round asks for one size of each image that is still open, so an image costs at most
+    3 (floor) + 4 (edge) + 7 (quality) or 3 + 3 (last edges) sizes. Gives image, quality, long_edge, bytes (all null if nothing fits) and how many were asked.
+
+    An image is in one of four steps; lo .. hi is where the first candidate that fits lies (hi fits, with `best` bytes, or is one past the last). Open images are a table, written once a round.
+    """
+    FLOOR, EDGE, QUALITY, LAST, DONE = range(5)
+    c, floors, last = F.col, F.array(*map(F.lit, QUALITY_FLOORS)), F.array(*map(F.lit, LAST_EDGES))
+    begin = {"step": F.lit(FLOOR), "lo": F.lit(0), "hi": F.lit(len(QUALITY_FLOORS)), "floor": F.lit(0), "edge": F.lit(0), "best": F.lit(None).cast("long"), "asked": F.lit(0)}
+    rows, finished = images.withColumns(begin | {"edges": long_edges(c("w"), c("h"))}), []
+    names = rows.columns
+    while not finished or not rows.isEmpty():
+        mid, step = F.floor((c("lo") + c("hi")) / 2).cast("int"), c("step")
+        asked = rows.withColumn("mid", mid).withColumns({
+            "long_edge": F.when(step == FLOOR, F.element_at("edges", -1)).when(step == EDGE, F.get("edges", c("mid"))).when(step == QUALITY, F.get("edges", c("edge"))).otherwise(F.get(last, c("mid"))),
+            "quality": F.when(step == FLOOR, F.get(floors, c("mid"))).when(step == EDGE, F.get(floors, c("floor"))).when(step == QUALITY, BEST_QUALITY - c("mid")).otherwise(1),
+        })
+        fits = F.coalesce((c("bytes") > 0) & (c("bytes") <= budget), F.lit(False))
+        told = sizes(asked).withColumns({
+            "lo": F.when(fits, c("lo")).otherwise(c("mid") + 1), "hi": F.when(fits, c("mid")).otherwise(c("hi")), "best": F.when(fits, c("bytes").cast("long")).otherwise(c("best")), "asked": c("asked") + 1,
+        })
+        over, found = c("lo") >= c("hi"), c("lo") < len(QUALITY_FLOORS)
+        one = F.size("edges") == 1
+        move = F.when(~over, step).when((step == FLOOR) & ~found, LAST).when((step == FLOOR) & ~one, EDGE).when(step.isin(FLOOR, EDGE), QUALITY).otherwise(DONE)
+        told = told.withColumn("move", move).withColumn("floor", F.when(over & (step == FLOOR), c("lo")).otherwise(c("floor"))).withColumns({
+            "edge": F.when((c("move") == QUALITY) & (step == EDGE), c("lo")).otherwise(c("edge")),
+            "hi": F.when(c("move") == step, c("hi")).when(c("move") == LAST, len(LAST_EDGES)).when(c("move") == EDGE, F.size("edges") - 1).when(c("move") == QUALITY, BEST_QUALITY - F.get(floors, c("floor"))).otherwise(c("hi")),
+            "lo": F.when((c("move") == step) | (c("move") == DONE), c("lo")).otherwise(0),
+            "was": step, "step": c("move"),
+        })
+        told = stored(told.select(*names, "was"))
+        finished.append(told.filter(c("step") == DONE).select(
+            "image", F.when(c("best").isNull(), None).when(c("was") == LAST, 1).otherwise(BEST_QUALITY - c("lo")).alias("quality"),
+            F.when(c("best").isNull(), None).when(c("was") == LAST, F.get(last, c("lo"))).otherwise(F.get("edges", c("edge"))).alias("long_edge"), c("best").alias("bytes"), "asked",
+        ))
+        rows = told.filter(c("step") != DONE).select(*names)
+    return reduce(DataFrame.unionByName, finished)
+
+
 def current(exports: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Adds state: 'reused' for a target that is there, within budget, a JPEG and no older than its source, else 'convert'; 'orphan' without a source.
 
@@ -65,7 +113,7 @@ def export_current(names: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def within_limit(files: DataFrame, limit: int = BUDGET) -> DataFrame:
-    """The JPEG files (name, bytes) of a folder that go into its archive of small files: those with a size from 1 to the limit, in order of names."""
+    """The JPEG files (name, bytes) of a folder that go into its archive of small files: those with a size from 1 to the limit. The archive's writer orders them."""
     return files.filter(F.lower(F.col("name")).endswith(".jpg") & F.col("bytes").between(1, limit))
 
 

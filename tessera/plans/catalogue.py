@@ -394,6 +394,12 @@ def ladder_pick(spark: SparkSession, d: str) -> DataFrame:
     return export.pick(bridges.encodings(spark, d)).na.fill(0)
 
 
+@query
+def ladder_search(spark: SparkSession, d: str) -> DataFrame:
+    """The same choice, asking for at most fourteen sizes of each picture."""
+    return export.search(bridges.part_pictures(spark, d), bridges.with_sizes).drop("asked").na.fill(0)
+
+
 @query
 def export_state(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_orderkey")

@@ -487,3 +487,6 @@ SELECT image_id, occupied, round(occupied / height, 9) AS coverage, round(width_
   round(alpha_median, 9) AS alpha_median, round(bright_share, 9) AS bright_share,
   coalesce(occupied / height >= 0.6 AND width_p90 <= 6 AND residual_p90 <= greatest(5, side * 0.008) AND alpha_median < 190 AND bright_share < 0.25, false) AS is_line
 FROM l JOIN o USING (image_id) JOIN m USING (image_id)"""
+
+#: Asking for few sizes must not change what is chosen.
+ORACLE_SQL["ladder_search"] = ORACLE_SQL["ladder_pick"]

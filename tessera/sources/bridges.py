@@ -122,16 +122,26 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").filter(fine).select(F.col("vec_id").alias("image_id"), v.alias("pixels"))
 
 
+def part_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pictures to be encoded: image, w, h."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), (300 + F.col("p_partkey") * 37 % 1500).alias("w"), (F.col("p_size") * 31).alias("h"))
+
+
+def with_sizes(asked: DataFrame) -> DataFrame:
+    """Adds bytes: how large an encoding (image, long_edge, quality) is."""
+    size = F.floor(F.col("long_edge") * F.col("long_edge") * (F.col("image") % 23 + 1) * (F.col("quality") + 5) / 4000)
+    return asked.withColumn("bytes", (size + F.col("image") % 40 * 600).cast("long"))
+
+
 def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of parts' pictures at every quality and edge of the ladder; size grows with both."""
     from ..operators.export import LAST_EDGES, long_edges
 
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), (300 + F.col("p_partkey") * 37 % 1500).alias("w"), (F.col("p_size") * 31).alias("h"))
+    p = part_pictures(spark, sf_dir)
     grid = p.withColumn("long_edge", F.explode(F.concat(long_edges(F.col("w"), F.col("h")), F.array(*map(F.lit, LAST_EDGES)))))
     quality = F.when(F.col("long_edge").isin(*LAST_EDGES), F.array(F.lit(1))).otherwise(F.sequence(F.lit(10), F.lit(95)))
     grid = grid.withColumn("quality", F.explode(quality))
-    size = F.floor(F.col("long_edge") * F.col("long_edge") * (F.col("image") % 23 + 1) * (F.col("quality") + 5) / 4000)
-    return grid.select("image", "quality", "long_edge", (size + F.col("image") % 40 * 600).cast("long").alias("bytes"))
+    return with_sizes(grid).select("image", "quality", "long_edge", "bytes")
 
 
 def saved(spark: SparkSession, sf_dir: str) -> DataFrame:
