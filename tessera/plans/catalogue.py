@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, readings as r
 from ..images.kernels import mask_measures, mask_parts
-from ..operators import evidence, export, geometry, ingest, naming, pixels, planner, report, review, safety
+from ..operators import evidence, export, geometry, ingest, naming, pixels, planner, quarantine, report, review, safety
 from ..sources import bridges
 from ..sinks.versions import VersionedReport
 from ..sources.readings import readings, table
@@ -456,6 +456,19 @@ def mask_components(spark: SparkSession, d: str) -> DataFrame:
     return mask_parts(bridges.rasters(spark, d), 0.02)
 
 
+@query
+def tile_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Connected parts of every raster with areas and boxes, every raster in four tiles."""
+    out = pixels.parts(bridges.tiled(bridges.rasters(spark, d)), lambda p: p > 0.02)
+    return out.select("image_id", *(F.col(c).cast("long").alias(c) for c in ("y", "x", "area", "top", "left", "bottom", "right")))
+
+
+@query
+def result_notes(spark: SparkSession, d: str) -> DataFrame:
+    """What the report says of every photo, those that could not be processed among them."""
+    return quarantine.results(bridges.results(spark, d))
+
+
 @query
 def base_crops(spark: SparkSession, d: str) -> DataFrame:
     x = readings(spark, d)

@@ -189,6 +189,24 @@ air AS (SELECT image_id, y, x FROM px WHERE NOT lit AND (y = 0 OR x = 0 OR y = s
 gaps AS (SELECT image_id, count(*) AS n FROM px WHERE NOT lit GROUP BY 1), open AS (SELECT image_id, count(*) AS n FROM air GROUP BY 1)
 SELECT w.image_id, coalesce(parts, 0) AS parts, coalesce(largest, 0) AS largest, coalesce(g.n, 0) - coalesce(o.n, 0) AS holes
 FROM w LEFT JOIN parts p ON w.image_id = p.image_id LEFT JOIN gaps g ON w.image_id = g.image_id LEFT JOIN open o ON w.image_id = o.image_id""",
+    "tile_parts": """
+WITH RECURSIVE v AS (SELECT vec_id AS image_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+w AS (SELECT image_id, e, CAST(floor(sqrt(len(e))) AS BIGINT) AS side FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+i AS (SELECT image_id, side, unnest(e[:side * side]) AS p, unnest(range(side * side)) AS spot FROM w),
+px AS (SELECT image_id, side, spot // side AS y, spot % side AS x FROM i WHERE p > 0.02),
+reach AS (SELECT image_id, side, y, x, y * side + x AS root FROM px UNION
+  SELECT r.image_id, r.side, q.y, q.x, r.root FROM reach r JOIN px q ON q.image_id = r.image_id AND abs(q.y - r.y) <= 1 AND abs(q.x - r.x) <= 1),
+part AS (SELECT image_id, side, y, x, min(root) AS root FROM reach GROUP BY ALL)
+SELECT image_id, root // side AS y, root % side AS x, count(*) AS area, min(y) AS top, min(x) AS "left", max(y) AS bottom, max(x) AS "right" FROM part GROUP BY image_id, side, root""",
+    "result_notes": "WITH" + _REPORT + """,
+N AS (SELECT *, CASE WHEN k % 7 IN (0, 1) THEN '' ELSE 'Seen ' || CAST(k % 5 AS VARCHAR) || ' times.' END AS said, k % 101 = 9 AS bad, CASE WHEN status = 'ERROR' THEN 'OK' ELSE status END AS s,
+  CASE k % 4 WHEN 0 THEN 'READY' WHEN 1 THEN 'REVIEW_REQUIRED' WHEN 2 THEN 'FAILED' ELSE '' END AS prepared FROM G)
+SELECT item_id, original_filename, CASE WHEN NOT bad THEN detected_tag_number END AS detected_tag_number, CASE WHEN bad THEN 'ERROR' ELSE s END AS status,
+  CASE WHEN NOT bad THEN output_folder END AS output_folder, CASE WHEN NOT bad THEN prepared END AS correction_cache_status,
+  CASE WHEN bad THEN 'This photo could not be processed. Please check it manually. bad picture ' || CAST(k AS VARCHAR) WHEN output_folder = 'background_review' THEN said || ' Background removal needs review.'
+    WHEN s = 'OK' THEN said WHEN s = 'DUPLICATE_TAG' THEN said || ' Duplicate tag saved safely with suffix.'
+    ELSE CASE WHEN said = '' THEN 'Tag number is unclear. Please review this photo.' ELSE said END || CASE prepared WHEN 'READY' THEN ' Full-quality background output is prepared for fast correction.'
+      WHEN 'REVIEW_REQUIRED' THEN ' The background candidate also needs visual review after tag correction.' WHEN 'FAILED' THEN ' Background preparation will retry after tag correction.' ELSE '' END END AS notes FROM N""",
     "digit_normalize": "WITH" + _READINGS + " SELECT item_id, pos, translate(text, 'OoIl|SsB', '00111558') AS digits FROM R",
     "prominence": "WITH" + _READINGS + " SELECT item_id, pos, prominence FROM R",
     "candidate_extract": "WITH" + _CANDIDATES + " SELECT item_id, pos, CAST(match_no AS BIGINT) AS match_no, value, score FROM C",

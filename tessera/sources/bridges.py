@@ -122,6 +122,28 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").filter(fine).select(F.col("vec_id").alias("image_id"), v.alias("pixels"))
 
 
+def tiled(images: DataFrame) -> DataFrame:
+    """Square rasters (image_id, pixels) in four tiles each: image_id, top, left, width, alpha (the tile's pixels)."""
+    side = F.floor(F.sqrt(F.size("pixels").cast("double"))).cast("int")
+    half = F.ceil(F.col("side") / 2).cast("int")
+    corner = lambda y, x: F.struct((half * y).alias("top"), (half * x).alias("left"), (F.col("side") - half if y else half).alias("height"), (F.col("side") - half if x else half).alias("width"))
+    x = images.withColumn("side", side).select("image_id", "side", "pixels", F.explode(F.array(*(corner(y, x) for y in (0, 1) for x in (0, 1)))).alias("t"))
+    x = x.select("image_id", "side", "pixels", "t.*").filter("height > 0 AND width > 0")
+    line = lambda y: F.slice("pixels", y * F.col("side") + F.col("left") + 1, F.col("width"))
+    return x.select("image_id", "top", "left", "width", F.flatten(F.transform(F.sequence(F.col("top"), F.col("top") + F.col("height") - 1), line)).alias("alpha"))
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report rows with what reading said, what became of a prepared background, and here and there an error."""
+    x, key = report(spark, sf_dir), F.col("item_id").cast("long")
+    said = F.when(key % 7 == 0, None).when(key % 7 == 1, "").otherwise(F.concat(F.lit("Seen "), key % 5, F.lit(" times.")))
+    return x.select(
+        "item_id", "original_filename", "detected_tag_number", F.when(F.col("status") == "ERROR", "OK").otherwise(F.col("status")).alias("status"), "output_folder", said.alias("notes"),
+        F.when(key % 4 == 0, "READY").when(key % 4 == 1, "REVIEW_REQUIRED").when(key % 4 == 2, "FAILED").otherwise("").alias("correction_cache_status"),
+        F.when(key % 101 == 9, F.concat(F.lit("bad picture "), key)).alias("error"),
+    )
+
+
 def part_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as pictures to be encoded: image, w, h."""
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), (300 + F.col("p_partkey") * 37 % 1500).alias("w"), (F.col("p_size") * 31).alias("h"))

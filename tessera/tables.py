@@ -34,9 +34,14 @@ def new_folder(spark: SparkSession, kind: str = "table") -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """The frame as a table in the shared folder, until the driver ends."""
+    return stored_at(df)[0]
+
+
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame as a table, and where it is, for loops that remove what the next round has read: discard(lambda p: p != path)."""
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def discard(keep: Callable[[str], bool] = lambda path: False) -> None:
