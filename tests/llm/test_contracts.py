@@ -187,6 +187,38 @@ def test_lanes_bound_the_similarity():
 
 # --- 7 mixing
 
+def test_sparse_sample_equals_dense_rows():
+    rng, n = np.random.default_rng(4), 40
+    langs = rng.integers(0, 4, n)
+    dense = np.zeros((n, mixing.BUCKETS))
+    at = rng.integers(0, mixing.BUCKETS, 300)
+    for i in range(n):
+        dense[i, rng.choice(at, 12)] = rng.random(12)
+    row, bucket = np.nonzero(dense)
+    y = mixing.Sample(row, bucket, dense[row, bucket], langs)
+    means = np.stack([dense.mean(0), *(dense[langs == la].mean(0) for la in (1, 2, 3))])
+    want = dense - means[langs]
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    centres = rng.normal(size=(3, mixing.BUCKETS))
+    assert np.allclose(y.near(centres), want @ centres.T) and np.allclose(y.off(centres), means @ centres.T)
+    chosen = rng.random(n) < 0.4
+    assert np.allclose(y.total(chosen), want[chosen].sum(0))
+
+
+def test_shares_that_leave_nothing_are_an_error_on_both_paths(spark, monkeypatch):
+    cells = spark.createDataFrame([("a", "x", 0, 5), ("b", "y", 1, 7)], "source string, lang string, topic int, weight long")
+    for most in (mixing.DRIVER_CELLS, 0):
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", most)
+        with pytest.raises(ValueError, match="leave no share"):
+            mixing.probabilities(cells, mixing.POWER, 0.5, {"source": {"a": 0.0, "b": 0.0}})
+
+
+def test_any_number_of_languages_has_its_own_mean(spark):
+    rows = [(i, f"{'abcdefgh'[i % 8]}{i % 3}word thing{i % 5} of {prose(i, 6)}", f"l{i % 300}") for i in range(900)]
+    topics = mixing.fit_topics(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(topics.means) == 301 and len(topics.centres) == mixing.TOPICS
+
+
 def plain_bucket(word):
     h = sum(b * int(mixing._PLACE[i % 64]) for i, b in enumerate(word.encode())) % 2**64
     return int(minhash.mix64(np.array([h], np.uint64))[0]) >> 64 - mixing.BITS
