@@ -16,6 +16,8 @@ QUALITY_FLOORS = (60, 50, 40, 30, 20, 10)
 LONG_EDGES = (1500, 1200, 1000, 800, 640, 512, 400, 320, 256, 192, 128, 96, 64)
 LAST_EDGES = (48, 32, 24, 16)
 BEST_QUALITY = 95
+#: Bits of the lower of two numbers that are compared as one; a budget and an edge have fewer.
+SHIFT = 40
 
 
 def long_edges(w: Column, h: Column) -> Column:
@@ -33,16 +35,22 @@ def pick(encodings: DataFrame, budget: int = BUDGET) -> DataFrame:
     """
     step = F.array_position(F.array(*map(F.lit, QUALITY_FLOORS)), F.col("quality"))
     fits = (F.col("bytes") <= budget) & (F.col("bytes") > 0)
+    # pairs are compared as one whole number, quality or step above and bytes or edge below: sums of numbers need no sort, those of structs do
+    pair = F.shiftleft(F.col("quality").cast("long"), SHIFT).bitwiseOR(F.col("bytes").cast("long"))
     # of an edge on which a floor fits, the highest quality that fits is the one to take
     edges = encodings.groupBy("image", "long_edge").agg(
-        F.min(F.when(fits & (step > 0), step)).alias("step"), F.max(F.when(fits, F.struct("quality", "bytes"))).alias("top"),
+        F.min(F.when(fits & (step > 0), step)).alias("step"), F.max(F.when(fits, pair)).alias("top"),
         F.max(F.when(fits & (F.col("quality") == 1) & F.col("long_edge").isin(*LAST_EDGES), F.col("bytes"))).alias("last"),
     )
+    edge = F.col("long_edge").cast("long")
     found = edges.groupBy("image").agg(
-        F.min(F.when(F.col("step").isNotNull(), F.struct("step", (-F.col("long_edge")).alias("e"), "top.quality", "long_edge", "top.bytes"))).alias("b"),
-        F.max(F.when(F.col("last").isNotNull(), F.struct("long_edge", F.lit(1).alias("quality"), F.col("last").alias("bytes")))).alias("l"),
-    )
-    return found.select("image", *(F.coalesce(f"b.{c}", f"l.{c}").alias(c) for c in ("quality", "long_edge", "bytes")))
+        F.min(F.shiftleft(F.col("step"), SHIFT) - edge).alias("b"), F.min_by("top", F.shiftleft(F.col("step"), SHIFT) - edge).alias("top"),
+        F.max(F.when(F.col("last").isNotNull(), edge)).alias("l"), F.max_by("last", F.when(F.col("last").isNotNull(), edge)).alias("last"),
+    )
+    low, types = F.lit((1 << SHIFT) - 1), {f.name: f.dataType for f in encodings.schema}
+    best = {"quality": F.shiftright("top", SHIFT), "long_edge": (-F.col("b")).bitwiseAND(low), "bytes": F.col("top").bitwiseAND(low)}
+    least = {"quality": F.when(F.col("l").isNotNull(), 1), "long_edge": F.col("l"), "bytes": F.col("last")}
+    return found.select("image", *(F.when(F.col("b").isNotNull(), best[c]).otherwise(least[c]).cast(types[c]).alias(c) for c in best))
 
 
 def search(images: DataFrame, sizes: Callable[[DataFrame], DataFrame], budget: int = BUDGET) -> DataFrame:

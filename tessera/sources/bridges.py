@@ -156,10 +156,13 @@ def with_sizes(asked: DataFrame) -> DataFrame:
 
 
 def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of parts' pictures at every quality and edge of the ladder; size grows with both."""
+    """Sizes of parts' pictures at every quality and edge of the ladder; size grows with both.
+
+    Pictures, a thousand sizes each, are spread before they are multiplied: a small file would else be one task. What groups by picture then needs no exchange.
+    """
     from ..operators.export import LAST_EDGES, long_edges
 
-    p = part_pictures(spark, sf_dir)
+    p = part_pictures(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image")
     grid = p.withColumn("long_edge", F.explode(F.concat(long_edges(F.col("w"), F.col("h")), F.array(*map(F.lit, LAST_EDGES)))))
     quality = F.when(F.col("long_edge").isin(*LAST_EDGES), F.array(F.lit(1))).otherwise(F.sequence(F.lit(10), F.lit(95)))
     grid = grid.withColumn("quality", F.explode(quality))

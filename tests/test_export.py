@@ -5,6 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from tessera.operators import export
+from tessera.sources import bridges
 
 
 def test_search_asks_for_few_sizes_and_picks_the_same(spark):
@@ -31,3 +32,11 @@ def test_search_asks_for_few_sizes_and_picks_the_same(spark):
 def test_search_of_nothing(spark):
     none = spark.createDataFrame([], "image long, w int, h int")
     assert export.search(none, lambda df: df.withColumn("bytes", F.lit(1))).count() == 0
+
+
+def test_the_choice_among_all_sizes_sorts_nothing_and_spreads_a_small_file(spark, tmp_path):
+    spark.range(50).selectExpr("id + 1 as p_partkey", "cast(id % 50 + 1 as int) as p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    sizes = bridges.encodings(spark, str(tmp_path))
+    plan = export.pick(sizes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Sort [" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sizes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
