@@ -31,13 +31,14 @@ def normalise(report: DataFrame, reading: bool = False) -> DataFrame:
 def matches(report: DataFrame, selectors: DataFrame) -> DataFrame:
     """Rows that each selector (column `selector`) means: those of this item_id, or without one those of this filename.
 
-    A blank or null selector means no row. One row per match: selector, item_id, original_filename, by ('item', 'file').
+    A blank or null selector means no row. One row per match: selector, item_id, original_filename, by ('item', 'file'). Joins are merge joins: selectors may
+    be as many as rows, and those of a small file would be broadcast through the driver by their size on disk.
     """
     wanted = selectors.select("selector").filter(F.trim("selector") != "").distinct()
     rows = report.select(F.col("item_id").cast("string").alias("item_id"), "original_filename")
-    by_id = wanted.join(rows, F.col("selector") == F.col("item_id")).withColumn("by", F.lit("item"))
-    rest = wanted.join(by_id.select("selector").distinct(), "selector", "left_anti")
-    by_file = rest.join(rows, F.col("selector") == F.col("original_filename")).withColumn("by", F.lit("file"))
+    by_id = wanted.hint("merge").join(rows, F.col("selector") == F.col("item_id")).withColumn("by", F.lit("item"))
+    rest = wanted.hint("merge").join(by_id.select("selector").distinct(), "selector", "left_anti")
+    by_file = rest.hint("merge").join(rows, F.col("selector") == F.col("original_filename")).withColumn("by", F.lit("file"))
     return by_id.unionByName(by_file)
 
 
@@ -49,11 +50,11 @@ def update(report: DataFrame, edits: DataFrame) -> DataFrame:
     """
     met = matches(report, edits)
     lone = met.groupBy("selector").agg(F.count("*").alias("n"), F.min("item_id").alias("item_id")).filter("n = 1").drop("n")
-    named = edits.join(lone, "selector").select("item_id", "selector", F.explode("updates").alias("name", "value")).filter(F.col("name").isin(*REPORT_COLUMNS))
+    named = edits.hint("merge").join(lone, "selector").select("item_id", "selector", F.explode("updates").alias("name", "value")).filter(F.col("name").isin(*REPORT_COLUMNS))
     last = named.groupBy("item_id", "name").agg(F.max_by("value", "selector").alias("value"))
     changes = last.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.coalesce("value", F.lit(""))))).alias("__new"))  # at most a row's columns
     key = F.col("item_id").cast("string")
-    out = report.withColumn("__key", key).join(changes.withColumnRenamed("item_id", "__id"), F.col("__key") == F.col("__id"), "left")
+    out = report.withColumn("__key", key).hint("merge").join(changes.withColumnRenamed("item_id", "__id"), F.col("__key") == F.col("__id"), "left")
     return out.select(*(F.coalesce(F.try_element_at("__new", F.lit(c)), F.col(c).cast("string")).alias(c) if c in REPORT_COLUMNS and c != "item_id" else F.col(c) for c in report.columns))
 
 

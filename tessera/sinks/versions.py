@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.report import matches, normalise, update
 from ..schemas import REPORT_COLUMNS
+from ..tables import stored
 
 SCHEMA = ", ".join(f"{c} string" for c in REPORT_COLUMNS)
 EMPTY = {"parts": [], "batches": {}}
@@ -138,13 +139,12 @@ class VersionedReport:
 
         def step(base: int, info: dict) -> dict | None:
             rows = self._read(info)
-            whole = matches(rows, edits)
-            lone = whole.groupBy("selector").agg(F.count("*").alias("n"), F.min("item_id").alias("item_id")).filter("n = 1")
-            touched = {r["part"] for r in rows.join(lone.select("item_id").distinct(), "item_id", "left_semi").select("part").distinct().collect()}  # names of parts, one a batch at most
+            lone = stored(matches(rows, edits).groupBy("selector").agg(F.count("*").alias("n"), F.min("item_id").alias("item_id")).filter("n = 1").drop("n"))
+            touched = {r["part"] for r in rows.hint("merge").join(lone.select("item_id").distinct(), "item_id", "left_semi").select("part").distinct().collect()}  # names of parts, one a batch at most
             if not touched:
                 return None
             # selectors are looked up in the whole report, so a part is changed by the item ids that came out
-            known = edits.join(lone.select("selector", "item_id"), "selector").select(F.col("item_id").alias("selector"), "updates", F.col("selector").alias("by"))
+            known = edits.hint("merge").join(lone, "selector").select(F.col("item_id").alias("selector"), "updates", F.col("selector").alias("by"))
             changed = update(rows.filter(F.col("part").isin(*touched)).select(*REPORT_COLUMNS), _in_order(known))
             return {**info, "parts": [p for p in info["parts"] if p not in touched] + [self._part(changed)]}
 

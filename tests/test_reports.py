@@ -7,7 +7,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import planner, review
+from tessera.operators import planner, review, report
 from tessera.sinks.versions import Conflict, VersionedReport
 from tessera.streaming import live
 
@@ -154,3 +154,10 @@ def test_live_decisions_are_those_of_the_whole(spark, tmp_path):
     want = planner.replay(spark.createDataFrame(whole, READ.replace("at timestamp", "at long"))).collect()
     key = lambda r: (r.item_id, r.checkpoint, r.safe, r.tag_number, r.confidence, r.status)
     assert sorted(map(key, got)) == sorted(map(key, want)) and any(r.safe for r in got) and not all(r.safe for r in got)
+
+
+def test_edits_are_not_broadcast(spark):
+    kept = rows(spark, range(4)).withColumn("detected_tag_number", F.lit(""))
+    edits = spark.range(1).selectExpr("cast(id as string) as selector", "map('status', 'OK') as updates")
+    plan = report.update(kept, edits)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
