@@ -161,3 +161,9 @@ def test_edits_are_not_broadcast(spark):
     edits = spark.range(1).selectExpr("cast(id as string) as selector", "map('status', 'OK') as updates")
     plan = report.update(kept, edits)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_replay_brings_readings_together_once(spark):
+    whole = spark.createDataFrame([reading("a", 1, 1, 1, True, "123456")], READ.replace("at timestamp", "at long"))
+    plan = planner.replay(whole)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "Generate" in plan
