@@ -2,186 +2,102 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import UTC, datetime
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
-
-from ..functions.readings import canonical_crop
-from ..operators.evidence import STRONG_CONFIDENCE, entry, joined, numbers_of, safe_consensus, settle
-from ..tables import new_folder
-
-READING = Row("pos", "checkpoint", "expected", "last", "text", "confidence", "source_rotation", "source_crop", "crop", "numbers")
-PENDING = (
-    "pos bigint, checkpoint bigint, expected bigint, last boolean, text string, confidence double, source_rotation string, source_crop string, crop string, "
-    "numbers array<struct<match_no: int, value: string, score: double>>"
-)
-SOURCES = "array<struct<crop: string, rotation: string>>"
-SUMS = (
-    "array<struct<value: string, best: struct<score: double, p: bigint, m: int, confidence: double, source_rotation: string, source_crop: string>, "
-    f"first_seen: struct<pos: bigint, match_no: int>, sources: {SOURCES}, strong_sources: {SOURCES}>>"
-)
-TEXTS = "array<struct<pos: bigint, text: string>>"
-
-
-def _fields(x) -> tuple:
-    """A struct's values, whether it came as a row or as a dictionary."""
-    return tuple(x.values() if isinstance(x, dict) else x)
-
-
-def _loaded(state) -> tuple:
-    """(over, next checkpoint, timer, waiting readings by pos, sums by value, texts) of the stored state."""
-    over, upto, timer, pending, sums, texts = state
-    waiting = {r.pos: r for r in (READING(*_fields(p)) for p in pending)}
-    known = {}
-    for value, best, first, sources, strong in map(_fields, sums):
-        known[value] = _fields(best), _fields(first), set(map(_fields, sources)), set(map(_fields, strong))
-    return over, upto, timer, waiting, known, [_fields(t) for t in texts]
-
-
-def _add(sums: dict, r: Row) -> None:
-    """Adds a reading to what the readings of each value add up to; the same measures as evidence.measures() takes."""
-    source = (r.crop, r.source_rotation)
-    strong = {source} if r.confidence >= STRONG_CONFIDENCE else set()
-    for match_no, value, score in map(_fields, r.numbers):
-        best, first = (score, -r.pos, -match_no, r.confidence, r.source_rotation, r.source_crop), (r.pos, match_no)
-        if value in sums:
-            old = sums[value]
-            sums[value] = max(old[0], best), min(old[1], first), old[2] | {source}, old[3] | strong
-        else:
-            sums[value] = best, first, {source}, strong
-
-
-class Evidence(StatefulProcessor):
-    """Keyed by item: gives, for each checkpoint that is complete, what all readings up to it add up to.
-
-    State: the sums of the checkpoints that count, and the readings that wait for theirs; of an item that is over only that it is. A checkpoint is complete when all
-    readings that it expects have come, and counts when all before it do. A reading of a pos that has come before changes nothing. When no reading has come for `patience` of event time, the item
-    ends with what there is; as long again after its end it is forgotten.
-    """
 
-    def __init__(self, patience_ms: int):
-        self.patience_ms = patience_ms
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.held = handle.getValueState("held", f"over boolean, next bigint, timer bigint, pending array<struct<{PENDING}>>, sums {SUMS}, texts {TEXTS}")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        over, upto, timer, waiting, sums, texts = _loaded(self.held.get() if self.held.exists() else (False, 1, None, [], [], []))
-        if over:
-            return
-        latest = 0
-        for r in rows:
-            latest = max(latest, int(r.at.timestamp() * 1000))
-            if r.checkpoint >= upto:
-                waiting.setdefault(r.pos, READING(*(r[c] for c in READING)))
-        while not over:
-            own = [r for r in waiting.values() if r.checkpoint == upto]
-            if not own or len(own) < own[0].expected:
-                break
-            over = own[0].last
-            self._take(own, waiting, sums, texts)
-            yield self._told(key, upto, sums, texts, over, latest)
-            upto += 1
-        ends = max(latest + self.patience_ms, timer or 0)
-        if ends != timer:
-            if timer:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(ends)
-        left = [] if over else [(*r[:-1], [_fields(n) for n in r.numbers]) for r in waiting.values()]
-        self.held.update((over, upto, ends, left, [] if over else self._sums(sums), [] if over else texts))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        over, upto, timer, waiting, sums, texts = _loaded(self.held.get())
-        if over:
-            self.held.clear()
-            return
-        last = max((r.checkpoint for r in waiting.values()), default=upto - 1)
-        self._take(list(waiting.values()), waiting, sums, texts)
-        self.handle.registerTimer(timer + self.patience_ms)
-        self.held.update((True, upto, timer + self.patience_ms, [], [], []))
-        yield self._told(key, last, sums, texts, True, timer)
-
-    @staticmethod
-    def _take(own: list, waiting: dict, sums: dict, texts: list) -> None:
-        for r in own:
-            _add(sums, r)
-            del waiting[r.pos]
-            if r.text and r.text.strip(" "):
-                texts.append((r.pos, r.text))
-
-    @staticmethod
-    def _sums(sums: dict) -> list:
-        return [(value, best, first, sorted(sources), sorted(strong)) for value, (best, first, sources, strong) in sums.items()]
-
-    def _told(self, key, checkpoint, sums, texts, final, at) -> Row:
-        return Row(item_id=key[0], checkpoint=checkpoint, sums=self._sums(sums), texts=list(texts), final=final, at=datetime.fromtimestamp(at / 1000, UTC))
-
-    def close(self) -> None:
-        pass
-
-
-class FirstSafe(StatefulProcessor):
-    """Keyed by item: passes on the first decision that is safe, or the item's last. What comes for an item after that is left out, until it is forgotten."""
-
-    def __init__(self, patience_ms: int):
-        self.patience_ms = patience_ms
-
-    def init(self, handle) -> None:
-        self.handle, self.told = handle, handle.getValueState("told", "told boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if self.told.exists():
-            return
-        for r in sorted(rows, key=lambda r: r.checkpoint):
-            if r.safe or r.final:
-                self.told.update((True,))
-                self.handle.registerTimer(int(r.at.timestamp() * 1000) + 3 * self.patience_ms)
-                yield Row(item_id=key[0], checkpoint=r.checkpoint, safe=r.safe, tag_number=r.tag_number, confidence=r.confidence, status=r.status, notes=r.notes)
-                return
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.told.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-def live_decisions(readings: DataFrame, delay: str = "10 minutes", patience_ms: int = 1_800_000, threshold: float = 0.45) -> DataFrame:
-    """A stream of readings as a stream of decisions, one row an item: item_id, checkpoint, safe, tag_number, confidence, status, notes.
+from ..operators.planner import reading, stops
+from ..tables import new_folder, stored
+
+#: What is kept of a reading; `next` is the first of its item's checkpoints that hasn't counted yet.
+KEPT = ("item_id", "pos", "checkpoint", "expected", "last", "at", "text", "confidence", "bbox", "source_rotation", "source_crop")
+
+
+@dataclass
+class Decisions:
+    """A stream of readings and how it is decided; settled() runs it."""
+
+    readings: DataFrame
+    delay: str
+    patience_ms: int
+    threshold: float
+
+    @property
+    def sparkSession(self) -> SparkSession:  # noqa: N802
+        return self.readings.sparkSession
+
+    @property
+    def schema(self) -> str:
+        item = self.readings.schema["item_id"].dataType.simpleString()
+        return f"item_id {item}, checkpoint bigint, safe boolean, tag_number string, confidence double, status string, notes string"
+
+    def _later(self, at: Column, times: int) -> Column:
+        return F.unix_micros(at) + times * self.patience_ms * 1000
+
+    def step(self, batch: DataFrame, number: int, state: str, into: str) -> None:
+        """One batch: reads the state that the batch before has left, writes its own and its decisions. Repeated after a failure, it writes the same again."""
+        spark, before, after = self.sparkSession, f"{state}/{number - 1}", f"{state}/{number}"
+        known = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.readings.select(*KEPT).schema)
+        types = {"open": f"{known}, next bigint", "told": f"item_id {self.readings.schema['item_id'].dataType.simpleString()}, until bigint", "clock": "newest bigint, before bigint"}
+        held = {k: spark.read.schema(t).parquet(f"{before}/{k}") if number else spark.createDataFrame([], t) for k, t in types.items()}
+        rows = stored(batch.filter("item_id is not null").select(*KEPT))
+        clock = held["clock"].agg(F.max("newest").alias("last"), F.max("before").alias("before")).crossJoin(rows.agg(F.unix_micros(F.max("at")).alias("new"))).select("before", "last", F.greatest("last", "new").alias("newest"))
+        behind = lambda c: F.unix_micros(F.timestamp_micros(c) - F.expr(f"interval '{self.delay}'"))
+        old, mark, last, newest = clock.select(behind("before"), behind("newest"), "last", "newest").first()  # microseconds; as in Spark, what a batch brings is late by the mark that the batch before it began with
+        new = rows if old is None else rows.filter(F.unix_micros("at") > old)
+        both = held["open"].withColumn("seen", F.lit(0)).unionByName(new.withColumn("next", F.lit(1).cast("bigint")).withColumn("seen", F.lit(1)))
+        both = both.join(held["told"].hint("merge"), "item_id", "left_anti").repartition("item_id")
+        first = F.row_number().over(Window.partitionBy("item_id", "pos").orderBy("seen"))  # a pos that has come before changes nothing
+        item = Window.partitionBy("item_id")
+        both = both.withColumn("nth", first).withColumn("next", F.max("next").over(item)).filter("nth = 1 and (seen = 0 or checkpoint >= next)")
+        kept = F.struct(*KEPT[1:])
+        items = both.groupBy("item_id").agg(F.collect_list(F.struct(kept.alias("kept"), reading().alias("r"))).alias("all"), F.max("at").alias("latest"))
+        whole = lambda c: F.filter("all", lambda x: x["r"]["checkpoint"] == c)
+        points = F.array_sort(F.array_distinct(F.transform("all", lambda x: x["r"]["checkpoint"])))
+        full = F.filter(points, lambda c: F.size(whole(c)) >= F.get(whole(c), F.lit(0))["kept"]["expected"])
+        items = items.withColumn("counted", F.aggregate(full, F.lit(0).cast("bigint"), lambda upto, c: F.when(c == upto + 1, c).otherwise(upto)))
+        over = F.exists("all", lambda x: (x["r"]["checkpoint"] <= F.col("counted")) & x["kept"]["last"])
+        items = items.withColumn("over", over).withColumn("late", ~F.col("over") & F.coalesce(self._later(F.col("latest"), 1) <= F.lit(mark), F.lit(False)))
+        items = stored(items)
+        # of an item that ends for want of readings, those that still wait count together, as its last checkpoint
+        end = F.array_max(F.transform("all", lambda x: x["r"]["checkpoint"]))
+        rows = F.transform(F.filter("all", lambda x: F.col("late") | (x["r"]["checkpoint"] <= F.col("counted"))), lambda x: F.when(x["r"]["checkpoint"] <= F.col("counted"), x["r"]).otherwise(x["r"].withField("checkpoint", end)))
+        made = stops(items.select("item_id", "latest", "over", "late", rows.alias("rows")), self.threshold, "latest", "over", "late").filter("safe or over or late")
+        made = stored(made)
+        made.select("item_id", "checkpoint", "safe", "tag_number", "confidence", "status", "notes").write.mode("overwrite").parquet(f"{into}/batch={number}")
+        still = items.join(made.select("item_id").hint("merge"), "item_id", "left_anti")
+        still.select("item_id", (F.col("counted") + 1).alias("next"), F.explode("all").alias("x")).select("item_id", "x.kept.*", "next").select(*KEPT, "next").write.mode("overwrite").parquet(f"{after}/open")
+        told = held["told"].filter(F.coalesce(F.col("until") > F.lit(mark), F.lit(True))).unionByName(made.select("item_id", self._later(F.col("latest"), 3).alias("until")))
+        told.write.mode("overwrite").parquet(f"{after}/told")
+        spark.createDataFrame([(newest, last)], types["clock"]).write.mode("overwrite").parquet(f"{after}/clock")
+        if number > 1:
+            _remove(spark, f"{state}/{number - 2}")
+
+
+def live_decisions(readings: DataFrame, delay: str = "10 minutes", patience_ms: int = 1_800_000, threshold: float = 0.45) -> Decisions:
+    """A stream of readings as decisions, one row an item: item_id, checkpoint, safe, tag_number, confidence, status, notes.
 
     readings: those of evidence.decide, and checkpoint (from 1, none left out), expected (readings of the checkpoint, those without a text included), last (whether reading ends with this
     checkpoint) and at (event time). A decision is given as soon as a checkpoint makes it safe, as planner.replay decides over whole items, whatever the order in which readings
-    arrive and however often; else with the last checkpoint, or when nothing has come for `patience`. Readings that come later than `delay` behind the newest change nothing, nor do those
-    that come after the decision. Readings without an item_id are left out. The state, in RocksDB, is bounded by the attempts that one item may take.
-    """
-    x = readings.filter("item_id is not null").withColumn("numbers", numbers_of()).withColumn("crop", canonical_crop(F.col("source_crop")))
-    x = x.select("item_id", "at", *READING).withWatermark("at", delay)
-    item = readings.schema["item_id"].dataType.simpleString()
-    out = f"item_id {item}, checkpoint bigint, sums {SUMS}, texts {TEXTS}, final boolean, at timestamp"
-    told = x.groupBy("item_id").transformWithState(Evidence(patience_ms), out, "Append", "EventTime", eventTimeColumnName="at")
-    values = F.transform("sums", lambda s: entry(lambda name: s[name]))
-    made = settle(told.select("item_id", "checkpoint", "final", "at", values.alias("values"), joined(F.col("texts")).alias("raw_text")), threshold)
-    made = made.withColumn("safe", F.coalesce(safe_consensus(made, threshold), F.lit(False)))
-    first = f"item_id {item}, checkpoint bigint, safe boolean, tag_number string, confidence double, status string, notes string"
-    made = made.select("item_id", "checkpoint", "final", "at", "safe", "tag_number", "confidence", "status", "notes")
-    return made.groupBy("item_id").transformWithState(FirstSafe(patience_ms), first, "Append", "EventTime")
+    arrive and however often; else with the last checkpoint, or when nothing has come for `patience`. Readings that come later than `delay` behind the newest of all batches but the last one change nothing, nor do those
+    that come after the decision, until the item is forgotten, three times `patience` after its last reading. Readings without an item_id are left out.
 
+    The state is tables beside the stream's progress: readings of items that are open, and ids of those decided. A batch joins them by item in whole columns; no row goes through Python.
+    """
+    return Decisions(readings, delay, patience_ms, threshold)
 
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def settled(decisions: DataFrame, checkpoint: str | None = None, into: str | None = None) -> DataFrame:
+def settled(decisions: Decisions, checkpoint: str | None = None, into: str | None = None) -> DataFrame:
     """Runs a stream of decisions over all that has arrived, and gives the table it has written to. With folders of one's own it goes on where it stopped."""
     spark = decisions.sparkSession
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKS:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the one that keeps arbitrary state
-    into = into or new_folder(spark, "decisions")
-    run = decisions.writeStream.format("parquet").outputMode("append").option("path", into).option("checkpointLocation", checkpoint or new_folder(spark, "progress"))
+    into, progress = into or new_folder(spark, "decisions"), checkpoint or new_folder(spark, "progress")
+    run = decisions.readings.writeStream.option("checkpointLocation", progress).foreachBatch(lambda batch, number: decisions.step(batch, number, f"{progress}/tables", into))
     run.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(decisions.schema).parquet(into)
+    names = [c.split()[0] for c in decisions.schema.split(", ")]
+    return spark.read.schema(decisions.schema).parquet(into).select(*names)

@@ -167,3 +167,16 @@ def test_replay_brings_readings_together_once(spark):
     whole = spark.createDataFrame([reading("a", 1, 1, 1, True, "123456")], READ.replace("at timestamp", "at long"))
     plan = planner.replay(whole)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "Generate" in plan
+
+
+def test_a_batch_that_is_repeated_gives_the_same(spark, tmp_path):
+    df = lambda rows: spark.createDataFrame(rows, READ.replace("at timestamp", "at long")).withColumn("at", F.timestamp_seconds(1_700_000_000 + 60 * F.col("at")))
+    one = df([reading("a", 1, 1, 2, False, "123456"), reading("b", 1, 1, 1, True, "77777")])
+    two = df([reading("a", 2, 1, 2, False, "123456"), reading("b", 1, 1, 1, True, "88888")])
+    decisions, state, out = live.live_decisions(one), str(tmp_path / "state"), str(tmp_path / "out")
+    told = []
+    for number, batch in enumerate([one, two]):
+        for _ in range(2):
+            decisions.step(batch, number, state, out)
+            told.append(sorted(map(tuple, spark.read.parquet(out).select("item_id", "checkpoint", "safe", "tag_number").collect())))
+    assert told[0] == told[1] == [("b", 1, False, "77777")] and told[2] == told[3] == [("a", 1, True, "123456"), *told[0]]
