@@ -6,7 +6,7 @@ kept is proportional to its cell's factor, at most 1, and scaled so that the exp
 is kept depends on a hash of its id alone.
 
 The table of documents has no topic, so topics are learned: clusters (spherical k-means) of the texts' TF-IDF weighted words, less
-what is common to their language. Word frequencies are counted over all rows, clusters are fitted on a bounded sample.
+what is common to their language. Word frequencies are counted and clusters are fitted over all rows; a bounded sample says where the clusters begin.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ TOPICS = 8
 BITS = 18
 BUCKETS = 1 << BITS
 SLICE = 1 << 18
+#: Weights are summed in whole numbers of 1 / UNIT; sums of topics are sent in blocks of so many buckets.
+UNIT, BLOCK = 1 << 20, 1 << 12
+#: Rounds of the topics end when the texts' likeness to their centres grows by less than this share.
+GAIN = 5e-3
 #: Topic of a text without a word.
 NO_TOPIC = -1
 #: Above so many cells the raking runs on DataFrames instead of on the driver; both end by the same rule.
@@ -122,51 +126,81 @@ class Topics:
         return np.where(words > 0, near.argmax(1), NO_TOPIC), words
 
 
-def frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Inverse frequency of each word bucket: log of all texts over those that have it. Counted over all rows."""
+def counted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Words of all texts that have any, as little-endian 32-bit integers: place, other (two hashes of the text), lang, at (buckets), n (how many
+    words of each), copies. Rows equal in text and language are one row, with copies saying how many they were."""
+    known = docs.select(F.xxhash64(text).alias("place"), F.xxhash64(F.lit(7), text).alias("other"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a, z, data, offsets in runs_of(b.column(3)):
+                text, bucket, n = word_counts(data, offsets)
+                cuts = pa.py_buffer((np.searchsorted(text, np.arange(z - a + 1)) * 4).astype(np.int32))
+                lists = [pa.Array.from_buffers(pa.binary(), z - a, [None, cuts, pa.py_buffer(x.astype("<i4"))]) for x in (bucket, n)]
+                yield pa.RecordBatch.from_arrays([*(b.column(i)[a:z] for i in range(3)), *lists], names=["place", "other", "lang", "at", "n"])
+
+    rows = known.filter(F.length(F.trim("text")) > 0).mapInArrow(read, "place long, other long, lang string, at binary, n binary")
+    return rows.filter(F.length("at") > 0).groupBy("place", "other", "lang").agg(F.first("at").alias("at"), F.first("n").alias("n"), F.count("*").alias("copies"))
+
+
+def numbers_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers, how many each list has) of a column of counted()."""
+    data, offsets = flat_bytes(lists)
+    return data.view("<i4"), np.diff(offsets) // 4
+
+
+def frequencies(words: DataFrame, n: int) -> np.ndarray:
+    """Inverse frequency of each word bucket: log of all n texts over those that have it. Counted over all rows of counted()."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(BUCKETS, np.int64), 0
+        total = np.zeros(BUCKETS)
         for b in batches:
-            n += b.num_rows
-            for _, _, data, offsets in runs_of(b.column(0)):
-                total += np.bincount(word_counts(data, offsets)[1], minlength=BUCKETS)
+            at, sizes = numbers_of(b.column(0))
+            total += np.bincount(at, np.repeat(b.column(1).to_numpy(), sizes), BUCKETS)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["bucket", "n"])
 
-    got = docs.select(text).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS + 1 rows
-    at, df = got["bucket"].to_numpy(), got["n"].to_numpy()
-    n = int(df[at == -1].sum())
+    got = words.select("at", "copies").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
     known = np.zeros(BUCKETS)
-    known[at[at >= 0]] = df[at >= 0]
+    known[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return np.log((n + 1.0) / (known + 1.0)).astype(np.float32)
 
 
-class Sample:
+class Means:
+    """Mean rows of languages, sparse, as languages and buckets in order; language 0 is none, whose mean is that of all rows."""
+
+    def __init__(self, lang: np.ndarray, bucket: np.ndarray, mean: np.ndarray, sizes: np.ndarray, whole: np.ndarray):
+        self.mean_lang, self.mean_bucket, self.mean, self.sizes, self.whole = lang, bucket, mean, sizes, whole
+
+    def off(self, centres: np.ndarray) -> np.ndarray:
+        """Each centre's product with each language's mean: (languages, centres)."""
+        out = np.stack([np.bincount(self.mean_lang, c[self.mean_bucket] * self.mean, len(self.sizes)) for c in centres], axis=1)
+        out[0] = centres @ self.whole
+        return out
+
+    def times(self, share: np.ndarray) -> np.ndarray:
+        """Sum of the means, each times its language's share."""
+        own = self.mean_lang > 0
+        return share[0] * self.whole + np.bincount(self.mean_bucket[own], (self.mean * share[self.mean_lang])[own], BUCKETS)
+
+
+class Sample(Means):
     """Weighed texts as sparse rows, each less its language's mean (that of all, where no language is given) and of length 1. Nothing here is rows x buckets."""
 
     def __init__(self, row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, langs: np.ndarray):
         """langs: number of each row's language, 0 for none."""
         self.n, self.row, self.bucket, self.weight, self.langs = len(langs), row, bucket, weight, langs
-        self.sizes = np.bincount(langs)
-        lang = langs[row]
+        sizes, lang = np.bincount(langs), langs[row]
         # means as sparse rows too; that of all comes first, as the mean of rows without a language
         keys, self.at = np.unique(lang << BITS | bucket, return_inverse=True)
-        self.mean_lang, self.mean_bucket = keys >> BITS, keys & (BUCKETS - 1)
-        self.mean = np.bincount(self.at, weight, len(keys)) / np.maximum(self.sizes, 1)[self.mean_lang]
-        self.whole = np.bincount(bucket, weight, BUCKETS) / self.n
+        mean = np.bincount(self.at, weight, len(keys)) / np.maximum(sizes, 1)[keys >> BITS]
+        super().__init__(keys >> BITS, keys & (BUCKETS - 1), mean, sizes, np.bincount(bucket, weight, BUCKETS) / self.n)
         mine = np.where(lang == 0, self.whole[bucket], self.mean[self.at])
         squares = np.bincount(self.mean_lang, self.mean**2, len(self.sizes))
         squares[0] = self.whole @ self.whole
         square = np.bincount(row, weight * (weight - 2 * mine), self.n) + squares[langs]
         self.length = np.sqrt(np.maximum(square, 1e-18))
 
-    def off(self, centres: np.ndarray) -> np.ndarray:
-        """Each centre's product with each language's mean: (languages, centres)."""
-        out = np.stack([np.bincount(self.mean_lang, c[self.mean_bucket] * self.mean, len(self.sizes)) for c in centres], axis=1)
-        out[0] = centres @ self.whole
-        return out
-
     def near(self, centres: np.ndarray) -> np.ndarray:
         """Product of each row with each centre."""
         x = np.stack([np.bincount(self.row, c[self.bucket] * self.weight, self.n) for c in centres], axis=1)
@@ -176,42 +210,20 @@ class Sample:
         """Sum of the chosen rows."""
         part = chosen / self.length
         out = np.bincount(self.bucket, self.weight * part[self.row], BUCKETS)
-        share = np.bincount(self.langs, part, len(self.sizes))
-        out -= share[0] * self.whole
-        own = self.mean_lang > 0
-        return out - np.bincount(self.mean_bucket[own], (self.mean * share[self.mean_lang])[own], BUCKETS)
-
-
-def fit_topics(docs: DataFrame, topics: int = TOPICS, text: str = "text", lang: str = "lang", most_rows: int = 4000, rounds: int = 20) -> Topics:
-    """Learn topics from about `most_rows` texts, chosen by their hash, so that equal texts count once or not at all.
-
-    Null texts and texts without a word teach nothing; with none that teaches, all have topic 0. A language that none of these texts has is compared
-    with the mean of all.
-    """
-    idf = frequencies(docs, text)
-    known = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.length(F.trim("text")) > 0)
-    n = known.count()
-    chosen = known.filter(keep_share(min(1.0, most_rows / max(n, 1)), F.col("text"), seed=31)).dropDuplicates(["text", "lang"])
-    chosen = chosen.select("text", "lang", F.xxhash64("text").alias("place"))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a, z, data, offsets in runs_of(b.column(0)):
-                text, bucket, n = word_counts(data, offsets)
-                cuts = np.searchsorted(text, np.arange(z - a + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32))) for x in (bucket, n)]
-                yield pa.RecordBatch.from_arrays([*lists, b.column(1)[a:z], b.column(2)[a:z]], names=["at", "n", "lang", "place"])
-
-    rows = chosen.mapInArrow(read, "at array<int>, n array<int>, lang string, place long").toArrow().sort_by([("lang", "ascending"), ("place", "ascending")]).combine_chunks()
-    sizes = pa.compute.list_value_length(rows["at"]).to_numpy()
-    if not sizes.sum():
-        return Topics(idf, {None: np.zeros(1)}, np.zeros((1, BUCKETS), np.float32))
-    rows, sizes = rows.filter(pa.array(sizes > 0)), sizes[sizes > 0]
-    row, bucket, times = np.repeat(np.arange(len(sizes)), sizes), *(pa.compute.list_flatten(rows[c]).to_numpy().astype(np.int64) for c in ("at", "n"))
-    names = sorted(set(rows["lang"].to_pylist()) - {None, ""})
-    number = {la: i + 1 for i, la in enumerate(names)}
-    y = Sample(row, bucket, _weighed(row, bucket, times, idf, len(sizes)), np.array([number.get(la, 0) for la in rows["lang"].to_pylist()]))
-    # first centres: far from those before, the farthest being the most alone
+        return out - self.times(np.bincount(self.langs, part, len(self.sizes)))
+
+
+def _first_centres(words: DataFrame, idf: np.ndarray, topics: int, share: float, rounds: int) -> np.ndarray:
+    """Where the rounds over all rows begin: clusters of a share of the texts, chosen by their hash."""
+    rows = words.filter(keep_share(share, F.col("place"), F.col("other"), seed=31)).select("lang", "place", "other", "at", "n").toArrow()
+    if not rows.num_rows:  # a share of few rows may have none
+        rows = words.orderBy("place", "other", "lang").limit(topics).select("lang", "place", "other", "at", "n").toArrow()
+    rows = rows.sort_by([(c, "ascending") for c in ("lang", "place", "other")]).combine_chunks()
+    (bucket, sizes), (times, _) = (numbers_of(rows[c].combine_chunks()) for c in ("at", "n"))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    number = {la: i + 1 for i, la in enumerate(sorted(set(rows["lang"].to_pylist()) - {None, ""}))}
+    y = Sample(row, bucket.astype(np.int64), _weighed(row, bucket, times, idf, len(sizes)), np.array([number.get(la, 0) for la in rows["lang"].to_pylist()]))
+    # far from those before, the farthest being the most alone
     one = lambda k: y.total(np.arange(y.n) == k)
     centres, closest = [one(0)], np.full(y.n, -np.inf)
     while len(centres) < min(topics, y.n):
@@ -222,9 +234,129 @@ def fit_topics(docs: DataFrame, topics: int = TOPICS, text: str = "text", lang:
         near = y.near(centres).argmax(1)
         centres = np.stack([y.total(near == k) if (near == k).any() else c for k, c in enumerate(centres)])
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    return centres
+
+
+#: 1 + ln of small numbers of words.
+_TIMES = (1 + np.log(np.maximum(np.arange(1 << 12), 1))).astype(np.float32)
+
+
+def _weighed_rows(batches: Iterator[pa.RecordBatch], idf: np.ndarray, number: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(language's number of each text, first place of each text, text, bucket, weight) of runs of rows (lang, at, n) of counted(). Weights have length 1 together."""
+    for b in batches:
+        langs = np.array([number.get(la, 0) for la in b.column(0).to_pylist()], np.int64)
+        (at, sizes), (n, _) = numbers_of(b.column(1)), numbers_of(b.column(2))
+        ends, a = np.append(0, np.cumsum(sizes)), 0
+        while a < len(langs):
+            z = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, "right")) - 1)
+            first, here = ends[a:z] - ends[a], slice(ends[a], ends[z])
+            w = _TIMES.take(n[here], mode="clip")
+            if n[here].max() >= len(_TIMES):
+                w = (1 + np.log(n[here])).astype(np.float32)
+            w *= idf.take(at[here])
+            length = np.maximum(np.sqrt(np.add.reduceat(w * w, first, dtype=np.float64)), 1e-300)
+            text = np.repeat(np.arange(z - a), sizes[a:z])
+            yield langs[a:z], first, text, at[here], w / length[text]
+            a = z
+
+
+def language_means(words: DataFrame, idf: np.ndarray, number: dict[str, int]) -> Means:
+    """Mean rows over all rows of counted(). The driver gets a number for each language and each bucket that its texts have."""
+    most = 16  # languages that a task sums up at a time
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for la, x in sums.items():
+                at = np.flatnonzero(x)
+                yield pa.RecordBatch.from_arrays([pa.array(at + (la << BITS + 1)), pa.array(x[at])], names=["key", "sum"])
+            sums.clear()
+
+        for langs, _, text, bucket, weight in _weighed_rows(batches, idf, number):
+            whole = np.rint(weight * UNIT).astype(np.int64)
+            for la in np.unique(langs).tolist():
+                x, mine = sums.setdefault(la, np.zeros(BUCKETS + 1, np.int64)), langs == la
+                np.add.at(x, bucket[mine[text]], whole[mine[text]])
+                x[BUCKETS] += mine.sum()
+                if len(sums) >= most:
+                    yield from told()
+        yield from told()
+
+    got = words.select("lang", "at", "n").mapInArrow(add, "key long, sum long").groupBy("key").agg(F.sum("sum").alias("sum")).toArrow()
+    key, total = got["key"].to_numpy(), got["sum"].to_numpy()
+    order = np.argsort(key)
+    key, total = key[order], total[order]
+    lang, bucket = key >> BITS + 1, key & (2 * BUCKETS - 1)
+    rows, cells = bucket == BUCKETS, bucket < BUCKETS
+    sizes = np.zeros(len(number) + 1, np.int64)
+    sizes[lang[rows]] = total[rows]
+    lang, bucket, total = lang[cells], bucket[cells], total[cells] / UNIT
+    return Means(lang, bucket, total / sizes[lang], sizes, np.bincount(bucket, total, BUCKETS) / sizes.sum())
+
+
+def topic_sums(words: DataFrame, idf: np.ndarray, number: dict[str, int], centres: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """One round over all rows of counted(): (sums of the rows of each topic, how many rows of each language each topic has, likeness of all rows to
+    their centres). Sums are of whole numbers (UNIT), so that they are the same whatever the tasks are; tasks send them in blocks of buckets."""
+    k, table = len(centres), np.ascontiguousarray(centres.T.astype(np.float32))
+
+    def short(x: np.ndarray) -> np.ndarray:
+        return x.astype("<i4" if np.abs(x).max() < 1 << 31 else "<i8")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, rows, like = np.zeros(k << BITS, np.int64), np.zeros(off.shape, np.int64), 0
+        for langs, first, text, bucket, weight in _weighed_rows(batches, idf, number):
+            near = table.take(bucket, axis=0)
+            near *= weight.astype(np.float32)[:, None]
+            near = np.add.reduceat(near, first, axis=0) - off[langs]
+            topic = near.argmax(1)
+            like += int(np.rint(near.max(1) * UNIT).sum())
+            np.add.at(rows, (langs, topic), 1)
+            np.add.at(sums, topic[text] << BITS | bucket, np.rint(weight * UNIT).astype(np.int64))
+        blocks = [*np.split(sums.reshape(k, BUCKETS), BUCKETS // BLOCK, axis=1), rows, np.array([like])]
+        for i, x in enumerate(map(short, blocks)):
+            yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "width": pa.array([x.itemsize], pa.int32()), "sums": pa.array([x.tobytes()], pa.binary())})
+
+    def together(group: pa.Table) -> pa.Table:
+        total = np.zeros(1, "<i8")
+        for x, w in zip(group["sums"], group["width"].to_pylist(), strict=True):
+            total = total + np.frombuffer(x.as_buffer(), f"<i{w}")
+        total = short(total)
+        return pa.table({"block": group["block"][:1], "width": pa.array([total.itemsize], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    form = "block int, width int, sums binary"
+    got = words.select("lang", "at", "n").mapInArrow(add, form).groupBy("block").applyInArrow(together, form).toArrow().sort_by("block")
+    blocks = [np.frombuffer(x.as_buffer(), f"<i{w}") for x, w in zip(got["sums"], got["width"].to_pylist(), strict=True)]
+    return np.concatenate([x.reshape(k, BLOCK) for x in blocks[:-2]], axis=1) / UNIT, blocks[-2].reshape(off.shape), int(blocks[-1][0])
+
+
+def fit_topics(docs: DataFrame, topics: int = TOPICS, text: str = "text", lang: str = "lang", most_rows: int = 4000, rounds: int = 20) -> Topics:
+    """Learn topics from all texts; rows equal in text and language count once.
+
+    Rounds over all rows move the centres until the rows' likeness to them grows by less than GAIN, or after so many rounds. About `most_rows` texts say only
+    where the centres begin. Null texts and texts without a word teach nothing; with none that teaches, all have topic 0. A language that none of the texts has
+    is compared with the mean of all.
+    """
+    words = stored(counted(docs, text, lang))
+    idf, n = frequencies(words, docs.count()), words.count()
+    if not n:
+        return Topics(idf, {None: np.zeros(1)}, np.zeros((1, BUCKETS), np.float32))
+    centres = _first_centres(words, idf, topics, min(1.0, most_rows / n), rounds)
+    number = {r["lang"]: i + 1 for i, r in enumerate(words.select("lang").filter("lang <> ''").distinct().orderBy("lang").collect())}
+    # a task sends sums of all buckets however little it reads, so tasks are larger here
+    wide = words.coalesce(max(words.sparkSession.sparkContext.defaultParallelism, words.rdd.getNumPartitions() // 8))
+    means, before = language_means(wide, idf, number), -np.inf
+    for _ in range(rounds):
+        sums, rows, like = topic_sums(wide, idf, number, centres, means.off(centres))
+        if like - before < GAIN * abs(like):
+            break
+        before = like
+        moved = np.stack([x - means.times(rows[:, k]) if rows[:, k].any() else centres[k] for k, x in enumerate(sums)])
+        centres = moved / np.maximum(np.linalg.norm(moved, axis=1, keepdims=True), 1e-9)
+    discard(words)
     centres = centres.astype(np.float32)
-    off = y.off(centres)
-    return Topics(idf, {None: off[0]} | {la: off[k] for la, k in number.items()}, centres)
+    off = means.off(centres)
+    return Topics(idf, {None: off[0]} | {la: off[i] for la, i in number.items()}, centres)
 
 
 def _told_udf(topics: Topics):
@@ -382,19 +514,22 @@ PART = 0.75
 
 def mix(
     docs: DataFrame, power: dict[str, float] | None = None, part: float = PART, targets: dict[str, dict] | None = None, seed: int = 41,
-    key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", into: str = "mixture", topics: Topics | None = None,
+    key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", into: str = "mixture", topics: Topics | None = None, keep_text: bool = True,
 ) -> DataFrame:
     """Adds a struct (topic, n_tokens, probability, sampled) as `into` to every row; other columns stay as they are.
 
     targets: wanted shares of tokens, such as {"source": {"web": 0.5, "books": 0.3}}; values and margins without one keep their measured
     shares, tempered by `power`. Null sources and languages are values of their own, null texts count as empty, and an empty text weighs
     one token and has topic -1. Rows of one id, and rows with a null id, share their fate if they share a cell; the draw is by id, so
-    there are no ties. An empty table gives an empty result. A column `into` is replaced; no other name clashes.
+    there are no ties. An empty table gives an empty result. A column `into` is replaced; no other name clashes. Without keep_text the result has no
+    texts, and what they say is stored, so that their words are not counted twice.
     """
     topics = topics or fit_topics(docs, text=text, lang=lang)
     own, cell, p = (unused(docs, n) for n in ("own", "cell", "p"))
     rows = docs.withColumn(own, _told_udf(topics)(F.coalesce(F.col(text), F.lit("")), F.col(lang)))
     rows = rows.withColumn(own, F.struct(F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(own)["topic"].alias("topic"), F.col(own)["n_tokens"].alias("n_tokens")))
+    if not keep_text:
+        rows = stored(rows.drop(text))
     cells = rows.groupBy(*(F.col(own)[m].alias(m) for m in MARGINS)).agg(F.sum(F.col(own)["n_tokens"]).alias("weight"))
     said = checkpointed(probabilities(cells, POWER | (power or {}), part, targets)).select(F.struct(*MARGINS).alias(cell), F.col("probability").alias(p))
     small = said.count() <= DRIVER_CELLS
@@ -406,7 +541,7 @@ def mix(
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return mix(docs).select("doc_id", "source", "lang", "mixture.*")
+    return mix(docs, keep_text=False).select("doc_id", "source", "lang", "mixture.*")
 
 
 def keep_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -296,6 +296,37 @@ def test_topics_are_groups_of_words(spark):
     assert sum(max(Counter(got[i] for i in range(240) if i % 3 == k).values()) for k in range(3)) >= 0.95 * 240 and len(set(got.values())) == 3
 
 
+def test_topics_are_fitted_on_all_texts(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{'xyz'[i % 3]}{rng.randrange(12)}" if rng.random() < 0.5 else f"w{rng.randrange(30)}" for _ in range(40)), "rare" if i % 150 == 7 else ["en", "de", None][i % 3]) for i in range(600)]
+    rows += [rows[4], rows[4], (601, None, "en"), (602, " \n ", "de")]
+    topics = mixing.fit_topics(spark.createDataFrame(rows, "doc_id long, text string, lang string"), topics=3, most_rows=30)
+    texts = sorted({(t, la or "") for _, t, la in rows if t and t.strip()})
+    dense = np.zeros((len(texts), mixing.BUCKETS))
+    for i, (t, _) in enumerate(texts):
+        for b, n in Counter(map(plain_bucket, t.split())).items():
+            dense[i, b] = (1 + math.log(n)) * topics.idf[b]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    langs = np.array([la for _, la in texts])
+    means = {la: dense[langs == la].mean(0) for la in ("en", "de", "rare")} | {"": dense.mean(0)}
+    assert set(topics.means) == {None, "en", "de", "rare"}
+    for la, m in means.items():
+        assert np.allclose(topics.means[la or None], topics.centres @ m, atol=1e-4)
+    # another round over all texts changes little
+    y = dense - np.stack([means[la] for la in langs])
+    near = (y @ topics.centres.T).argmax(1)
+    moved = np.stack([y[near == k].sum(0) for k in range(3)])
+    moved /= np.linalg.norm(moved, axis=1, keepdims=True)
+    assert (moved * topics.centres).sum(1).min() > 0.99
+
+
+def test_a_result_without_texts_is_the_same(spark):
+    rows = [(i, None if i == 5 else prose(i, 9), "en" if i % 2 else None, "s") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    one, two = (mixing.mix(df, keep_text=k).select("doc_id", "lang", "source", "mixture.*").orderBy("doc_id").collect() for k in (True, False))
+    assert one == two
+
+
 # --- 8 language
 
 def test_language_sums_and_decoding_equal_plain_loops(spark):
