@@ -12,11 +12,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -209,16 +211,14 @@ class Encoder:
         return ids, ends
 
 
-def _groups(texts: list[str], chars: int = 1 << 20):
-    """Runs of texts of about so many characters; a longer text is a run of its own."""
-    start, total = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and total + len(t) > chars:
-            yield start, i
-            start, total = i, 0
-        total += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def _groups(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str]]:
+    """Runs of texts of about so many bytes; a longer text is a run of its own. Only one run at a time is held as Python strings."""
+    ends = np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    a, m = 0, len(ends)
+    while a < m:
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+        yield texts[a:z].to_pylist()
+        a = z
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -244,9 +244,9 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", into: s
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        rows, enc, out, ends = texts.to_pylist(), encoder(path), [], [np.zeros(1, np.int64)]
-        for a, z in _groups(rows):
-            ids, e = enc.encode(rows[a:z])
+        enc, out, ends = encoder(path), [], [np.zeros(1, np.int64)]
+        for rows in _groups(texts):
+            ids, e = enc.encode(rows)
             out.append(ids)
             ends.append(e[1:] + ends[-1][-1])
         flat = np.concatenate(out) if out else np.zeros(0, np.uint32)
@@ -278,10 +278,10 @@ def round_trip(docs: DataFrame, path: str | None = None, text: str = "text", int
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(texts: pa.Array) -> pa.Array:
-        rows, enc = texts.to_pylist(), encoder(path)
+        enc = encoder(path)
         n, ids_sha, text_sha = [], [], []
-        for a, z in _groups(rows):
-            ids, ends = enc.encode(rows[a:z])
+        for rows in _groups(texts):
+            ids, ends = enc.encode(rows)
             for s, e in zip(ends, ends[1:], strict=False):
                 own = ids[s:e]
                 n.append(int(e - s))
