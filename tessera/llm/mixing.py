@@ -27,6 +27,8 @@ MARGINS = ("source", "lang", "topic")
 TOPICS = 8
 BITS = 18
 BUCKETS = 1 << BITS
+#: What the bits above a bucket say of so many words of it or more.
+MANY = (1 << 32 - BITS) - 1
 SLICE = 1 << 18
 #: Weights are summed in whole numbers of 1 / UNIT; sums of topics are sent in blocks of so many buckets.
 UNIT, BLOCK = 1 << 20, 1 << 12
@@ -63,19 +65,42 @@ def word_buckets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.nda
             while stop < limit and not (gap := np.flatnonzero(_SEEN[data[stop : stop + 4096]] == 0)).size:
                 stop = min(stop + 4096, limit)
             stop = min(stop + int(gap[0]), limit) if stop < limit else stop
-        seg = _SEEN[data[at:stop]]
+        seg = _SEEN.take(data[at:stop])
         inside = seg != 0
-        first = inside & ~np.append(False, inside[:-1])
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
         begins = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, stop)] - at
         first[begins] = inside[begins]
-        spots, begin = np.flatnonzero(inside), np.flatnonzero(first)
+        last, inner = inside.copy(), inside & ~first
+        last[:-1] &= ~inner[1:]
+        begin = np.flatnonzero(first)
         if len(begin):
-            place = spots - begin[np.cumsum(first)[spots] - 1]
-            h = np.add.reduceat(seg[spots] * _PLACE[place & 63], np.searchsorted(spots, begin))
+            h = _word_hashes(seg, begin, np.flatnonzero(last) + 1 - begin)
             yield np.searchsorted(offsets, at + begin, "right") - 1, (mix64(h) >> np.uint64(64 - BITS)).astype(np.int64)
         at = stop
 
 
+def _word_hashes(seg: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The sum of each word's bytes times their places' numbers: place by place, for all words that are that long at once; bytes beyond the 64th of a word together."""
+    top = len(_PLACE)
+    order = np.argsort((top + 1 - np.minimum(size, top + 1)).astype(np.uint8), kind="stable")  # longest first
+    spot, h = begin[order], np.zeros(len(begin), np.uint64)
+    longer = len(begin) - np.cumsum(np.bincount(np.minimum(size, top + 1), minlength=top + 2))  # words of more than i bytes
+    for i in range(top):
+        if not (k := int(longer[i])):
+            break
+        h[:k] += seg.take(spot[:k]) * _PLACE[i]
+        spot[:k] += 1
+    if k := int(longer[top]):
+        rest = size[order[:k]] - top
+        starts = np.cumsum(rest) - rest
+        place = np.arange(int(rest.sum())) - np.repeat(starts, rest)
+        h[:k] += np.add.reduceat(seg[np.repeat(spot[:k], rest) + place] * _PLACE[place % top], starts)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
 def word_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, how many words) for each text and bucket that some of its words have, in order."""
     keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -113,6 +138,7 @@ class Topics:
     means: dict[str | None, np.ndarray]
     """What to take off for a language: each centre's product with the language's mean; None: the mean of all."""
     centres: np.ndarray
+    """A row each; in memory the numbers of a bucket lie together."""
 
     def of(self, data: np.ndarray, offsets: np.ndarray, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(topic, number of words) of each text. The topic is the centre nearest in direction to the text's words less its language's mean, of
@@ -120,33 +146,47 @@ class Topics:
         m = len(langs)
         text, bucket, n = word_counts(data, offsets)
         w = _weighed(text, bucket, n, self.idf, m)
-        near = np.stack([np.bincount(text, c[bucket] * w, m) for c in self.centres], axis=1).astype(float)  # bincount of nothing gives integers
+        near, first = np.zeros((m, len(self.centres))), np.flatnonzero(np.diff(text, prepend=-1))
+        if len(first):
+            near[text[first]] = np.add.reduceat(np.ascontiguousarray(self.centres.T).take(bucket, axis=0) * w[:, None], first, axis=0)
         near -= np.stack([self.means.get(la, self.means[None]) for la in langs]).reshape(m, -1)
         words = np.bincount(text, n, m).astype(np.int64)
         return np.where(words > 0, near.argmax(1), NO_TOPIC), words
 
 
 def counted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Words of all texts that have any, as little-endian 32-bit integers: place, other (two hashes of the text), lang, at (buckets), n (how many
-    words of each), copies. Rows equal in text and language are one row, with copies saying how many they were."""
+    """Words of all texts that have any: place, other (two hashes of the text), lang, cells (little-endian 32-bit integers: bucket, and in the bits above it
+    how many words of it, at most MANY), more (64-bit integers: of cells that say MANY how many, in order), copies. Rows equal in text and language are one row,
+    with copies saying how many they were."""
     known = docs.select(F.xxhash64(text).alias("place"), F.xxhash64(F.lit(7), text).alias("other"), F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, z, data, offsets in runs_of(b.column(3)):
                 text, bucket, n = word_counts(data, offsets)
-                cuts = pa.py_buffer((np.searchsorted(text, np.arange(z - a + 1)) * 4).astype(np.int32))
-                lists = [pa.Array.from_buffers(pa.binary(), z - a, [None, cuts, pa.py_buffer(x.astype("<i4"))]) for x in (bucket, n)]
-                yield pa.RecordBatch.from_arrays([*(b.column(i)[a:z] for i in range(3)), *lists], names=["place", "other", "lang", "at", "n"])
+                many, ends = n >= MANY, np.arange(z - a + 1)
+                lists = [(text, (bucket | np.minimum(n, MANY) << BITS).astype("<u4")), (text[many], n[many].astype("<i8"))]
+                lists = [pa.Array.from_buffers(pa.binary(), z - a, [None, pa.py_buffer((np.searchsorted(of, ends) * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for of, x in lists]
+                yield pa.RecordBatch.from_arrays([*(b.column(i)[a:z] for i in range(3)), *lists], names=["place", "other", "lang", "cells", "more"])
 
-    rows = known.filter(F.length(F.trim("text")) > 0).mapInArrow(read, "place long, other long, lang string, at binary, n binary")
-    return rows.filter(F.length("at") > 0).groupBy("place", "other", "lang").agg(F.first("at").alias("at"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    rows = known.filter(F.length(F.trim("text")) > 0).mapInArrow(read, "place long, other long, lang string, cells binary, more binary")
+    return rows.filter(F.length("cells") > 0).groupBy("place", "other", "lang").agg(F.first("cells").alias("cells"), F.first("more").alias("more"), F.count("*").alias("copies"))
 
 
-def numbers_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def numbers_of(lists: pa.Array, kind: str = "<u4") -> tuple[np.ndarray, np.ndarray]:
     """(all numbers, how many each list has) of a column of counted()."""
     data, offsets = flat_bytes(lists)
-    return data.view("<i4"), np.diff(offsets) // 4
+    width = np.dtype(kind).itemsize
+    return data.view(kind), np.diff(offsets) // width
+
+
+def taken_apart(cells: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, how many words, what is left of more) of some cells of counted(), more beginning with what belongs to the first of them."""
+    bucket, n = (cells & (BUCKETS - 1)).astype(np.int64), cells >> BITS
+    if len(more) and (many := n == MANY).any():
+        n = n.astype(np.int64)
+        n[many], more = np.split(more, [int(many.sum())])
+    return bucket, n, more
 
 
 def frequencies(words: DataFrame, n: int) -> np.ndarray:
@@ -155,12 +195,16 @@ def frequencies(words: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS)
         for b in batches:
-            at, sizes = numbers_of(b.column(0))
-            total += np.bincount(at, np.repeat(b.column(1).to_numpy(), sizes), BUCKETS)
+            cells, sizes = numbers_of(b.column(0))
+            copies, ends, a = b.column(1).to_numpy(), np.append(0, np.cumsum(sizes)), 0
+            while a < len(sizes):
+                z = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, "right")) - 1)
+                total += np.bincount(cells[ends[a] : ends[z]] & (BUCKETS - 1), np.repeat(copies[a:z], sizes[a:z]), BUCKETS)
+                a = z
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["bucket", "n"])
 
-    got = words.select("at", "copies").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
+    got = words.select("cells", "copies").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
     known = np.zeros(BUCKETS)
     known[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return np.log((n + 1.0) / (known + 1.0)).astype(np.float32)
@@ -215,14 +259,15 @@ class Sample(Means):
 
 def _first_centres(words: DataFrame, idf: np.ndarray, topics: int, share: float, rounds: int) -> np.ndarray:
     """Where the rounds over all rows begin: clusters of a share of the texts, chosen by their hash."""
-    rows = words.filter(keep_share(share, F.col("place"), F.col("other"), seed=31)).select("lang", "place", "other", "at", "n").toArrow()
+    rows = words.filter(keep_share(share, F.col("place"), F.col("other"), seed=31)).select("lang", "place", "other", "cells", "more").toArrow()
     if not rows.num_rows:  # a share of few rows may have none
-        rows = words.orderBy("place", "other", "lang").limit(topics).select("lang", "place", "other", "at", "n").toArrow()
+        rows = words.orderBy("place", "other", "lang").limit(topics).select("lang", "place", "other", "cells", "more").toArrow()
     rows = rows.sort_by([(c, "ascending") for c in ("lang", "place", "other")]).combine_chunks()
-    (bucket, sizes), (times, _) = (numbers_of(rows[c].combine_chunks()) for c in ("at", "n"))
+    (cells, sizes), (more, _) = numbers_of(rows["cells"].combine_chunks()), numbers_of(rows["more"].combine_chunks(), "<i8")
+    bucket, times, _ = taken_apart(cells, more)
     row = np.repeat(np.arange(len(sizes)), sizes)
     number = {la: i + 1 for i, la in enumerate(sorted(set(rows["lang"].to_pylist()) - {None, ""}))}
-    y = Sample(row, bucket.astype(np.int64), _weighed(row, bucket, times, idf, len(sizes)), np.array([number.get(la, 0) for la in rows["lang"].to_pylist()]))
+    y = Sample(row, bucket, _weighed(row, bucket, times, idf, len(sizes)), np.array([number.get(la, 0) for la in rows["lang"].to_pylist()]))
     # far from those before, the farthest being the most alone
     one = lambda k: y.total(np.arange(y.n) == k)
     centres, closest = [one(0)], np.full(y.n, -np.inf)
@@ -242,21 +287,21 @@ _TIMES = (1 + np.log(np.maximum(np.arange(1 << 12), 1))).astype(np.float32)
 
 
 def _weighed_rows(batches: Iterator[pa.RecordBatch], idf: np.ndarray, number: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(language's number of each text, first place of each text, text, bucket, weight) of runs of rows (lang, at, n) of counted(). Weights have length 1 together."""
+    """(language's number of each text, first place of each text, text, bucket, weight) of runs of rows (lang, cells, more) of counted(). Weights have length 1 together."""
     for b in batches:
         langs = np.array([number.get(la, 0) for la in b.column(0).to_pylist()], np.int64)
-        (at, sizes), (n, _) = numbers_of(b.column(1)), numbers_of(b.column(2))
+        (cells, sizes), (more, _) = numbers_of(b.column(1)), numbers_of(b.column(2), "<i8")
         ends, a = np.append(0, np.cumsum(sizes)), 0
         while a < len(langs):
             z = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, "right")) - 1)
-            first, here = ends[a:z] - ends[a], slice(ends[a], ends[z])
-            w = _TIMES.take(n[here], mode="clip")
-            if n[here].max() >= len(_TIMES):
-                w = (1 + np.log(n[here])).astype(np.float32)
-            w *= idf.take(at[here])
+            bucket, n, more = taken_apart(cells[ends[a] : ends[z]], more)
+            first, w = ends[a:z] - ends[a], _TIMES.take(n, mode="clip")
+            if n.max() >= len(_TIMES):
+                w = (1 + np.log(n)).astype(np.float32)
+            w *= idf.take(bucket)
             length = np.maximum(np.sqrt(np.add.reduceat(w * w, first, dtype=np.float64)), 1e-300)
             text = np.repeat(np.arange(z - a), sizes[a:z])
-            yield langs[a:z], first, text, at[here], w / length[text]
+            yield langs[a:z], first, text, bucket, w / length[text]
             a = z
 
 
@@ -283,7 +328,7 @@ def language_means(words: DataFrame, idf: np.ndarray, number: dict[str, int]) ->
                     yield from told()
         yield from told()
 
-    got = words.select("lang", "at", "n").mapInArrow(add, "key long, sum long").groupBy("key").agg(F.sum("sum").alias("sum")).toArrow()
+    got = words.select("lang", "cells", "more").mapInArrow(add, "key long, sum long").groupBy("key").agg(F.sum("sum").alias("sum")).toArrow()
     key, total = got["key"].to_numpy(), got["sum"].to_numpy()
     order = np.argsort(key)
     key, total = key[order], total[order]
@@ -325,7 +370,7 @@ def topic_sums(words: DataFrame, idf: np.ndarray, number: dict[str, int], centre
         return pa.table({"block": group["block"][:1], "width": pa.array([total.itemsize], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     form = "block int, width int, sums binary"
-    got = words.select("lang", "at", "n").mapInArrow(add, form).groupBy("block").applyInArrow(together, form).toArrow().sort_by("block")
+    got = words.select("lang", "cells", "more").mapInArrow(add, form).groupBy("block").applyInArrow(together, form).toArrow().sort_by("block")
     blocks = [np.frombuffer(x.as_buffer(), f"<i{w}") for x, w in zip(got["sums"], got["width"].to_pylist(), strict=True)]
     return np.concatenate([x.reshape(k, BLOCK) for x in blocks[:-2]], axis=1) / UNIT, blocks[-2].reshape(off.shape), int(blocks[-1][0])
 
@@ -354,7 +399,7 @@ def fit_topics(docs: DataFrame, topics: int = TOPICS, text: str = "text", lang:
         moved = np.stack([x - means.times(rows[:, k]) if rows[:, k].any() else centres[k] for k, x in enumerate(sums)])
         centres = moved / np.maximum(np.linalg.norm(moved, axis=1, keepdims=True), 1e-9)
     discard(words)
-    centres = centres.astype(np.float32)
+    centres = np.asfortranarray(centres, np.float32)
     off = means.off(centres)
     return Topics(idf, {None: off[0]} | {la: off[i] for la, i in number.items()}, centres)
 

@@ -234,6 +234,29 @@ def test_words_are_cut_as_split_does(monkeypatch):
     assert dict(zip(zip(text.tolist(), bucket.tolist(), strict=True), n.tolist(), strict=True)) == want
 
 
+def test_words_move_as_one_number_each_however_often_they_come(spark):
+    texts = ["one two two " + "three " * (mixing.MANY - 1), "four " * mixing.MANY + "five", "six " * (mixing.MANY + 7) + "four " * 70_000 + "one", "seven", "y" * 200 + " Z" + "y" * 64 + " z" + "y" * 63]
+    rows = mixing.counted(spark.createDataFrame([(t, "en") for t in [*texts, texts[0]]], "text string, lang string")).toArrow().combine_chunks()
+    assert rows.num_rows == 5 and sorted(rows["copies"].to_pylist()) == [1, 1, 1, 1, 2]
+    got = []
+    for r in rows.to_pylist():
+        bucket, n, left = mixing.taken_apart(np.frombuffer(r["cells"], "<u4"), np.frombuffer(r["more"], "<i8"))
+        assert not len(left) and len(r["cells"]) == 4 * len(bucket)
+        got.append(dict(zip(bucket.tolist(), n.tolist(), strict=True)))
+    want = [dict(Counter(plain_bucket(w.lower()) for w in t.split())) for t in texts]
+    assert sorted(map(sorted, (x.items() for x in got))) == sorted(map(sorted, (x.items() for x in want)))
+    # the counts beyond the cells' bits reach the right rows, wherever a run of rows ends
+    idf = np.ones(mixing.BUCKETS, np.float32)
+    batch = rows.select(["lang", "cells", "more"]).to_batches()[0]
+    for size in (1, 1 << 18):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(mixing, "SLICE", size)
+            told = [(i, b, w) for _, _, text, bucket, weight in mixing._weighed_rows([batch], idf, {"en": 1}) for i, b, w in zip(text.tolist(), bucket.tolist(), weight.tolist(), strict=True)]
+        plain = [(b, 1 + math.log(k)) for x in got for b, k in x.items()]
+        lengths = [math.sqrt(sum((1 + math.log(k)) ** 2 for k in x.values())) for x in got for _ in x]
+        assert [b for _, b, _ in told] == [b for b, _ in plain] and [w for *_, w in told] == pytest.approx([w / n for (_, w), n in zip(plain, lengths, strict=True)], rel=1e-5)
+
+
 def plain_mix(rows, topics, power, part, targets):
     """(doc_id -> probability) by raking cell by cell in plain loops."""
     cell, tokens = {}, {}
