@@ -17,20 +17,20 @@ def running(rows: DataFrame, keys: list[str], order: str, sums: dict[str, Column
     """Adds running sums (this row included) over `keys` in order of `order`, a whole number that is unique in a key.
 
     A key may hold a large part of all rows: windows cover a key's rows in blocks of so many order values, and what
-    blocks before add up to comes from a second window over one row per key and block. So no task gets a whole key.
+    blocks before add up to comes from a second window over one row per key and block. So no task gets a whole key. It goes
+    ahead of its block's rows as a row of its own, so that rows are moved once and meet it in the same window.
     """
     marked = rows.withColumn("__block", F.floor(F.col(order) / block))
     for name, value in sums.items():
         marked = marked.withColumn(name, value.cast("long"))
-    before = marked.groupBy(*keys, "__block").agg(*(F.sum(n).alias(f"__{n}") for n in sums))
+    before = marked.groupBy(*keys, "__block").agg(*(F.sum(n).alias(n) for n in sums))
     earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__block").alias("__b"), *(F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in sums))
-    within = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    for name in sums:
-        marked = marked.withColumn(name, F.sum(name).over(within))
-    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col("__block").eqNullSafe(F.col("__b"))]
-    met = marked.join(before, same)
-    return met.select(*rows.columns, *((F.col(n) + F.col(f"__{n}")).alias(n) for n in sums))
+    before = before.select(*keys, "__block", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums), F.lit(True).alias("__ahead"))
+    before = before.filter(F.greatest(*(F.abs(n) for n in sums), F.lit(0)) > 0)
+    met = marked.withColumn("__ahead", F.lit(False)).unionByName(before, allowMissingColumns=True)
+    within = Window.partitionBy(*keys, "__block").orderBy(F.desc("__ahead"), order).rowsBetween(Window.unboundedPreceding, 0)
+    met = met.select(*rows.columns, "__ahead", *(F.sum(n).over(within).alias(n) for n in sums))
+    return met.filter(~F.col("__ahead")).drop("__ahead")
 
 
 #: A name that another one gets when it is taken: its stem, _ and a number from 2 on.

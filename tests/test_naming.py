@@ -88,3 +88,15 @@ def test_item_ids_of_one_large_batch(spark):
     got = {r.n: r.item_id for r in naming.item_ids(df).collect()}
     want = sorted(range(len(paths)), key=lambda i: (paths[i].split("/"), i))
     assert [got[i] for i in want] == [f"item_{k + 1:06d}" for k in range(len(paths))] and got[999] == "item_000001"
+
+
+def test_running_sums_move_rows_once(spark):
+    rows = [(None if i % 5 == 0 else i % 3, i * 7 % 400, i % 4 - 1, f"r{i}") for i in range(300) if i % 11]
+    rows = list({(k, o): (k, o, v, w) for k, o, v, w in rows}.values())
+    df = spark.createDataFrame(rows, "k int, o long, v int, w string")
+    got = naming.running(df, ["k"], "o", {"s": F.col("v"), "n": F.lit(1)}, block=16)
+    assert got.columns == ["k", "o", "v", "w", "s", "n"]
+    want = {(k, o, v, w): (sum(r[2] for r in rows if r[0] == k and r[1] <= o), sum(r[0] == k and r[1] <= o for r in rows)) for k, o, v, w in rows}
+    assert {tuple(r)[:4]: (r.s, r.n) for r in got.collect()} == want and got.count() == len(rows)
+    # what blocks before add up to comes as rows of the same window, not by a join that moves all rows again
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
