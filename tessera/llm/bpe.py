@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, unused
+from .common import small_batches, table, unused
 
 #: The split pattern and the byte alphabet of public byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -299,5 +299,6 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: every document that is left, with its number of tokens and the digests of its ids. Null texts count as empty."""
+    small_batches(spark)
     told = unused(docs, "bpe")
     return round_trip(docs, into=told).select("doc_id", "lang", "source", f"{told}.*")

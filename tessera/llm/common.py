@@ -18,6 +18,23 @@ for _b in range(26):
     LETTERS[65 + _b] = LETTERS[97 + _b] = 97 + _b
 
 
+#: Settings of a session that bound what a task holds of long rows at a time: bytes of a batch that goes to Python, rows of a batch that Parquet's
+#: reader makes. Spark's own, 64 MB and 4 096 rows, make arrays of tens of MB of texts, which a worker keeps and for which the JVM's heap is let grow.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's batches to BATCHES; what is lower already stays. No row is cut: a batch ends with the row that fills it.
+
+    A frame is worked out when its rows are asked for, which is after the operator that made it has returned, so this holds for
+    the session from now on.
+    """
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name, most in BATCHES.items():
+        if size(spark.conf.get(name, str(most + 1))) > most:
+            spark.conf.set(name, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

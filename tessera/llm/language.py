@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, checkpointed, flat_bytes, fold, keep_share, table, unused
+from .common import LETTERS, checkpointed, flat_bytes, fold, keep_share, small_batches, table, unused
 
 ORDERS = (2, 3, 4)
 BITS = 15
@@ -215,6 +215,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     null or has no letter; a near tie between languages alone is no reason to drop a clean document. Repeated rows stay or go
     together; an empty table stays empty.
     """
+    small_batches(spark)
     model, told = fit(docs, F.lit(True)), unused(docs, "language")
     got = identify(docs, model, into=told)
     return got.filter(F.col(told)["lang_pred"] != "und").withColumn("lang", F.col(told)["lang_pred"]).drop(told)

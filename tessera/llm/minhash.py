@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, mix64, sha256_hex, stored, table
+from .common import checkpointed, mix64, sha256_hex, small_batches, stored, table
 from .graph import components
 
 WORDS = 5
@@ -316,6 +316,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class of near-duplicates the document of the least id stays, once; columns stay as they are."""
+    small_batches(spark)
     told = checkpointed(near_duplicates(docs).filter(F.col("doc_id").isNotNull()))
     gone = told.filter(~F.col("kept")).select("doc_id").distinct()
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")

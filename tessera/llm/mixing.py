@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, discard, flat_bytes, keep_share, mix64, stored, table, unused
+from .common import checkpointed, discard, flat_bytes, keep_share, mix64, small_batches, stored, table, unused
 
 MARGINS = ("source", "lang", "topic")
 TOPICS = 8
@@ -594,5 +594,6 @@ def keep_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A row stays by its id and cell alone: repeated rows stay or go together, nulls are values of their own. An empty table stays empty.
     """
+    small_batches(spark)
     told = unused(docs, "mixture")
     return mix(docs, into=told).filter(F.col(told)["sampled"]).drop(told)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_bytes, fold, keep_share, table, unused
+from .common import flat_bytes, fold, keep_share, small_batches, table, unused
 
 CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "comma", "shout", "bar", "symbol", "high")
 _KIND = np.full(256, CLASSES.index("symbol"), np.int64)
@@ -200,5 +200,6 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: drops the documents that score below 0.5; all columns and the other rows stay. Null and empty texts go; repeated rows
     stay or go together; an empty table stays empty."""
+    small_batches(spark)
     model, told = fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1), unused(docs, "quality")
     return score(docs, model, into=told).filter(F.col(told) >= 0.5).drop(told)
