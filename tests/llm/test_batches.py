@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import common
+from tessera.llm import common, mixing
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -58,3 +58,11 @@ def test_the_pipeline_returns_the_same_whatever_the_batches(batches, monkeypatch
     batches.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2k")
     batches.conf.set("spark.sql.parquet.columnarReaderBatchSize", "3")
     assert run() == whole and whole
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+def test_op7_mixing_bounds_its_batches(batches):
+    mixing.op7_mixing(batches, str(DATA))
+    rows = batches.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 1000).alias("text"))
+    got = rows.mapInArrow(sizes, "rows long, longest long, bytes long").collect()
+    assert sum(r.rows for r in got) == 3000 and all(r.bytes < (2 << 20) + 100_000 for r in got)
